@@ -26,8 +26,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = source_mixing.with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return source_mixing.mix_sources(docs)
+    return source_mixing.mix_sources(_table(spark, sf_dir, "documents"), source_mixing.label_quality(_table(spark, sf_dir, "labels")))
 
 
 QUERIES = {f.__name__: f for f in (op4_substring_dedup, op7_quality_rules, op9_simhash, op10_source_mixing)}

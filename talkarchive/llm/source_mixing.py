@@ -22,13 +22,13 @@ MOST_TIMES = 3
 ROWS_A_RANGE = 2000
 #: Quality weights of the labels 1 and 0, and of documents without a label.
 QUALITY = {1: 1.0, 0: 0.5, None: 0.75}
+LEAST = 0.01
 
 
-def with_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the column quality; the highest label of a document counts."""
-    best = labels.groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    weight = F.when(F.col("_label") == 1, QUALITY[1]).when(F.col("_label") == 0, QUALITY[0]).otherwise(QUALITY[None])
-    return docs.drop("quality").join(best, "doc_id", "left").withColumn("quality", weight).drop("_label")
+def label_quality(labels: DataFrame) -> DataFrame:
+    """(doc_id, quality) of the labelled documents; the highest label of a document counts."""
+    best = labels.where("quality is not null").groupBy("doc_id").agg(F.max("quality").alias("_label"))
+    return best.select("doc_id", F.when(F.col("_label") == 1, QUALITY[1]).otherwise(QUALITY[0]).alias("quality"))
 
 
 def _targets(sources: DataFrame) -> DataFrame:
@@ -52,14 +52,19 @@ def _targets(sources: DataFrame) -> DataFrame:
     return ranked.select("source", "source_size", "n", F.coalesce(F.least(share, F.col("cap").cast("double")), F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken; docs need doc_id, text, source, and may have quality."""
+def mix_sources(docs: DataFrame, quality: DataFrame | None = None, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, for docs of doc_id, text, source.
+
+    quality gives (doc_id, quality) of some documents, one row each; it meets the sizes, so that no text is shuffled.
+    """
     text = F.btrim(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(" \t\n\u000b\f\r"))
     size = F.when(text == "", 0).otherwise(F.size(F.split(text, "[\\x20\\x09-\\x0D]+"))).cast("long")
     # u from 52 bits of an MD5, never 0: the same in any engine.
     bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, 13), 16, 10).cast("long")
-    quality = F.greatest(F.coalesce(F.col("quality").cast("double"), F.lit(0.01)), F.lit(0.01)) if "quality" in docs.columns else F.lit(1.0)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), (-F.log((bits + 0.5) / float(1 << 52)) / quality).alias("key"))
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), (-F.log((bits + 0.5) / float(1 << 52))).alias("key"))
+    if quality is not None:
+        weights = quality.select(F.col("doc_id").alias("_id"), F.greatest(F.coalesce(F.col("quality").cast("double"), F.lit(LEAST)), F.lit(LEAST)).alias("_q"))
+        rows = rows.join(weights, F.col("doc_id") == F.col("_id"), "left").withColumn("key", F.col("key") / F.coalesce("_q", F.lit(QUALITY[None]))).drop("_id", "_q")
     rows = cut_lineage(rows)  # the texts are read once; what follows joins these narrow rows three times
     per_source = _targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     plan = per_source.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
