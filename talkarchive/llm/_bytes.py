@@ -148,3 +148,15 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     out[at[0]] = starts[0]
     out[at[1:]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
     return np.cumsum(out)
+
+
+def slices(batches, size: int):
+    """(ids, bytes, offsets) of about `size` bytes of text at most; a longer text comes alone."""
+    for batch in batches:
+        data, off = text_bytes(batch["text"])
+        cuts, last = [0], 0
+        while last < len(off) - 1:
+            last = max(last + 1, int(np.searchsorted(off, off[last] + size, "right")) - 1)
+            cuts.append(last)
+        for a, b in zip(cuts, cuts[1:]):
+            yield batch["doc_id"].slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]

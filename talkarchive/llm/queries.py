@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import quality_rules, simhash, source_mixing, substring_dedup
+from . import decontamination, language_id, quality_rules, simhash, source_mixing, substring_dedup
 from .sql import SQL
 
 
@@ -12,11 +12,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(3, 1)))
+    return language_id.identify(docs, model).withColumn("held_out", language_id.held_out(3, 1)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).drop("ratios")
 
@@ -29,5 +41,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(_table(spark, sf_dir, "documents"), source_mixing.label_quality(_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op4_substring_dedup, op7_quality_rules, op9_simhash, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op5_language_id, op4_substring_dedup, op7_quality_rules, op9_simhash, op10_source_mixing)}
 ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}

@@ -31,21 +31,9 @@ SHARD, LEAF = 20_000, 256
 SAMPLE = 20_000
 
 
-def _slices(batches, size: int):
-    """Batches of about `size` bytes of text at most; a longer text is a batch of its own."""
-    for batch in batches:
-        data, off = B.text_bytes(batch["text"])
-        cuts, last = [0], 0
-        while last < len(off) - 1:
-            last = max(last + 1, int(np.searchsorted(off, off[last] + size, "right")) - 1)
-            cuts.append(last)
-        for a, b in zip(cuts, cuts[1:]):
-            yield batch["doc_id"].slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]
-
-
 def fingerprints(shingle: int):
     def run(batches):
-        for ids, data, off in _slices(batches, 4 << 20):
+        for ids, data, off in B.slices(batches, 4 << 20):
             data = B.LOWER[data]
             starts, ends, word_off = B.word_bounds(data, off)
             # words joined by single spaces; a shingle is then one slice

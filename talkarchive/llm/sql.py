@@ -4,7 +4,18 @@ from __future__ import annotations
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 SQL = {
+    "op1_decontamination": rf"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents), b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_ALNUM} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item, array_to_string(ws[i:i + 9], ' ') AS s, least(10, len(ws)) AS n FROM b, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) t(i) WHERE len(ws) > 0),
+dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS s FROM (SELECT DISTINCT n FROM bw) k, d, unnest(range(1, len(ws) - n + 2)) t(i)),
+o AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, s)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM o) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)""",
     "op4_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(ws) - 18)) t(i)),
