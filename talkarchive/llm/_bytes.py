@@ -105,11 +105,15 @@ def rolling(word_hash: np.ndarray, word_off: np.ndarray, width: int, base: int =
 
 def cover(first: np.ndarray, width: int, n: int) -> np.ndarray:
     """Mask over n items of those inside [f, f + width) for any f in first."""
+    return cover_spans(first, np.minimum(first + width, n), n)
+
+
+def cover_spans(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Mask over n items of those inside any [start, end)."""
     step = np.zeros(n + 1, np.int32)
-    if len(first):
-        np.add.at(step, first, 1)
-        np.add.at(step, np.minimum(first + width, n), -1)
-    return np.cumsum(step[:n]) > 0
+    np.add.at(step, starts, 1)
+    np.add.at(step, ends, -1)
+    return np.cumsum(step[:n], out=step[:n]) > 0
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

@@ -21,8 +21,14 @@ CHUNK_BYTES = 8 << 20
 PROBES = 1000
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int]:
-    """((chunk, doc_id, text), bytes of text). One pass over the ids and text lengths finds the ranges.
+def chunk_of(df: DataFrame, id_column: str, cuts: list[float]) -> DataFrame:
+    """df with the column chunk: the range of cuts that its id falls in; null ids come after all ranges."""
+    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="chunk", handleInvalid="keep")
+    return cut.transform(df.withColumn("_at", F.col(id_column).cast("double"))).withColumn("chunk", F.col("chunk").cast("int")).drop("_at")
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_cuts: bool = False):
+    """((chunk, doc_id, text), bytes of text), and the cuts between chunks if asked for. One pass over the ids and text lengths finds the ranges.
 
     Null ids count as the largest and share the last chunk. The driver gets one boundary a chunk.
     """
@@ -40,9 +46,8 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
         q = got.q or []
         picks = [q[min(len(q) - 1, PROBES * i // n)] for i in range(1, n)] if q else []
     cuts = sorted({float(x) for x in picks}) or [0.0]
-    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="chunk", handleInvalid="keep")
-    parts = cut.transform(docs.withColumn("_at", F.col("doc_id").cast("double")))
-    return parts.select(F.col("chunk").cast("int").alias("chunk"), "doc_id", "text"), size
+    parts = chunk_of(docs, "doc_id", cuts).select("chunk", "doc_id", "text")
+    return (parts, size, cuts) if with_cuts else (parts, size)
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, quality_rules, simhash, source_mixing, substring_dedup
+from . import decontamination, language_id, lm_scoring, quality_rules, simhash, source_mixing, substring_dedup, suffix_dedup
 from .sql import SQL
 
 
@@ -18,6 +18,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = _table(spark, sf_dir, "labels").where("quality = 1")
+    out = lm_scoring.cross_entropy_difference(_table(spark, sf_dir, "documents"), target)
+    return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -33,6 +39,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).drop("ratios")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeated_bytes(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,5 +52,5 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(_table(spark, sf_dir, "documents"), source_mixing.label_quality(_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op5_language_id, op4_substring_dedup, op7_quality_rules, op9_simhash, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op4_substring_dedup, op5_language_id, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_source_mixing)}
 ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}

@@ -16,6 +16,18 @@ h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(rang
 m AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
 SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN m USING (doc_id)""",
+    "op2_lm_scoring": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws,
+           doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS tg FROM documents),
+t AS (SELECT doc_id, tg::INT AS tg, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS v FROM d, unnest(range(1, len(ws) + 1)) u(i)),
+c AS (SELECT w, count(*) AS a, sum(tg) AS g FROM t GROUP BY w), p AS (SELECT v, w, count(*) AS a, sum(tg) AS g FROM t WHERE v IS NOT NULL GROUP BY v, w HAVING count(*) > 1),
+n AS (SELECT count(*) FILTER (a > 1) AS v, sum(a) AS na, sum(g) AS ng, coalesce(sum(a) FILTER (a = 1), 0) AS ua, coalesce(sum(g) FILTER (a = 1), 0) AS ug FROM c),
+k AS (SELECT * FROM c WHERE a > 1),
+x AS (SELECT doc_id, t.v IS NOT NULL AS inner_, (coalesce(k.a, ua) + 0.1::DOUBLE) / (na + 0.1::DOUBLE * (n.v + 1)) AS pa, (coalesce(k.g, ug) + 0.1::DOUBLE) / (ng + 0.1::DOUBLE * (n.v + 1)) AS pg,
+      coalesce(kv.a, 0) AS ca, coalesce(kv.g, 0) AS cg, coalesce(p.a, 0) AS pca, coalesce(p.g, 0) AS pcg
+      FROM t CROSS JOIN n LEFT JOIN k ON k.w = t.w LEFT JOIN k kv ON kv.w = t.v LEFT JOIN p ON p.v = t.v AND p.w = t.w),
+y AS (SELECT doc_id, avg(-ln(CASE WHEN ca > 0 THEN 0.4::DOUBLE * pa + 0.6::DOUBLE * pca / ca ELSE pa END)) AS la, avg(-ln(CASE WHEN cg > 0 THEN 0.4::DOUBLE * pg + 0.6::DOUBLE * pcg / cg ELSE pg END)) AS lt FROM x GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_tokens, round(lt, 6) AS loss_target, round(la, 6) AS loss_background, round(lt - la, 6) AS score FROM d LEFT JOIN y USING (doc_id)""",
     "op4_substring_dedup": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 w AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM d, unnest(range(1, len(ws) - 18)) t(i)),
