@@ -27,12 +27,14 @@ def chunk_of(df: DataFrame, id_column: str, cuts: list[float]) -> DataFrame:
     return cut.transform(df.withColumn("_at", F.col(id_column).cast("double"))).withColumn("chunk", F.col("chunk").cast("int")).drop("_at")
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_cuts: bool = False):
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_cuts: bool = False, carry: str | None = None):
     """((chunk, doc_id, text), bytes of text), and the cuts between chunks if asked for. One pass over the ids and text lengths finds the ranges.
 
-    Null ids count as the largest and share the last chunk. The driver gets one boundary a chunk.
+    Null ids count as the largest and share the last chunk. The driver gets one boundary a chunk. carry: a column that
+    travels with the texts.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    more = [carry] if carry else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
     def probe(n: int):
         return docs.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first()
@@ -46,7 +48,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_cuts: bool = F
         q = got.q or []
         picks = [q[min(len(q) - 1, PROBES * i // n)] for i in range(1, n)] if q else []
     cuts = sorted({float(x) for x in picks}) or [0.0]
-    parts = chunk_of(docs, "doc_id", cuts).select("chunk", "doc_id", "text")
+    parts = chunk_of(docs, "doc_id", cuts).select("chunk", "doc_id", "text", *more)
     return (parts, size, cuts) if with_cuts else (parts, size)
 
 

@@ -186,7 +186,7 @@ def _shards(batches, size):
         yield pa.Table.from_batches(held)
 
 
-def _scan(windows, keep_text: bool, shard_bytes: int):
+def _scan(windows, keep_text: bool, shard_bytes: int, carry: str | None):
     def run(batches):
         for table in _shards(batches, shard_bytes):
             data, off = B.text_bytes(table["text"])
@@ -223,7 +223,10 @@ def _scan(windows, keep_text: bool, shard_bytes: int):
             spans = pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.StructArray.from_arrays([pa.array(run_start - base, pa.int64()), pa.array(run_end - base, pa.int64())], ["start", "end"]))
             text = B.one_array(table["text"]).cast(pa.string()) if keep_text else pa.nulls(table.num_rows, pa.string())
             ids = B.one_array(table["doc_id"])
-            yield from pa.Table.from_arrays([ids, text, pa.array(np.diff(word_off), pa.int64()), spans, items_out], schema=_OUT).to_batches()
+            out = pa.Table.from_arrays([ids, text, pa.array(np.diff(word_off), pa.int64()), spans, items_out], schema=_OUT)
+            if carry:
+                out = out.append_column(carry, table[carry])
+            yield from out.to_batches()
 
     return run
 
@@ -241,13 +244,14 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_text: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text (null unless with_text), n_words, the merged hit spans [start, end) in words, and sorted item_ids."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_text: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: str | None = None) -> DataFrame:
+    """doc_id, text (null unless with_text), n_words, the merged hit spans [start, end) in words, sorted item_ids; carry: a column to keep."""
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([carry] if carry else []))
+    ddl = f"{_DDL}, {carry} {out.schema[carry].dataType.simpleString()}" if carry else _DDL
     parts = list(blocks(benchmark, block_bytes))
     for k, items in enumerate(parts):
         windows = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
-        out = out.mapInArrow(_scan(windows, with_text or k + 1 < len(parts), shard_bytes), _DDL)
+        out = out.mapInArrow(_scan(windows, with_text or k + 1 < len(parts), shard_bytes, carry), ddl)
     return out
 
 
@@ -270,6 +274,7 @@ def cut_spans(df: DataFrame) -> DataFrame:
             text = data[stay].tobytes()
             texts = [text[a:b].decode() for a, b in zip(upto.tolist(), upto.tolist()[1:])]
             null = batch["text"].is_null().to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([None if z else t for z, t in zip(null, texts)], pa.string()), batch["n_words"], batch["spans"], batch["item_ids"]], schema=_OUT)
+            cut = pa.array([None if z else t for z, t in zip(null, texts)], pa.string())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", cut)
 
-    return df.mapInArrow(run, _DDL)
+    return df.mapInArrow(run, df.schema)

@@ -116,19 +116,25 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(sorted((r.lang, r.text) for r in rows.where(chosen).select("lang", "text").collect()))
 
 
-def identify(docs: DataFrame, model: Model, margin: float = MARGIN) -> DataFrame:
-    """doc_id, lang_pred, score (the share of the best codeword), ambiguous."""
+def identify(docs: DataFrame, model: Model, margin: float = MARGIN, carry: str | None = None) -> DataFrame:
+    """doc_id, lang_pred, score (the share of the best codeword), ambiguous; with carry, also text and that column."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([carry] if carry else []))
 
     def run(batches):
-        for ids, data, off in B.slices(batches, 1 << 20):
-            model = shared.value
-            best, score, close = model.decide(data, off, margin)
-            names = np.array([*model.langs, "und"], object)[best]
-            yield pa.RecordBatch.from_arrays([B.one_array(ids), pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(close)], ["doc_id", "lang_pred", "score", "ambiguous"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+        for batch in batches:
+            at = 0
+            for ids, data, off in B.slices([batch], 1 << 20):
+                model = shared.value
+                best, score, close = model.decide(data, off, margin)
+                names = np.array([*model.langs, "und"], object)[best]
+                part = batch.slice(at, len(ids))
+                at += len(ids)
+                kept = [part[c] for c in ("text", carry)] if carry else []
+                yield pa.RecordBatch.from_arrays([ids, *kept, pa.array(names.tolist(), pa.string()), pa.array(score), pa.array(close)], ["doc_id", *(("text", carry) if carry else ()), "lang_pred", "score", "ambiguous"])
+
+    found = "lang_pred string, score double, ambiguous boolean"
+    return rows.mapInArrow(run, f"doc_id long, text string, {carry} {rows.schema[carry].dataType.simpleString()}, {found}" if carry else f"doc_id long, {found}")
 
 
 def held_out(modulus: int, rest: int):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontamination, language_id, lm_scoring, quality_rules, simhash, source_mixing, substring_dedup, suffix_dedup
+import corpus_pipeline
+
+from . import decontamination, language_id, lm_scoring, preference_format, quality_rules, simhash, source_mixing, substring_dedup, suffix_dedup, toxicity
 from .sql import SQL
 
 
@@ -24,6 +26,13 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("loss_target", "loss_background", "score")])
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = language_id.held_out(5, 0)
+    model = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "score", "predicted", "evidence")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeated_windows(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
@@ -35,6 +44,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, model).withColumn("held_out", language_id.held_out(3, 1)).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
+def op6_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference_format.format_preferences(preference_format.answers_swapped(_table(spark, sf_dir, "conversations")))
+    written = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.withColumns({c: written(F.col(c)) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(_table(spark, sf_dir, "documents")).drop("ratios")
 
@@ -52,5 +67,9 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(_table(spark, sf_dir, "documents"), source_mixing.label_quality(_table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op4_substring_dedup, op5_language_id, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_source_mixing)}
-ORACLE_SQL = {k: v for k, v in SQL.items() if k in QUERIES}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_language_id, op6_preference_format, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_source_mixing, pipeline)}
+ORACLE_SQL = {k: v for k, v in {**SQL, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

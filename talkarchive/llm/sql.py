@@ -38,6 +38,21 @@ kept AS (SELECT d.doc_id, string_agg(ws[j], ' ' ORDER BY j) AS t FROM d, unnest(
          WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.doc_id = d.doc_id AND g.p = j) GROUP BY d.doc_id)
 SELECT d.doc_id, len(ws) AS n_words, coalesce(len(ps), 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op6_preference_format": r"""
+WITH a AS (SELECT conv_id, max({'turn': turn, 'text': text}) AS l FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT a.conv_id, a.l, o.l.text AS other FROM a JOIN a o ON o.conv_id = xor(a.conv_id, 1::BIGINT)),
+c AS (SELECT conv_id, turn, role AS r, text AS x, CASE WHEN turn = l.turn AND role = 'assistant' AND text = l.text THEN other ELSE text END AS y
+      FROM conversations JOIN b USING (conv_id) WHERE turn <= l.turn),
+d AS (SELECT conv_id, list({'t': turn, 'r': r, 'x': x} ORDER BY turn, r, x) AS c, list({'t': turn, 'r': r, 'x': y} ORDER BY turn, r, y) AS r FROM c GROUP BY conv_id),
+e AS (SELECT *, coalesce(list_min(list_filter(range(1, len(c) + 1), lambda i: c[i].r <> r[i].r OR c[i].x <> r[i].x)) - 1, len(c)) AS n FROM d),
+f AS (SELECT conv_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM e)
+SELECT conv_id AS pair_id, CAST(n AS INT) AS prompt_turns, coalesce(array_to_string(list_transform(p, lambda t: '<|' || t.r || '|>' || chr(10) || t.x || '<|end|>' || chr(10)), ''), '') AS prompt,
+  CAST(len(c) AS INT) AS chosen_turns, coalesce(array_to_string(list_transform(c, lambda t: '<|' || t.r || '|>' || chr(10) || t.x || '<|end|>' || chr(10)), ''), '') AS chosen,
+  coalesce(array_to_string(list_transform(list_filter(list_transform(range(1, len(c) + 1), lambda i: {'r': c[i].r, 'e': list_sum(list_transform(c[1:i], lambda t: length(t.r) + length(t.x) + 13)), 'x': length(c[i].x)}), lambda z: z.r = 'assistant'),
+    lambda z: (z.e - z.x - 8) || ':' || z.e), ','), '') AS chosen_mask,
+  CAST(len(r) AS INT) AS rejected_turns, coalesce(array_to_string(list_transform(r, lambda t: '<|' || t.r || '|>' || chr(10) || t.x || '<|end|>' || chr(10)), ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(list_transform(range(1, len(r) + 1), lambda i: {'r': r[i].r, 'e': list_sum(list_transform(r[1:i], lambda t: length(t.r) + length(t.x) + 13)), 'x': length(r[i].x)}), lambda z: z.r = 'assistant'),
+    lambda z: (z.e - z.x - 8) || ':' || z.e), ','), '') AS rejected_mask FROM f""",
     "op10_source_mixing": r"""
 WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

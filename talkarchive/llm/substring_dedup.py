@@ -105,17 +105,22 @@ def _full(table, data, starts, ends, word_off, gone):
     base = np.repeat(word_off[:-1], np.diff(runs))
     spans = pa.StructArray.from_arrays([pa.array(run_start - base, pa.int64()), pa.array(run_end - base, pa.int64())], ["start", "end"])
     n_gone = np.concatenate([[0], np.cumsum(gone)])[word_off]
+    more = {c: table[c] for c in table.column_names if c not in ("chunk", "doc_id", "text")}
     return pa.table({
         "doc_id": table["doc_id"], "n_words": pa.array(np.diff(word_off), pa.int64()), "n_removed": pa.array(np.diff(n_gone), pa.int64()),
         "kept_text": pa.array(_kept_bytes(data, starts, ends, word_off, gone), pa.binary()).cast(pa.string()),
-        "intervals": pa.ListArray.from_arrays(pa.array(runs, pa.int32()), spans),
+        "intervals": pa.ListArray.from_arrays(pa.array(runs, pa.int32()), spans), **({"text": table["text"]} if more else {}), **more,
     })
 
 
-def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, and the removed word intervals [start, end), maximal and in order."""
-    parts, size = chunked(docs, chunk_bytes)
+def remove_repeated_windows(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, carry: str | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text, and the removed word intervals [start, end), maximal and in order.
+
+    With carry, the result also has text and that column.
+    """
+    parts, size = chunked(docs, chunk_bytes, carry=carry)
     bits = bucket_bits(size / 6)
+    out = f"{_OUT}, text string, {carry} {parts.schema[carry].dataType.simpleString()}" if carry else _OUT
     sent = parts.groupBy("chunk").applyInArrow(send(window, bits), "bucket long, chunk int, payload binary")
     back = sent.groupBy("bucket").applyInArrow(answer, "chunk int, bucket long, flags binary")
-    return parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply_flags(window, bits), _OUT)
+    return parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply_flags(window, bits), out)
