@@ -5,6 +5,9 @@ Everything here works on the bytes of one Arrow table inside one Spark task.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +25,25 @@ _S32, _S29 = np.uint64(32), np.uint64(29)
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
+_libc = None
+
+
+def tidy() -> None:
+    """Gives memory that this worker has freed back to the system: idle workers stay alive between stages.
+
+    Large blocks come from the system's allocator and as mappings of their own, so that freeing them returns them.
+    """
+    global _libc
+    if _libc is None:
+        _libc = False
+        with contextlib.suppress(OSError, AttributeError):
+            _libc = ctypes.CDLL("libc.so.6")
+            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            pa.set_memory_pool(pa.system_memory_pool())
+    if _libc:
+        _libc.malloc_trim(0)
+
+
 def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
 
@@ -162,5 +184,6 @@ def slices(batches, size: int):
         while last < len(off) - 1:
             last = max(last + 1, int(np.searchsorted(off, off[last] + size, "right")) - 1)
             cuts.append(last)
+        tidy()
         for a, b in zip(cuts, cuts[1:]):
             yield batch["doc_id"].slice(a, b - a), data[off[a] : off[b]], off[a : b + 1] - off[a]

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, functions as F
 
+from ._bytes import tidy
+
 CHUNK_BYTES = 8 << 20
 PROBES = 1000
 
@@ -54,6 +56,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_cuts: bool = F
 
 def in_order(table: pa.Table) -> pa.Table:
     """Rows by doc_id (null last), then text: the same order in every pass and every rerun."""
+    tidy()
     return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
 
 

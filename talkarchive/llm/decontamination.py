@@ -189,6 +189,7 @@ def _shards(batches, size):
 def _scan(windows, keep_text: bool, shard_bytes: int, carry: str | None):
     def run(batches):
         for table in _shards(batches, shard_bytes):
+            B.tidy()
             data, off = B.text_bytes(table["text"])
             low = B.LOWER[data]
             starts, ends, word_off = B.word_bounds(low, off, B.NOT_ALNUM)

@@ -86,6 +86,7 @@ def send_counts(bits):
 
 def sum_counts(key, table):
     """For each chunk: which of its keys occur twice or more anywhere, and their sums; and this bucket's word totals."""
+    B.tidy()
     rows = {"chunk": table["chunk"].combine_chunks(), "bucket": pa.array([key[0].as_py()] * table.num_rows, pa.int64())}
     totals = None
     for kind in _KINDS:

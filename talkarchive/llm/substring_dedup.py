@@ -53,6 +53,7 @@ def send(window: int, bits: int):
 
 def answer(key, table):
     """A flag for each hash a chunk sent to this bucket: does a smaller chunk have it too?"""
+    B.tidy()
     table = table.sort_by("chunk")
     parts = [B.unpack_sorted(x) for x in table["payload"].to_pylist()]
     hashes = np.concatenate(parts)

@@ -106,6 +106,7 @@ def send_names(length, gram, bits):
 
 def shared_names(key, table):
     """A flag for each name a chunk sent: does another chunk have it?"""
+    B.tidy()
     parts = [B.unpack_sorted(x) for x in table["payload"].to_pylist()]
     names = np.concatenate(parts)
     order = np.argsort(names, kind="stable")
@@ -179,6 +180,7 @@ def doubled(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 
 def rank_stretches(length):
     def run(key, table):
+        B.tidy()
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         name, doc, size, data = (np.concatenate(get(*x)) for x in (("name", np.uint64), ("doc", np.int64), ("size", np.uint32), ("bytes", np.uint8)))
         size = size.astype(np.int64)
