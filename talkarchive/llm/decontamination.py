@@ -21,6 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
@@ -186,7 +187,18 @@ def _shards(batches, size):
         yield pa.Table.from_batches(held)
 
 
-def _scan(windows, keep_text: bool, shard_bytes: int, carry: str | None):
+def _without(text, data, off, starts, word_off, run_start, run_end) -> pa.Array:
+    """The texts without the bytes of word runs, each up to the next word that stays or the end of its text."""
+    doc = np.searchsorted(word_off, run_start, "right") - 1
+    to = np.where(run_end < word_off[doc + 1], np.append(starts, 0)[np.minimum(run_end, len(starts))], off[doc + 1]) if len(doc) else run_end
+    stay = ~B.cover_spans(starts[run_start], to, len(data))
+    upto = np.concatenate([[0], np.cumsum(stay)])[off].astype(np.int64)
+    null = text.is_null()
+    bytes_left = pa.Array.from_buffers(pa.large_binary(), len(text), [None, pa.py_buffer(upto), pa.py_buffer(data[stay])])
+    return pc.if_else(null, pa.scalar(None, pa.string()), bytes_left.cast(pa.large_string()).cast(pa.string()))
+
+
+def _scan(windows, keep_text: bool, shard_bytes: int, carry: str | None, cut: bool):
     def run(batches):
         for table in _shards(batches, shard_bytes):
             B.tidy()
@@ -223,6 +235,8 @@ def _scan(windows, keep_text: bool, shard_bytes: int, carry: str | None):
             base = np.repeat(word_off[:-1], np.diff(runs))
             spans = pa.ListArray.from_arrays(pa.array(runs, pa.int32()), pa.StructArray.from_arrays([pa.array(run_start - base, pa.int64()), pa.array(run_end - base, pa.int64())], ["start", "end"]))
             text = B.one_array(table["text"]).cast(pa.string()) if keep_text else pa.nulls(table.num_rows, pa.string())
+            if cut:
+                text = _without(text, data, off, starts, word_off, run_start, run_end)
             ids = B.one_array(table["doc_id"])
             out = pa.Table.from_arrays([ids, text, pa.array(np.diff(word_off), pa.int64()), spans, items_out], schema=_OUT)
             if carry:
@@ -245,37 +259,15 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
     yield held
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_text: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: str | None = None) -> DataFrame:
-    """doc_id, text (null unless with_text), n_words, the merged hit spans [start, end) in words, sorted item_ids; carry: a column to keep."""
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, with_text: bool = False, shard_bytes: int = SHARD_BYTES, block_bytes: int = BLOCK_BYTES, carry: str | None = None, cut: bool = False) -> DataFrame:
+    """doc_id, text (null unless with_text), n_words, the merged hit spans [start, end) in words, sorted item_ids.
+
+    carry: a column to keep. cut: text is given, without the hit spans, each up to the next word that stays.
+    """
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([carry] if carry else []))
     ddl = f"{_DDL}, {carry} {out.schema[carry].dataType.simpleString()}" if carry else _DDL
     parts = list(blocks(benchmark, block_bytes))
     for k, items in enumerate(parts):
         windows = docs.sparkSession.sparkContext.broadcast(Windows(items, width))
-        out = out.mapInArrow(_scan(windows, with_text or k + 1 < len(parts), shard_bytes, carry), ddl)
+        out = out.mapInArrow(_scan(windows, with_text or cut or k + 1 < len(parts), shard_bytes, carry, cut and k + 1 == len(parts)), ddl)
     return out
-
-
-def cut_spans(df: DataFrame) -> DataFrame:
-    """find_contamination(.., with_text=True) with column text rid of each span, up to the next word that stays."""
-
-    def run(batches):
-        for batch in batches:
-            data, off = B.text_bytes(batch["text"])
-            starts, _, word_off = B.word_bounds(B.LOWER[data], off, B.NOT_ALNUM)
-            spans = batch["spans"].flatten()
-            base = np.repeat(np.arange(batch.num_rows), np.diff(batch["spans"].offsets.to_numpy()))
-            keep = np.zeros(len(data) + 1, np.int64)
-            at = np.append(starts, len(data))
-            for d, s, e in zip(base, spans.field("start").to_numpy(), spans.field("end").to_numpy()):
-                keep[at[word_off[d] + s]] += 1
-                keep[at[word_off[d] + e] if word_off[d] + e < word_off[d + 1] else off[d + 1]] -= 1
-            stay = np.cumsum(keep[:-1]) == 0
-            upto = np.concatenate([[0], np.cumsum(stay)])[off]
-            text = data[stay].tobytes()
-            texts = [text[a:b].decode() for a, b in zip(upto.tolist(), upto.tolist()[1:])]
-            null = batch["text"].is_null().to_pylist()
-            cut = pa.array([None if z else t for z, t in zip(null, texts)], pa.string())
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", cut)
-
-    return df.mapInArrow(run, df.schema)

@@ -36,7 +36,7 @@ def test_equals_brute_force(spark):
         assert len(got) == len(rows) and sum(bool(r.spans) for r in got) > 5
         for r in got:
             assert (r.n_words, {i for s in r.spans for i in range(s.start, s.end)}, r.item_ids) == want[r.doc_id]
-    cut = D.cut_spans(D.find_contamination(frame(spark, rows), bench, with_text=True)).collect()
+    cut = D.find_contamination(frame(spark, rows), bench, cut=True).collect()
     texts = {r[0]: r[1] for r in rows}
     for r in cut:
         n, hit, _ = want[r.doc_id]
