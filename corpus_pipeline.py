@@ -56,8 +56,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the spans that hold benchmark windows."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_contamination(_packed(docs), bench, with_text=True, carry="rest")
-    return _as_documents(decontamination.cut_spans(found))
+    return _as_documents(decontamination.find_contamination(_packed(docs), bench, cut=True, carry="rest"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
