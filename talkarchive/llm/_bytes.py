@@ -38,7 +38,7 @@ def tidy() -> None:
         _libc = False
         with contextlib.suppress(OSError, AttributeError):
             _libc = ctypes.CDLL("libc.so.6")
-            _libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            _libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
             pa.set_memory_pool(pa.system_memory_pool())
     if _libc:
         _libc.malloc_trim(0)

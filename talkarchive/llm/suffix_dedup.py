@@ -24,7 +24,7 @@ from . import _bytes as B
 from ._chunks import CHUNK_BYTES, bucket_bits, chunked, in_order
 from .substring_dedup import _splits
 
-LENGTH, GRAM, SEGMENT = 50, 24, 1 << 19
+LENGTH, GRAM, SEGMENT, PART_BYTES = 50, 24, 1 << 16, 1 << 19
 _NAMES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())])
 _FLAGS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), ("flags", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("name", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
@@ -178,43 +178,54 @@ def doubled(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return rank[starts]
 
 
+def _older(data, size, doc, name, length) -> np.ndarray:
+    """For each position of these stretches, in order: has a document before the stretch's own its string too?"""
+    off = np.concatenate([[0], np.cumsum(size + length - 1)])
+    texts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)])
+    code = texts.dictionary_encode().indices.to_numpy()
+    kinds = int(code.max()) + 1
+    least = np.full(kinds, _LAST)
+    np.minimum.at(least, code, doc)
+    one = np.empty(kinds, np.int64)
+    one[code[::-1]] = np.arange(len(code))[::-1]  # a stretch of each kind
+    # names with one kind of stretch need no ranks: all its positions tie with their own copies only
+    order = np.argsort(name[one], kind="stable")
+    same = name[one][order][1:] == name[one][order][:-1]
+    many = np.zeros(kinds, bool)
+    many[order[1:]] |= same
+    many[order[:-1]] |= same
+    win = np.concatenate([[0], np.cumsum(size[one])])  # positions of kind k: win[k]:win[k + 1]
+    first = np.repeat(least, size[one])
+    mixed = np.flatnonzero(many)
+    if len(mixed):
+        bytes_of = size[one][mixed] + length - 1
+        ranks = doubled(data[B.ranges(off[one[mixed]], bytes_of)], B.ranges(np.cumsum(bytes_of) - bytes_of, size[one][mixed]), length)
+        at, tied = B.ranges(win[mixed], size[one][mixed]), ranks >= 0
+        low = np.full(int(ranks.max(initial=0)) + 1, _LAST)
+        np.minimum.at(low, ranks[tied], first[at[tied]])
+        first[at[tied]] = low[ranks[tied]]
+    return first[B.ranges(win[code], size)] < np.repeat(doc, size)
+
+
 def rank_stretches(length):
+    """Answers a bucket's stretches, whole names at a time in parts of about PART_BYTES."""
+
     def run(key, table):
         B.tidy()
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         name, doc, size, data = (np.concatenate(get(*x)) for x in (("name", np.uint64), ("doc", np.int64), ("size", np.uint32), ("bytes", np.uint8)))
         size = size.astype(np.int64)
-        off = np.concatenate([[0], np.cumsum(size + length - 1)])
-        texts = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(off.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
-        code = texts.dictionary_encode().indices.to_numpy()
-        kinds = int(code.max()) + 1
-        least = np.full(kinds, _LAST)
-        np.minimum.at(least, code, doc)
-        one = np.empty(kinds, np.int64)
-        one[code[::-1]] = np.arange(len(code))[::-1]  # a stretch of each kind
-        # names with one kind of stretch need no ranks: all its positions tie with their own copies only
-        order = np.argsort(name[one], kind="stable")
-        ranked = name[one][order]
-        same = ranked[1:] == ranked[:-1]
-        many = np.zeros(kinds, bool)
-        many[order[1:]] |= same
-        many[order[:-1]] |= same
-        win = np.concatenate([[0], np.cumsum(size[one])])  # windows of kind k: win[k]:win[k + 1]
-        first = np.repeat(least, size[one])
-        mixed = np.flatnonzero(many)
-        if len(mixed):
-            length_of = size[one][mixed] + length - 1
-            buf = data[B.ranges(off[one[mixed]], length_of)]
-            base = np.cumsum(length_of) - length_of
-            ranks = doubled(buf, B.ranges(base, size[one][mixed]), length)
-            at = B.ranges(win[mixed], size[one][mixed])
-            tied = ranks >= 0
-            low = np.full(int(ranks.max(initial=0)) + 1, _LAST)
-            np.minimum.at(low, ranks[tied], first[at[tied]])
-            first[at[tied]] = low[ranks[tied]]
-        gone = first[B.ranges(win[code], size)] < np.repeat(doc, size)
-        counts = [len(x) for x in get("size", np.uint32)]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *counts])]
+        full = size + length - 1
+        off, win = np.cumsum(full) - full, np.cumsum(size) - size
+        gone = np.zeros(int(size.sum()), bool)
+        order = np.argsort(name, kind="stable")
+        part = (np.cumsum(full[order]) - 1) // PART_BYTES
+        head = np.ones(len(order), bool)
+        head[1:] = name[order][1:] != name[order][:-1]
+        part = np.maximum.accumulate(np.where(head, part, 0))  # a name stays in the part of its first stretch
+        for some in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            gone[B.ranges(win[some], size[some])] = _older(data[B.ranges(off[some], full[some])], size[some], doc[some], name[some], length)
+        ends = np.cumsum([0, *[int(x.sum()) for x in get("size", np.uint32)]])
         flags = [np.packbits(gone[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
         return pa.table([table["chunk"].combine_chunks(), table["start"].combine_chunks(), table["size"].combine_chunks(), pa.array(flags, pa.binary())], schema=_BACK)
 
