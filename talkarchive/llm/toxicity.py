@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
 
-PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 1000, 1024, 15, 64
-LEAST_Z, SHRINK, PREFIXES = 4.0, 0.05, (4, 5, 6)
+PER_CLASS, TERMS, NEIGHBOURS, BLOCK = 2000, 1024, 15, 64
+LEAST_Z, SHRINK, PREFIXES = 5.0, 0.05, (4, 5, 6)
 
 
 def _terms(data: np.ndarray, off: np.ndarray):
@@ -176,7 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
     if chosen is None:
         return Model([], 0.0)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").collect()  # 2 * per_class ids
-    one = {r.doc_id: (r.doc_id, r.text or "", r._label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))}
+    # copies of one text count once, or their words would all seem to go with its label
+    one = {(r.text or "", r._label): (r.doc_id, r.text or "", r._label) for r in sorted(rows, key=lambda r: -r.doc_id)}
     return Model(list(one.values()), counts.get(1, 0) / sum(counts.values()))
 
 
