@@ -67,3 +67,18 @@ def first_of_text(items: DataFrame) -> DataFrame:
     t = items.withColumn("norm", F.lower(fold("text"))).where("norm <> ''")
     w = Window.partitionBy("video_id", F.xxhash64("norm"), "norm").orderBy("item_idx")
     return t.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def to_retry(jobs: DataFrame) -> DataFrame:
+    """The newest failed job of each recording that has no active job, queued once more."""
+    w = Window.partitionBy("video_id").orderBy(F.col("created_at").desc(), F.col("job_id").desc())
+    newest = jobs.where("status = 'failed'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    active = jobs.where(F.col("status").isin(*ACTIVE)).select("video_id")
+    return newest.join(active, "video_id", "left_anti").withColumn("status", F.lit("queued"))
+
+
+def next_step(steps: DataFrame, count: int = 8) -> DataFrame:
+    """The first step of each job (job_id, step 1..count, progress) that is not done; null if all are."""
+    done = steps.where("progress >= 100").groupBy("job_id").agg(F.collect_set("step").alias("done"))
+    left = F.array_except(F.sequence(F.lit(1), F.lit(count)), F.coalesce("done", F.array().cast("array<int>")))
+    return steps.select("job_id").distinct().join(done, "job_id", "left").select("job_id", F.array_min(left).alias("next_step"))

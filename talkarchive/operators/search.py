@@ -89,3 +89,12 @@ def duplicate_candidates(recordings: DataFrame, threshold: float = 0.85) -> Data
 
 def classify(score):
     return F.when(score >= 0.95, "exact_duplicate").when(score >= 0.85, "probable_duplicate").otherwise("distinct")
+
+
+def recording_scores(hits: DataFrame, n: int = 5) -> DataFrame:
+    """Recordings of each query by their two best weighted chunks: 0.7 best + 0.3 mean; hits: query_id, own_id, video_id, weighted."""
+    other = hits.where("video_id <> own_id")
+    top = other.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "video_id").orderBy(F.col("weighted").desc()))).where("_r <= 2")
+    score = top.groupBy("query_id", "video_id").agg(F.round(0.7 * F.max("weighted") + 0.3 * F.avg("weighted"), 6).alias("score"))
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "video_id")
+    return score.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

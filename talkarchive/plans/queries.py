@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import text as T
+from ..functions import plans as P, text as T
 from ..operators import folds, intervals as I, jobs as J, search as S
 from ..sources import tables as X
 from ..streaming import live
@@ -273,3 +273,74 @@ def h1_h2_words_to_segments(spark, d):
 @query()
 def h4_chunking(spark, d):
     return folds.chunk_transcript(X.turns(spark, d))
+
+
+@query(f"WITH {_JOBS} SELECT job_id FROM j WHERE status = 'queued' AND job_id % 3 = 0")
+def j10_never_enqueued(spark, d):
+    jobs = X.jobs(spark, d).withColumn("task_id", F.when(F.col("job_id") % 3 != 0, F.col("job_id").cast("string")))
+    return jobs.where("status = 'queued' and task_id is null").select("job_id")
+
+
+_FAILED = "f AS (SELECT job_id, video_id, created_at, CASE WHEN status = 'completed' AND job_id % 2 = 0 THEN 'failed' ELSE status END AS status FROM j WHERE status = 'completed' OR job_id % 5 = 0)"
+
+
+@query(f"WITH {_JOBS}, {_FAILED} SELECT video_id, job_id, 'queued' AS status FROM f WHERE status = 'failed' AND video_id NOT IN (SELECT video_id FROM f WHERE status IN ('queued', 'processing')) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC, job_id DESC) = 1")
+def w12_retry(spark, d):
+    jobs = X.jobs(spark, d).where("status = 'completed' or job_id % 5 = 0")
+    jobs = jobs.withColumn("status", F.when((F.col("status") == "completed") & (F.col("job_id") % 2 == 0), "failed").otherwise(F.col("status")))
+    return J.to_retry(jobs).select("video_id", "job_id", "status")
+
+
+@query("""WITH s AS (SELECT l_orderkey AS job_id, l_linenumber::INT AS step, l_quantity * 4 >= 100 AS done FROM lineitem), a AS (SELECT job_id, k.k AS step FROM (SELECT DISTINCT job_id FROM s), unnest(range(1, 9)) k(k))
+SELECT job_id, min(step)::INT AS next_step FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE done AND s.job_id = a.job_id AND s.step = a.step) GROUP BY job_id""")
+def p15_resume_plan(spark, d):
+    return J.next_step(X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("int").alias("step"), (F.col("l_quantity") * 4).alias("progress")))
+
+
+@query("SELECT c_custkey AS video_id FROM customer WHERE contains(lower(c_name), '12') ORDER BY c_custkey DESC LIMIT 20")
+def p8_recording_list(spark, d):
+    rows = X.table(spark, d, "customer").where(F.contains(F.lower("c_name"), F.lit("12")))
+    return J.page(rows, 1, 20, F.col("c_custkey").desc()).select(F.col("c_custkey").alias("video_id"))
+
+
+@query(f"WITH {_SEG} SELECT video_id, seg_idx FROM seg WHERE \"start\" >= 8 AND \"end\" <= 20")
+def p7_section(spark, d):
+    return X.segments(spark, d).where("start >= 8 and end <= 20").select("video_id", F.col("seg_idx").cast("long").alias("seg_idx"))
+
+
+@query("""WITH c AS (SELECT vec_id AS id, label, vec_id % 5 AS t, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM c WHERE id % 100 = 0),
+s AS (SELECT q.id AS query_id, q.label AS own, c.id AS chunk, c.label AS video_id, c.t, round(list_cosine_similarity(q.v, c.v), 9) AS x FROM q, c), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk) <= 30),
+w AS (SELECT query_id, video_id, x * (list_extract([0.98, 0.78, 0.68, 0.45, 0.65], t + 1))::DOUBLE AS y FROM k WHERE video_id <> own), p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY y DESC) <= 2),
+r AS (SELECT query_id, video_id, round(0.7::DOUBLE * max(y) + 0.3::DOUBLE * avg(y), 6) AS score FROM p GROUP BY ALL)
+SELECT query_id, video_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id))::INT AS "rank" FROM r QUALIFY "rank" <= 5""")
+def a6_recording_scores(spark, d):
+    rows = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
+    found = S.nearest_vectors(rows.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), rows, 30).drop("rank")
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("transcript", "summary", "topic", "slide", "other")]), (F.col("chunk_id") % 5 + 1).cast("int"))
+    hits = found.join(rows.select("chunk_id", F.col("label").alias("video_id")), "chunk_id").withColumn("weighted", F.col("cosine") * P.match_weight(kind, F.lit("")))
+    own = rows.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own_id"))
+    return S.recording_scores(hits.join(own, "query_id"))
+
+
+@query("SELECT doc_id, 'video_content--' || substr(regexp_replace(lower(source || '/' || lang), '[^a-z0-9]+', '-', 'g'), 1, 31) || '-' || substr(sha256(source || '/' || lang), 1, 8) AS ns FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+def f22_namespace(spark, d):
+    rows = X.table(spark, d, "documents").where("source is not null and lang is not null")
+    return rows.select("doc_id", P.namespace(F.concat("source", F.lit("/"), "lang")).alias("ns"))
+
+
+@query("SELECT doc_id, array_to_string(list_transform(range(0, n_chars, 280), lambda a: a || '-' || least(a + 300, n_chars)), ',') AS windows FROM documents WHERE n_chars > 0")
+def f29_audio_chunks(spark, d):
+    rows = X.table(spark, d, "documents").where("n_chars > 0")
+    spans = F.transform(P.chunk_windows(F.col("n_chars"), 300, 20), lambda w: F.concat_ws("-", w["start"].cast("string"), w["end"].cast("string")))
+    return rows.select("doc_id", F.array_join(spans, ",").alias("windows"))
+
+
+@query("WITH n AS (SELECT doc_id, n_chars::DOUBLE AS z, least(12, floor(n_chars / 500.0::DOUBLE) + 1)::INT AS n FROM documents) SELECT doc_id, unnest(list_transform(range(0, n), lambda k: round(k * z / n, 6))) AS at FROM n")
+def f30_frame_times(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", F.explode(P.frame_times(F.col("n_chars").cast("double"), 500.0, 12)).alias("at"))
+
+
+@query(f"SELECT doc_id, 'transcript|' || array_to_string(list_sort(list_distinct({_tokens('s', 'text')})), ' ') AS signature FROM documents WHERE len(list_distinct({_tokens('s', 'text')})) >= 4")
+def f17_signature(spark, d):
+    rows = X.table(spark, d, "documents").select("doc_id", T.search_tokens("text").alias("t")).where("size(t) >= 4")
+    return rows.select("doc_id", F.concat(F.lit("transcript|"), F.array_join(F.array_sort("t"), " ")).alias("signature"))
