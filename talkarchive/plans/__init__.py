@@ -1,0 +1 @@
+from . import queries, views  # noqa: F401

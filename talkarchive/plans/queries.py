@@ -8,19 +8,7 @@ from ..functions import plans as P, text as T
 from ..operators import folds, intervals as I, jobs as J, search as S
 from ..sources import tables as X
 from ..streaming import live
-
-QUERIES, ORACLE_SQL = {}, {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query
 
 _STOP = {k: ", ".join(f"'{w}'" for w in v) for k, v in (("d", T.DUPLICATE_STOPWORDS), ("s", T.SEARCH_STOPWORDS))}
 
