@@ -36,6 +36,25 @@ def bigrams(tokens: Column) -> Column:
     return F.array_distinct(pairs)
 
 
+def phrases(tokens: Column) -> Column:
+    """Different runs of 3 and of 4 tokens, joined by spaces."""
+    after = lambda xs, k: F.slice(xs, k, F.greatest(F.size(xs) - (k - 1), F.lit(0)))
+    two = F.zip_with(tokens, after(tokens, 2), lambda a, b: F.concat(a, F.lit(" "), b))
+    three = F.zip_with(two, after(tokens, 3), lambda a, b: F.concat(a, F.lit(" "), b))
+    four = F.zip_with(three, after(tokens, 4), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.array_compact(F.concat(three, four)))
+
+
+_LETTER = r"[^A-Za-z0-9\s]*[A-Za-z0-9][^A-Za-z0-9\s]*"
+
+
+def joined_letters(c) -> Column:
+    """Folded text whose runs of three and more one-letter words, marks aside, are one word: `R O. C M` is `ROCM`."""
+    run = rf"(?<!\S){_LETTER}(?: {_LETTER}){{2,}}(?!\S)"
+    words = F.regexp_extract_all(fold(c), F.lit(run + r"|\S+"), F.lit(0))
+    return F.array_join(F.transform(words, lambda w: F.when(w.contains(" "), F.regexp_replace(w, "[^A-Za-z0-9]", "")).otherwise(w)), " ")
+
+
 def clock(seconds: Column) -> Column:
     s = F.floor(F.coalesce(seconds, F.lit(0))).cast("long")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")

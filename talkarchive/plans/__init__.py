@@ -1 +1 @@
-from . import media, queries, views  # noqa: F401
+from . import media, queries, search, views  # noqa: F401
