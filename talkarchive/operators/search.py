@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .settle import settled
 
 #: Queries a block: what is sent to every task at once.
 BLOCK = 2000
@@ -74,7 +75,7 @@ def duplicate_candidates(recordings: DataFrame, threshold: float = 0.85) -> Data
     containment share one of them.
     """
     least = (threshold - 0.6) / 0.4 - 1e-9
-    sets = recordings.select("video_id", F.array_distinct(T.duplicate_tokens("text")).alias("tokens")).where("size(tokens) > 0").withColumn("n", F.size("tokens"))
+    sets = settled(recordings.select("video_id", F.array_distinct(T.duplicate_tokens("text")).alias("tokens"))).where("size(tokens) > 0").withColumn("n", F.size("tokens"))
     long = sets.select("video_id", "n", F.explode("tokens").alias("token"))
     rarity = long.groupBy("token").agg(F.count("*").alias("df"))
     ranked = long.join(rarity, "token").withColumn("r", F.row_number().over(Window.partitionBy("video_id").orderBy("df", "token")))
