@@ -1 +1 @@
-from . import media, queries, search, views  # noqa: F401
+from . import index, media, queries, search, views  # noqa: F401
