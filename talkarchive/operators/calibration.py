@@ -151,5 +151,5 @@ def manifest_fixtures(manifest: DataFrame, folder: str) -> DataFrame:
     path = F.coalesce("f.media_path", "f.audio_path", "f.video_path")
     full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
-    keys = F.array_sort(F.filter(F.transform(F.coalesce("f.expected_supporting_keys", F.array().cast("array<string>")), F.trim), lambda k: k != ""))
+    keys = F.array_sort(F.filter(F.transform(F.coalesce("f.expected_supporting_keys", F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k != ""))
     return rows.select(F.coalesce("f.label", stem).alias("label"), full.alias("path"), F.col("f.expected_primary_key").alias("expected_primary_key"), keys.alias("expected_supporting_keys"), F.coalesce("f.use_for_calibration", F.lit(True)).alias("use_for_calibration"))
