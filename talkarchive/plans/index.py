@@ -50,3 +50,19 @@ def f28_prompt(spark, d):
     head = P.prompt(F.concat(F.lit("talk "), "video_id"), F.col("video_id") % 3 + 1, F.lit(3), F.lit(0.0), F.lit(60.0), spoken, F.array_join(slides, "\n"), F.lit(None).cast("string"), F.lit(None).cast("string"))
     frames, chars = P.window_budgets(F.lit(3))
     return rows.select("video_id", head.alias("prompt"), frames.alias("frames"), chars.alias("chars"))
+
+
+@query("SELECT doc_id, array_to_string(CASE WHEN n_chars <= 300 THEN [0::BIGINT] ELSE list_transform(range(0, 5), lambda k: greatest(0, least(n_chars - 300, round_even(k * (n_chars - 300) / 4.0::DOUBLE, 0)))::BIGINT) END, ',') AS offsets FROM documents")
+def f23_sample_offsets(spark, d):
+    from ..functions import plans
+
+    rows = X.table(spark, d, "documents").select("doc_id", plans.sample_offsets(F.col("n_chars"), F.lit(300), F.lit(5)).alias("o"))
+    return rows.select("doc_id", F.array_join(F.transform("o", lambda x: x.cast("string")), ",").alias("offsets"))
+
+
+@query("""WITH s AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS t FROM documents)
+SELECT doc_id AS video_id, count(*) FILTER (t = '' OR regexp_matches(t, '^[:;|/ -]+$') OR NOT regexp_matches(t, '[\\p{L}\\p{N}]')) AS n FROM s GROUP BY 1""")
+def p12_low_signal(spark, d):
+    from ..functions import text as T
+
+    return X.segments(spark, d).groupBy("video_id").agg(F.count_if(T.low_signal("text")).alias("n"))
