@@ -97,3 +97,19 @@ def export_markdown(recordings: DataFrame, segments: DataFrame) -> DataFrame:
     lines = segments.where("text is not null").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("line")))).alias("l"))
     text = F.concat_ws("\n", F.concat(F.lit("# "), "title"), F.lit(""), F.lit("## Transcript"), F.array_join(F.transform("l", lambda x: x["line"]), "\n"))
     return recordings.join(lines, "video_id", "left").select("video_id", text.alias("markdown"))
+
+
+def chunk_sources(spoken: DataFrame, summaries: DataFrame, slides: DataFrame) -> DataFrame:
+    """All pieces of recordings to index, in one table, each folded text once a recording: the first by kind and place.
+
+    spoken: video_id, place, text; summaries: video_id, executive_summary, key_points; slides: video_id, place, title,
+    content, joined as `title: content`. Empty texts go.
+    """
+    line = lambda df, kind, n, place, text: df.select("video_id", F.lit(kind).alias("type"), F.lit(n).alias("_n"), place.cast("long").alias("place"), T.fold(text).alias("text"))
+    points = summaries.select("video_id", F.posexplode("key_points").alias("place", "text"))
+    slide = F.concat_ws(": ", F.nullif(T.fold("title"), F.lit("")), F.nullif(T.fold("content"), F.lit("")))
+    rows = line(spoken, "transcript", 0, F.col("place"), F.col("text")).unionByName(line(summaries, "summary", 1, F.lit(0), F.col("executive_summary")))
+    rows = rows.unionByName(line(points, "summary", 2, F.col("place"), F.col("text"))).unionByName(line(slides, "slide", 3, F.col("place"), slide)).where("text <> ''")
+    key = F.lower("text")
+    first = Window.partitionBy("video_id", F.xxhash64(key), key).orderBy("_n", "place")
+    return rows.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_n")

@@ -136,3 +136,12 @@ def f21_metadata(spark, d):
     number = F.when(F.col("doc_id") % 3 == 0, float("nan")).otherwise(F.col("n_chars").cast("double"))
     rows = X.table(spark, d, "documents").where("source is not null")
     return rows.select("doc_id", R.clean_number(number).alias("number"), R.clean_text(F.concat(F.lit(" "), "lang", F.lit("\t"))).alias("word"), R.clean_list(F.array(F.lit(None), "source")).alias("list"))
+
+
+@query("""WITH a AS (SELECT conv_id AS v, 'transcript' AS type, 0 AS n, turn AS place, text AS t FROM conversations UNION ALL SELECT conv_id, 'summary', 1, 0, text FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id, 'summary', 2, 0, 'Point ' || conv_id FROM conversations WHERE turn = 1
+UNION ALL SELECT conv_id, 'summary', 2, 1, 'POINT ' || conv_id FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id, 'slide', 3, turn, role || ': ' || text FROM conversations),
+f AS (SELECT v, type, n, place, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM a) SELECT v AS video_id, type, place, text FROM f WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY v, lower(text) ORDER BY n, place) = 1""")
+def u1_chunk_sources(spark, d):
+    turns = X.turns(spark, d).withColumnRenamed("seg_idx", "place")
+    summaries = turns.where("place = 1").select("video_id", F.col("text").alias("executive_summary"), F.array(F.concat(F.lit("Point "), "video_id"), F.concat(F.lit("POINT "), "video_id")).alias("key_points"))
+    return V.chunk_sources(turns, summaries, turns.select("video_id", "place", F.col("speaker").alias("title"), F.col("text").alias("content")))
