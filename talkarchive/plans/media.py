@@ -61,7 +61,7 @@ def h9_difference_hash(spark, d):
 
 @query()
 def h8_keyframes(spark, d):
-    """Frames kept of each label's pictures; tests hold the walk against a plain one."""
+    """Frames kept of each label's pictures; tests hold the walk against a fixed case."""
     return R.keyframes(_pictures(spark, d), 8.0, 14.0)
 
 
