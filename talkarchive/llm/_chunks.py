@@ -9,49 +9,72 @@ a matter of chunk numbers, so no position travels. Both passes read one exchange
 
 from __future__ import annotations
 
+import itertools
 import math
 import tempfile
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._bytes import tidy
 
 CHUNK_BYTES = 8 << 20
-PROBES = 1000
+#: Ranges of equally many ids that the driver sees, at every size, and what a row weighs beside its text.
+PROBES, ROW_BYTES = 1000, 16
 
 
-def chunk_of(df: DataFrame, id_column: str, cuts: list[float]) -> DataFrame:
-    """df with the column chunk: the range of cuts that its id falls in; null ids come after all ranges."""
-    cut = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="_at", outputCol="chunk", handleInvalid="keep")
-    return cut.transform(df.withColumn("_at", F.col(id_column).cast("double"))).withColumn("chunk", F.col("chunk").cast("int")).drop("_at")
+def _numbers(values) -> Column:
+    return F.expr(f"array({', '.join(f'{float(x)!r}D' for x in values)})")
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_cuts: bool = False, carry: str | None = None):
-    """((chunk, doc_id, text), bytes of text), and the cuts between chunks if asked for. One pass over the ids and text lengths finds the ranges.
+def placed(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES):
+    """(add, bytes of text): add(df, id_column) gives df the column chunk, whose order is the order of ids.
 
-    Null ids count as the largest and share the last chunk. The driver gets one boundary a chunk. carry: a column that
-    travels with the texts.
+    PROBES ranges of equally many ids are weighed by the bytes of their texts. An id's place in the corpus is what the
+    ranges before its own weigh and its share of its own, by its distance from the least id there; the place names the
+    chunk. So long texts get narrower ranges of ids, and the driver holds PROBES numbers however many chunks there are.
+    Null ids come after all others.
+    """
+    at = F.col("doc_id").cast("double")
+    q = docs.agg(F.percentile_approx(at, [i / PROBES for i in range(1, PROBES)], 100 * PROBES).alias("q")).first().q
+    bucketizer = Bucketizer(splits=[-math.inf, *(sorted(set(q or [])) or [0.0]), math.inf], inputCol="_at", outputCol="_range")
+
+    def ranged(df: DataFrame, id_column: str) -> DataFrame:
+        known = F.col(id_column).isNotNull()
+        out = bucketizer.transform(df.withColumn("_at", F.coalesce(F.col(id_column).cast("double"), F.lit(0.0))))
+        return out.withColumn("_range", F.when(known, F.col("_range").cast("int")))
+
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    seen = ranged(docs.select("doc_id", "text"), "doc_id").groupBy("_range").agg(F.sum(size).alias("text"), F.sum(size + ROW_BYTES).alias("b"), F.min("_at").alias("low"), F.max("_at").alias("high")).collect()
+    weights, lows, widths = ([0.0] * (len(bucketizer.getSplits()) - 1) for _ in range(3))
+    for r in seen:
+        if r._range is not None:
+            weights[r._range], lows[r._range], widths[r._range] = float(r.b), r.low, r.high - r.low + 1
+    before = [0.0, *itertools.accumulate(weights)]
+    last = int(before[-1] // chunk_bytes) + 1
+    before, weights, lows, widths = (_numbers(x) for x in (before, weights, lows, [max(1.0, x) for x in widths]))
+
+    def add(df: DataFrame, id_column: str) -> DataFrame:
+        of = lambda numbers: F.element_at(numbers, F.col("_range") + 1)
+        share = F.greatest(F.lit(0.0), F.least(of(weights), of(weights) * (F.col("_at") - of(lows)) / of(widths)))
+        chunk = F.least(F.floor((of(before) + share) / chunk_bytes), F.lit(last - 1)).cast("int")
+        return ranged(df, id_column).withColumn("chunk", F.when(F.col("_range").isNull(), F.lit(last)).otherwise(chunk)).drop("_at", "_range")
+
+    return add, sum(r.text for r in seen)
+
+
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, with_places: bool = False, carry: str | None = None):
+    """((chunk, doc_id, text), bytes of text), and the function that places other ids alike if asked for.
+
+    carry: a column that travels with the texts.
     """
     more = [carry] if carry else []
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-
-    def probe(n: int):
-        return docs.agg(F.sum(F.octet_length("text")).alias("b"), F.percentile_approx("doc_id", [i / n for i in range(1, n)], 100 * n).alias("q")).first()
-
-    got = probe(PROBES)
-    size = got.b or 0
-    n = max(1, math.ceil(size / chunk_bytes))
-    if n > PROBES:
-        picks = probe(n).q
-    else:
-        q = got.q or []
-        picks = [q[min(len(q) - 1, PROBES * i // n)] for i in range(1, n)] if q else []
-    cuts = sorted({float(x) for x in picks}) or [0.0]
-    parts = chunk_of(docs, "doc_id", cuts).select("chunk", "doc_id", "text", *more)
-    return (parts, size, cuts) if with_cuts else (parts, size)
+    add, size = placed(docs, chunk_bytes)
+    parts = add(docs, "doc_id").select("chunk", "doc_id", "text", *more)
+    return (parts, size, add) if with_places else (parts, size)
 
 
 def in_order(table: pa.Table) -> pa.Table:

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
-from ._chunks import CHUNK_BYTES, bucket_bits, chunk_of, chunked, in_order
-from .substring_dedup import _splits
+from ._chunks import CHUNK_BYTES, bucket_bits, chunked, in_order
 
 WEIGHT, ALPHA = 0.6, 0.1
 _KINDS = ("w", "p")  # words, pairs
@@ -32,6 +31,12 @@ _OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
+def _splits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Where each bucket of leading bits begins among sorted hashes, and their end."""
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+
+
 def _ddl(schema):
     names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
@@ -139,9 +144,9 @@ def score(bits):
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score; target_ids holds the doc_id of target documents."""
-    parts, size, cut = chunked(docs, chunk_bytes, with_cuts=True)
+    parts, size, add_chunk = chunked(docs, chunk_bytes, with_places=True)
     bits = bucket_bits(size / 6)
-    ids = chunk_of(target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null"), "_id", cut)
+    ids = add_chunk(target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null"), "_id")
     sent = parts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(send_counts(bits), _ddl(_SENT))
     back = sent.groupBy("bucket").applyInArrow(sum_counts, _ddl(_BACK))
     out = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score(bits), _OUT)

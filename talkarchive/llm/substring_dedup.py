@@ -35,18 +35,27 @@ def _hashes(table: pa.Table, window: int):
     return data, off, starts, ends, word_off, first, order, ranked, new
 
 
-def _splits(hashes: np.ndarray, bits: int) -> np.ndarray:
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def full_buckets(hashes: np.ndarray, bits: int):
+    """[(bucket, first, end)]: sorted hashes[first:end] have the leading bits bucket; buckets without any are left out."""
+    lead = hashes >> np.uint64(64 - bits)
+    head = np.flatnonzero(np.append(True, lead[1:] != lead[:-1])) if len(lead) else np.empty(0, np.int64)
+    return list(zip(lead[head].tolist(), head.tolist(), [*head[1:].tolist(), len(lead)]))
+
+
+def flagged(hashes: np.ndarray, bits: int, back: pa.Table) -> np.ndarray:
+    """The flags that the buckets (bucket, flags) answered, in the order of the sorted hashes."""
+    got, out = dict(zip(back["bucket"].to_pylist(), back["flags"].to_pylist())), np.zeros(len(hashes), bool)
+    for b, i, j in full_buckets(hashes, bits):
+        out[i:j] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i)
+    return out
 
 
 def send(window: int, bits: int):
     def run(key, table):
         *_, ranked, new = _hashes(in_order(table), window)
         hashes = ranked[new]
-        at = _splits(hashes, bits)
-        full = [b for b in range(1 << bits) if at[b + 1] > at[b]]
-        return pa.table([full, [key[0].as_py()] * len(full), [B.pack_sorted(hashes[at[b] : at[b + 1]]) for b in full]], schema=_SENT)
+        full = full_buckets(hashes, bits)
+        return pa.table([[b for b, _, _ in full], [key[0].as_py()] * len(full), [B.pack_sorted(hashes[i:j]) for _, i, j in full]], schema=_SENT)
 
     return run
 
@@ -82,12 +91,7 @@ def apply_flags(window: int, bits: int):
     def run(key, table, back):
         table = in_order(table)
         data, off, starts, ends, word_off, first, order, ranked, new = _hashes(table, window)
-        hashes = ranked[new]
-        at = _splits(hashes, bits)
-        old = np.zeros(len(hashes), bool)
-        for b, flags in zip(back["bucket"].to_pylist(), back["flags"].to_pylist()):
-            n = at[b + 1] - at[b]
-            old[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=int(n))
+        old = flagged(ranked[new], bits, back)
         repeated = np.empty(len(order), bool)
         repeated[order] = ~new | old[np.cumsum(new) - 1]
         gone = B.cover(first[repeated], window, len(starts))

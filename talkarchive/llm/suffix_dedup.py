@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from . import _bytes as B
 from ._chunks import CHUNK_BYTES, bucket_bits, chunked, in_order
-from .substring_dedup import _splits
+from .substring_dedup import flagged, full_buckets
 
 LENGTH, GRAM, SEGMENT, PART_BYTES = 50, 24, 1 << 16, 1 << 19
 _NAMES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())])
@@ -97,9 +97,8 @@ class _Chunk:
 def send_names(length, gram, bits):
     def run(key, table):
         names = np.unique(_Chunk(table, length, gram).name)
-        at = _splits(names, bits)
-        full = [b for b in range(1 << bits) if at[b + 1] > at[b]]
-        return pa.table([full, [key[0].as_py()] * len(full), [B.pack_sorted(names[at[b] : at[b + 1]]) for b in full]], schema=_NAMES)
+        full = full_buckets(names, bits)
+        return pa.table([[b for b, _, _ in full], [key[0].as_py()] * len(full), [B.pack_sorted(names[i:j]) for _, i, j in full]], schema=_NAMES)
 
     return run
 
@@ -124,10 +123,7 @@ def send_stretches(length, gram, bits):
     def run(key, table, back):
         c = _Chunk(table, length, gram)
         names, inverse = np.unique(c.name, return_inverse=True)
-        at = _splits(names, bits)
-        shared = np.zeros(len(names), bool)
-        for b, flags in zip(back["bucket"].to_pylist(), back["flags"].to_pylist()):
-            shared[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(flags, np.uint8), count=int(at[b + 1] - at[b]))
+        shared = flagged(names, bits, back)
         doc = c.ids[c.row]
         low, high = np.full(len(names), _LAST), np.full(len(names), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)
@@ -135,14 +131,12 @@ def send_stretches(length, gram, bits):
         which = np.flatnonzero((shared | (low < high))[inverse])
         which = np.sort(which[np.unique(c.hashes(which), return_index=True)[1]])
         which = which[np.argsort(c.name[which], kind="stable")]
-        at = _splits(c.name[which], bits)
         rows = [[] for _ in _SENT]
-        for b in range(1 << bits):
-            some = which[at[b] : at[b + 1]]
-            if len(some):
-                text = c.data[B.ranges(c.start[some], c.size[some] + length - 1)]
-                for column, value in zip(rows, (b, key[0].as_py(), c.name[some].tobytes(), doc[some].tobytes(), c.start[some].astype(np.uint32).tobytes(), c.size[some].astype(np.uint32).tobytes(), text.tobytes())):
-                    column.append(value)
+        for b, i, j in full_buckets(c.name[which], bits):
+            some = which[i:j]
+            text = c.data[B.ranges(c.start[some], c.size[some] + length - 1)]
+            for column, value in zip(rows, (b, key[0].as_py(), c.name[some].tobytes(), doc[some].tobytes(), c.start[some].astype(np.uint32).tobytes(), c.size[some].astype(np.uint32).tobytes(), text.tobytes())):
+                column.append(value)
         return pa.table(rows, schema=_SENT)
 
     return run

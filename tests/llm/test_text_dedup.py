@@ -1,9 +1,12 @@
 import hashlib
 import re
+from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from talkarchive.llm import simhash, substring_dedup
+from talkarchive.llm._chunks import placed
 
 from .data import documents, frame
 
@@ -113,3 +116,26 @@ def test_trees_lose_no_link():
 def test_digest_is_of_kept_text(spark):
     got = substring_dedup.remove_repeated_windows(frame(spark, [(1, "a  b\tc", None, None, None)])).first()
     assert hashlib.sha256(got.kept_text.encode()).hexdigest() == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_chunks_follow_ids_and_weigh_texts(spark):
+    """Chunks rise with ids, split where texts are long or ids are apart, and take null ids last."""
+    rows = [(k, "x" * 10) for k in range(3000)] + [(10**12 + k, "y" * 5000) for k in range(400)] + [(-5, None), (None, "z" * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    add, size = placed(docs, 100_000)
+    out = sorted(add(docs, "doc_id").select("doc_id", "chunk", "text").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    chunks = [r.chunk for r in out]
+    assert size == sum(len(t or "") for _, t in rows) and chunks == sorted(chunks)
+    assert out[-1].chunk > out[-2].chunk and out[0].doc_id == -5
+    sizes = Counter()
+    for r in out:
+        sizes[r.chunk] += len(r.text or "") + 16
+    assert max(sizes.values()) < 150_000 and len(sizes) >= 20
+    again = add(docs.select(F.col("doc_id").alias("_id")), "_id").select("_id", "chunk")
+    assert {(r._id, r.chunk) for r in again.collect()} == {(r.doc_id, r.chunk) for r in out}
+
+
+def test_chunks_of_no_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    add, size = placed(none)
+    assert size == 0 and add(none, "doc_id").count() == 0
