@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import prompts as P
+from ..functions import prompts as P, text as T
 from ..sources import archive as A, tables as X
 from .registry import query
 
@@ -66,3 +66,10 @@ def p12_low_signal(spark, d):
     from ..functions import text as T
 
     return X.segments(spark, d).groupBy("video_id").agg(F.count_if(T.low_signal("text")).alias("n"))
+
+
+@query("WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: ('0x' || substr(md5(w), 1, 7))::BIGINT % 64) AS p FROM documents) SELECT doc_id, array_to_string(list_transform(range(64), lambda k: len(list_filter(p, lambda x: x = k))), ',') AS counts FROM t")
+def e1_token_vectors(spark, d):
+    """The token counts behind the default embedding of every text."""
+    rows = X.table(spark, d, "documents")
+    return rows.select("doc_id", F.array_join(F.transform(T.token_counts(F.col("text")), lambda n: n.cast("string")), ",").alias("counts"))

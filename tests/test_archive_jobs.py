@@ -1,6 +1,9 @@
 """Jobs without SQL against plain forms, and edge cases of the others."""
 
+import hashlib
 import random
+import re
+from collections import Counter
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
@@ -158,3 +161,22 @@ def test_manifest(spark):
     df = spark.createDataFrame([([("x", None, "/abs/a.wav", None, "k", [" b", "a ", ""], None), (None, "clips/talk.one.mp4", None, None, None, None, False)],)], f"fixtures array<struct<{fixture.replace(' ', ':').replace(',:', ', ')}>>")
     got = [tuple(r) for r in calibration.manifest_fixtures(df, "/data/").collect()]
     assert got == [("x", "/abs/a.wav", "k", ["a", "b"], True), ("talk.one", "/data/clips/talk.one.mp4", None, [], False)]
+
+
+def test_answer_context(spark):
+    cols = {"video_id": "long", "kind": "string", "title": "string", "timestamp": "double", "text": "string", "context": "string", "score": "double", "created": "long"}
+    rows = [(1, 7, "transcript", "Plan", 65.0, "We ship.", "before / after", 0.99, 1), (1, 8, "summary", "Notes", None, "All agreed.", "", 0.5, None), (1, 9, "slide", None, 3.0, "Left out.", None, 0.1, 2)]
+    found = spark.createDataFrame(rows, "query_id long, " + ", ".join(f"{k} {v}" for k, v in cols.items()))
+    asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id long")
+    got = {r.query_id: r for r in ranking.answer_context(found, 2, asked).collect()}
+    assert got[1].context == "Source 1: Plan @ 01:05\nWe ship.\nSupporting context: before / after\nSource 2: Notes\nAll agreed."
+    assert got[1].confidence == 0.95 and got[1].answer is None
+    assert got[2].context is None and got[2].confidence == 0.0 and got[2].answer == ranking.NO_ANSWER
+
+
+def test_token_vectors(spark):
+    texts = ["Budget review, budget!", "", None, "é !!", "a " * 300 + "b"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.token_vector(F.col("t")).alias("v")).collect():
+        counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 64 for w in re.findall("[a-z0-9]+", (r.t or "").lower()))
+        norm = sum(n * n for n in counts.values()) ** 0.5 or 1
+        assert len(r.v) == 64 and all(abs(x - counts[k] / norm) < 1e-6 for k, x in enumerate(r.v))
