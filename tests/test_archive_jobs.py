@@ -169,7 +169,7 @@ def test_answer_context(spark):
     found = spark.createDataFrame(rows, "query_id long, " + ", ".join(f"{k} {v}" for k, v in cols.items()))
     asked = spark.createDataFrame([(1,), (2,), (2,)], "query_id long")
     got = {r.query_id: r for r in ranking.answer_context(found, 2, asked).collect()}
-    assert got[1].context == "Source 1: Plan @ 01:05\nWe ship.\nSupporting context: before / after\nSource 2: Notes\nAll agreed."
+    assert got[1].context == "Source 1: Plan @ 00:01:05\nWe ship.\nSupporting context: before / after\nSource 2: Notes\nAll agreed."
     assert got[1].confidence == 0.95 and got[1].answer is None
     assert got[2].context is None and got[2].confidence == 0.0 and got[2].answer == ranking.NO_ANSWER
 
