@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from talkarchive.llm import decontamination, language_id, simhash, source_mixing, substring_dedup
+from talkarchive.llm import decontamination, language_id, near_copies, source_mixing, substring_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,11 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group; of rows that repeat an id, the first text.
+    """Keeps the document with the least id of each group of near copies (five words, Jaccard 0.8 or more); of rows that
+    repeat an id, the first text.
 
     Where a whole group has null ids, one row of each different text stays.
     """
-    found = simhash.near_duplicates(docs)
+    found = near_copies.near_copies(docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
     left = docs.join(kept, docs.doc_id == F.col("_id"), "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     nameless = docs.where("doc_id is null").join(F.broadcast(kept.where("_id is null")), F.lit(True), "left_semi")
@@ -73,7 +74,7 @@ STAGES = [
     ("mixing sources", mix),
 ]
 
-#: Language ID and SimHash have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
+#: Language ID and near-dedup have no SQL form; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
