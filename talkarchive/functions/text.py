@@ -26,6 +26,12 @@ def search_tokens(c) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(SEARCH_STOPWORDS)))
 
 
+def inner_tokens(c) -> Column:
+    """Search tokens with other characters on both sides: whole tokens of any text that has c inside."""
+    words = F.regexp_extract_all(F.lower(c), F.lit("(?<=[^a-z0-9])[a-z0-9]{3,}(?=[^a-z0-9])"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(SEARCH_STOPWORDS))
+
+
 def plain_tokens(c) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
 

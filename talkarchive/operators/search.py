@@ -18,12 +18,24 @@ def lexical(queries: DataFrame, segments: DataFrame, limit: int = 24) -> DataFra
     """(query_id, video_id, seg_idx, score): the best segments of each query by token overlap and whole-text hits.
 
     Segments with a common token come from an equi join on tokens; a query text inside a segment implies its inner
-    tokens are there too, so only queries without an inner token are compared with every segment.
+    tokens are there too, so only queries without an inner token are compared with every segment, in blocks of a fixed
+    size. An empty query is in no segment.
     """
     q = queries.select("query_id", F.col("text").alias("query"), T.search_tokens("text").alias("q_tokens"))
     s = segments.select("video_id", "seg_idx", "text", T.search_tokens("text").alias("s_tokens"))
     pairs = q.select("query_id", F.explode("q_tokens").alias("token")).join(s.select("video_id", "seg_idx", F.explode("s_tokens").alias("token")), "token")
-    pairs = pairs.select("query_id", "video_id", "seg_idx").distinct()
+    pairs = pairs.select("query_id", "video_id", "seg_idx")
+    alone, block = q.where((F.trim("query") != "") & (F.size(T.inner_tokens("query")) == 0)).select("query_id", "query"), []
+
+    def inside(rows):
+        few = F.broadcast(queries.sparkSession.createDataFrame(rows, alone.schema))
+        return s.join(few, F.contains(F.lower("text"), F.lower("query"))).select("query_id", "video_id", "seg_idx")
+
+    for row in alone.toLocalIterator():
+        block.append(row)
+        if len(block) == BLOCK:
+            pairs, block = pairs.unionByName(inside(block)), []
+    pairs = (pairs.unionByName(inside(block)) if block else pairs).distinct()
     scored = pairs.join(q, "query_id").join(s, ["video_id", "seg_idx"]).withColumn("score", F.round(T.lexical_score(F.col("query"), F.col("q_tokens"), F.col("text"), F.col("s_tokens")), 6))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "video_id", "seg_idx")
     return scored.where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "video_id", "seg_idx", "score", "rank")
