@@ -68,7 +68,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("SimHash near-dedup", drop_near_duplicates),
+    ("near-dedup", drop_near_duplicates),
     ("substring dedup", drop_repeated_passages),
     ("benchmark decontamination", drop_benchmark_passages),
     ("mixing sources", mix),
