@@ -1,6 +1,6 @@
 """Near copies: documents linked by an exact Jaccard similarity of their word shingles, for the pipeline's near-dedup.
 
-A pair of 0.8 differs in up to 12 of a 3-word SimHash's 64 bits, where a vantage-point tree parts nothing (each half of
+A pair of 0.8 differs in up to 13 of a 3-word SimHash's 64 bits, where a vantage-point tree parts nothing (each half of
 a split keeps 93 % of the points). So pairs are found by min-hashes: BANDS times ROWS of them, of which a pair at the
 threshold shares a band with a chance of 0.99994. Texts of equal shingle sets are one point. Points that meet in a band,
 however indirectly, form a group; each group's texts travel once, and all its pairs are compared exactly. Groups above
