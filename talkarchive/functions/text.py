@@ -16,6 +16,11 @@ def fold(c) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def stripped(c) -> Column:
+    """Without Unicode whitespace at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def duplicate_tokens(c) -> Column:
     words = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]{3,}"), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(DUPLICATE_STOPWORDS))
@@ -62,12 +67,19 @@ def joined_letters(c) -> Column:
 
 
 def clock(seconds: Column) -> Column:
+    """HH:MM:SS; null counts as 0."""
     s = F.floor(F.coalesce(seconds, F.lit(0))).cast("long")
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     hours = F.floor(s / 3600)
     return F.concat(F.when(hours < 100, two(hours)).otherwise(hours.cast("string")), F.lit(":"), two(F.floor(s % 3600 / 60)), F.lit(":"), two(s % 60))
 
 
+def short_clock(seconds: Column) -> Column:
+    """MM:SS below an hour, HH:MM:SS from there on; null counts as 0."""
+    whole = clock(seconds)
+    return F.when(F.coalesce(seconds, F.lit(0)) < 3600, F.substring(whole, 4, 5)).otherwise(whole)
+
+
 def seconds_of(clock_text: Column) -> Column:
     """Seconds of a number, MM:SS or HH:MM:SS; null for anything else."""
     p = F.split(clock_text, ":")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import plans as P, text as T
-from ..operators import folds, intervals as I, jobs as J, search as S
+from ..operators import duplicates as D, folds, intervals as I, jobs as J, search as S
 from ..sources import tables as X
 from ..streaming import live
 from .registry import ORACLE_SQL, QUERIES, query
@@ -128,30 +128,65 @@ def j11_vector_top_k(spark, d):
     return S.nearest_vectors(rows.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), rows).select("query_id", "chunk_id", "rank")
 
 
-_J12 = f"""WITH {_TURNS}, q AS (SELECT item_id AS query_id, text AS qt, list_distinct({_tokens('s', 'text')}) AS qk FROM benchmark), s AS (SELECT video_id, seg_idx, text, list_distinct({_tokens('s', 'text')}) AS sk FROM tn),
-x AS (SELECT query_id, video_id, seg_idx, round((CASE WHEN contains(lower(text), lower(qt)) THEN 2.0::DOUBLE ELSE 0 END) + len(list_intersect(qk, sk))::DOUBLE / len(qk) + len(list_intersect(qk, sk))::DOUBLE / len(sk), 6) AS score FROM q, s WHERE list_has_any(qk, sk)),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, seg_idx))::INT AS "rank" FROM x), t AS (SELECT * FROM r WHERE "rank" <= 24)"""
+_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+_TITLE = "coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')"
+_PIECES = f"""pc AS (SELECT video_id, place, piece_idx::BIGINT AS piece_idx, {_STRIP.format('text')} AS text, tm, bonus, 'talk ' || video_id AS title FROM (
+ SELECT conv_id AS video_id, 'segment' AS place, turn AS piece_idx, text, turn * 10.0::DOUBLE AS tm, 0.4::DOUBLE AS bonus FROM conversations UNION ALL SELECT doc_id, 'executive', 0, text, NULL, 0.2 FROM documents
+ UNION ALL SELECT doc_id, 'key_point', i - 1, ls[i], NULL, 0.1 FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)
+ UNION ALL SELECT doc_id, 'topic', 0, concat_ws(' ', nullif(lang, ''), nullif(source, '')), 754, 0.1 FROM documents UNION ALL SELECT page_id, 'slide', 0, concat_ws(' ', nullif({_STRIP.format(_TITLE)}, ''), nullif(url, '')), page_id::DOUBLE, 0 FROM pages) WHERE text IS NOT NULL)"""
+_J12 = f"""WITH {_PIECES}, q AS (SELECT item_id AS query_id, text AS qt, lower({_STRIP.format('text')}) AS ql, list_distinct({_tokens('s', 'text')}) AS qk FROM benchmark), s AS (SELECT *, list_distinct({_tokens('s', 'text')}) AS sk FROM pc WHERE text <> ''),
+o AS (SELECT query_id, video_id, place, piece_idx, title, s.text, tm, bonus, len(list_intersect(qk, sk))::DOUBLE AS com, greatest(len(qk), 1) AS nq, greatest(len(sk), 1) AS ns, contains(lower(s.text), ql) AS whole FROM q, s WHERE ql <> ''),
+x AS (SELECT *, (CASE WHEN whole THEN 2.0::DOUBLE ELSE 0 END) + com / nq + com / ns + bonus AS raw FROM o WHERE whole OR com > 0),
+t AS (SELECT query_id, video_id, place, piece_idx, title, text, tm, round(raw, 6) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, coalesce(tm, 0), title DESC, text DESC, video_id, place, piece_idx))::INT AS "rank" FROM x QUALIFY "rank" <= 24)"""
 
 
-def _hits(spark, d):
-    return S.lexical(X.table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), X.turns(spark, d))
+def pieces(spark, d):
+    """Turns of conversations as segments; documents as summaries with their lines as key points and one topic; pages as slides."""
+    talks = X.table(spark, d, "conversations").select(F.col("conv_id").alias("video_id")).distinct()
+    docs, pages = X.table(spark, d, "documents").withColumnRenamed("doc_id", "video_id"), X.table(spark, d, "pages").withColumnRenamed("page_id", "video_id")
+    topic = F.array(F.struct(F.lit("12:34").alias("timestamp"), F.col("lang").alias("topic"), F.col("source").alias("summary")))
+    summaries = docs.select("video_id", F.col("text").alias("executive_summary"), F.split("text", "\n").alias("key_points"), topic.alias("topics"))
+    title = F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(""))
+    slides = pages.select("video_id", F.lit(0).alias("slide_idx"), F.col("video_id").alias("timestamp"), title.alias("title"), F.col("url").alias("content"))
+    ids = talks.unionByName(docs.select("video_id")).unionByName(pages.select("video_id")).distinct()
+    return S.pieces(ids.select("video_id", F.concat(F.lit("talk "), "video_id").alias("title"), F.lit("").alias("filename")), X.turns(spark, d), summaries, slides)
 
 
-@query(_J12 + " SELECT * FROM t")
+def hits(spark, d):
+    return S.lexical(X.table(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), pieces(spark, d))
+
+
+@query(_J12 + ' SELECT query_id, video_id, place, piece_idx, score, "rank" FROM t')
 def j12_lexical_search(spark, d):
-    return _hits(spark, d)
+    """Every benchmark text against every segment, summary, key point, topic and slide."""
+    return hits(spark, d).select("query_id", "video_id", "place", "piece_idx", "score", "rank")
 
 
-@query(_J12 + " SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY \"rank\") <= 1")
+@query(_J12 + ', c AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY "rank") <= 1) SELECT query_id, video_id, place, piece_idx, score, "rank" FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY "rank") <= 8')
 def w4_cap(spark, d):
-    return S.cap_per_recording(_hits(spark, d), 1)
+    """One hit a recording, as for an answer over several, and eight in all."""
+    return S.cap_per_recording(hits(spark, d), S.ask_cap(2), 8).select("query_id", "video_id", "place", "piece_idx", "score", "rank")
+
 
+_BIG = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || '::' || {0}[i + 1]))"
+_PRINTS = f"""f AS (SELECT doc_id, text AS spoken, array_to_string([x for x in [source, lang] if x <> ''], ' ') AS points, length(text) > 0 AS heard FROM documents),
+k AS (SELECT doc_id, spoken, points, heard, {_tokens('d', "spoken || ' ' || points")} AS w, list_distinct({_tokens('d', 'spoken')}) AS said FROM f), c AS (SELECT min(doc_id) AS id FROM f GROUP BY spoken, points),
+g AS (SELECT id, spoken, heard, list_distinct(w) AS words, {_BIG.format('w')} AS pairs, said, least(4000, length(CASE WHEN heard THEN spoken ELSE points END))::DOUBLE AS size FROM k JOIN c ON id = doc_id)"""
 
-@query(f"""WITH k AS (SELECT doc_id, list_distinct({_tokens('d', 'text')}) AS t FROM documents), l AS (SELECT doc_id, unnest(t) AS w FROM k), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM l x JOIN l y ON x.w = y.w AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, common::INT AS common, round(common::DOUBLE / least(len(x.t), len(y.t)), 6) AS containment, round(common::DOUBLE / (len(x.t) + len(y.t) - common), 6) AS jaccard
-FROM p JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE common >= (0.625::DOUBLE - 1e-9) * least(len(x.t), len(y.t))""")
+
+@query(f"""WITH {_PRINTS}, l AS (SELECT id, unnest(words) AS t FROM g), p AS (SELECT x.id AS a, y.id AS b, count(*)::DOUBLE AS n FROM l x JOIN l y ON x.t = y.t AND x.id < y.id GROUP BY ALL),
+z AS (SELECT a, b, n / least(len(x.words), len(y.words)) AS c, n / (len(x.words) + len(y.words) - n) AS j, x.pairs AS xp, y.pairs AS yp, x.said AS xs, y.said AS ys, x.spoken AS xt, y.spoken AS yt, 2 * least(x.size, y.size) / (x.size + y.size) AS rb FROM p JOIN g x ON x.id = a JOIN g y ON y.id = b WHERE n / least(len(x.words), len(y.words)) >= 0.5 OR len(x.said) < len(x.words) OR len(y.said) < len(y.words)),
+y AS (SELECT *, len(list_intersect(xp, yp))::DOUBLE AS np, len(list_intersect(xs, ys))::DOUBLE AS ns FROM z WHERE xt <> yt OR xt = ''),
+v AS (SELECT a, b, c, j, rb, CASE WHEN len(xp) + len(yp) > 0 THEN np / (len(xp) + len(yp) - np) ELSE 0 END AS ph, CASE WHEN len(xs) > 0 AND len(ys) > 0 THEN ns / least(len(xs), len(ys)) END AS t FROM y)
+SELECT a, b, round(c, 6) AS containment, round(ph, 6) AS phrase, round(j, 6) AS jaccard, round(t, 6) AS inside FROM v WHERE 0.4::DOUBLE * c + 0.2::DOUBLE * ph + 0.1::DOUBLE * j + 0.3::DOUBLE * rb >= 0.85::DOUBLE - 1e-9 OR 0.55::DOUBLE * t + 0.45::DOUBLE * rb >= 0.85::DOUBLE - 1e-9""")
 def j14_duplicate_candidates(spark, d):
-    return S.duplicate_candidates(X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), "text"))
+    """The terms without the sequence ratio of all pairs of different recordings that a ratio can lift to 0.85."""
+    docs = X.table(spark, d, "documents")
+    points = F.array_join(F.filter(F.array("source", "lang"), lambda x: x != ""), " ")
+    prints = docs.select(F.col("doc_id").alias("video_id"), F.coalesce("text", F.lit("")).alias("spoken"), points.alias("points"))
+    prints = prints.withColumn("text", F.concat_ws(" ", "spoken", "points"))
+    out = D.cheap_terms(D.features(D.classes(prints).where("video_id = class_id").drop("class_id")))
+    return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("containment", "phrase", "jaccard", "inside")])
 
 
 @query(f"WITH {_JOBS} SELECT video_id, job_id, status FROM j QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN status IN ('pending', 'queued', 'processing') THEN 0 WHEN status = 'completed' THEN 1 ELSE 2 END, created_at DESC, job_id DESC) = 1")

@@ -42,27 +42,51 @@ def _score(a, b):
     return min(s, 1.0)
 
 
+def _directed(text):
+    return {(a, b): _score(text[a], text[b]) for a in text for b in text if a != b}
+
+
 def test_duplicate_jobs_equal_all_pairs(spark):
-    rows = _recordings(spark, random.Random(5))
+    rng = random.Random(5)
+    rows = _recordings(spark, rng)
+    # the same speech with key points that differ, and recordings that share key points only
+    many = lambda k: [f"point{k}x{j} other{k}y{j}" for j in range(18)]
+    rows += [(100 + k, ["five spoken words are heard", "in every one of them"], many(k), "t") for k in range(3)]
+    rows += [(110 + k, [f"speech {k} alone"], ["budget was agreed", "launch in spring", "hire two people", "ship the release"], "t") for k in range(2)]
+    rows += [(120, None, ["word"], "t"), (121, None, ["word"], "u")]
     prints = duplicates.fingerprints(spark.createDataFrame(rows, RECORDING))
     text = {i: (" ".join(s for s in (segs or []) if s), " ".join(p for p in (pts or []) if p)) for i, segs, pts, _ in rows}
-    full = {(a, b): _score(text[a], text[b]) for a in text for b in text if a < b}
+    full = _directed(text)
     first = {i: min(j for j in text if text[j] == text[i]) for i in text}
     pairs = duplicates.pair_scores(prints).cache()
-    got = {(r.a, r.b): round(r.score, 6) for r in pairs.collect()}
-    assert got == {k: round(v, 6) for k, v in full.items() if v >= 0.85 and first[k[0]] == k[0] and first[k[1]] == k[1]} and got
+    got = {(r.source, r.candidate): round(r.score, 6) for r in pairs.collect()}
+    alike = lambda a, b: text[a][0] and text[a][0] == text[b][0]
+    lead = {i: min(j for j in text if j == i or alike(i, j)) for i in text}
+    want = {k: round(v, 6) for k, v in full.items() if v >= 0.85 and first[k[0]] == k[0] and first[k[1]] == k[1]}
+    assert got == {k: v for k, v in want.items() if not alike(*k) or lead[k[0]] in k} and (101, 100) in got
 
     kept = []
     for i in sorted(text):
-        if not any(full[k, i] >= 0.85 for k in kept):
+        if not any(full[i, k] >= 0.85 for k in kept):
             kept.append(i)
     out = {r.video_id: r.suppressed for r in duplicates.suppress_in_order(prints, pairs).collect()}
     assert out == {i: i not in kept for i in text}
-    assert not any(r.suppressed for r in duplicates.suppress_in_order(prints, pairs, "warn").collect())
-
-    best = {r.video_id: round(r.score, 6) for r in duplicates.best_matches(prints, pairs).collect()}
-    both = lambda i: max(full[min(i, j), max(i, j)] for j in text if j != i)
-    assert best == {i: round(both(i), 6) for i in text if both(i) >= 0.85}
+    for policy in ("warn", "off"):
+        assert not any(r.suppressed for r in duplicates.suppress_in_order(prints, pairs, policy).collect())
+
+    best = {r.video_id: (round(r.score, 6), r.match_id) for r in duplicates.best_matches(prints, pairs=pairs).collect()}
+    most = {i: max((round(full[i, j], 9), -j) for j in text if j != i) for i in text}
+    assert best == {i: (round(s, 6), -j) for i, (s, j) in most.items() if s > 0}
+    notes = duplicates.match_notes(duplicates.best_matches(prints, least=0.85, pairs=pairs))
+    assert {r.video_id for r in notes.collect()} == {i for i, (s, _) in most.items() if s >= 0.85}
+    assert duplicates.match_notes(duplicates.best_matches(prints, least=0.85, pairs=pairs), "off").count() == 0
+
+
+def test_fingerprints_hold_topics_and_executive_summary(spark):
+    kind = RECORDING + ", topics array<struct<topic string, summary string>>, executive_summary string"
+    rows = [(1, ["R O C M is on"], ["p"], "t", [("Budget", "two years"), (None, None)], " all  agreed "), (2, None, None, "Only title", None, None)]
+    got = {r.video_id: (r.spoken, r.points, r.text) for r in duplicates.fingerprints(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: ("ROCM is on", "p Budget two years all agreed", "ROCM is on p Budget two years all agreed"), 2: ("", "", "Only title")}
 
 
 def test_empty_recordings(spark):
