@@ -5,12 +5,12 @@ Every stage but the last returns the columns of documents. Its result is written
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talkarchive.llm import decontamination, language_id, near_copies, source_mixing, substring_dedup
+from talkarchive.llm._chunks import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -32,17 +32,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near copies (five words, Jaccard 0.8 or more); of rows that
-    repeat an id, the first text.
+    """Keeps one document of each group of near copies (five words, Jaccard 0.8 or more), the one of least id.
 
-    Where a whole group has null ids, one row of each different text stays.
+    SimHash with vantage-point trees finds the candidates within its radius, min-hashes those beyond it, and an exact
+    comparison decides. Rows are judged by their texts: of different texts under one id, or without ids, all stay.
     """
-    found = near_copies.near_copies(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    left = docs.join(kept, docs.doc_id == F.col("_id"), "left_semi").withColumn("_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    nameless = docs.where("doc_id is null").join(F.broadcast(kept.where("_id is null")), F.lit(True), "left_semi")
-    nameless = nameless.withColumn("_row", F.row_number().over(Window.partitionBy(F.xxhash64("text"), "text").orderBy("source")))
-    return left.unionByName(nameless).where("_row = 1").select(*COLUMNS)
+    return near_copies.first_of_copies(docs.select(*COLUMNS))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", identify_language),
-    ("near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("substring dedup", drop_repeated_passages),
     ("benchmark decontamination", drop_benchmark_passages),
     ("mixing sources", mix),
@@ -80,7 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; what the stages hand on lies in the folder of spark.checkpoint.dir."""
-    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    folder = shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

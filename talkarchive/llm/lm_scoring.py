@@ -146,7 +146,7 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk_bytes
     """doc_id, n_tokens, loss_target, loss_background, score; target_ids holds the doc_id of target documents."""
     parts, size, add_chunk = chunked(docs, chunk_bytes, with_places=True)
     bits = bucket_bits(size / 6)
-    ids = add_chunk(target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null"), "_id")
+    ids = add_chunk(target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null"), "_id", texts=False)
     sent = parts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(send_counts(bits), _ddl(_SENT))
     back = sent.groupBy("bucket").applyInArrow(sum_counts, _ddl(_BACK))
     out = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score(bits), _OUT)

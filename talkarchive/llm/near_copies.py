@@ -1,10 +1,12 @@
 """Near copies: documents linked by an exact Jaccard similarity of their word shingles, for the pipeline's near-dedup.
 
-A pair of 0.8 differs in up to 13 of a 3-word SimHash's 64 bits, where a vantage-point tree parts nothing (each half of
-a split keeps 93 % of the points). So pairs are found by min-hashes: BANDS times ROWS of them, of which a pair at the
-threshold shares a band with a chance of 0.99994. Texts of equal shingle sets are one point. Points that meet in a band,
-however indirectly, form a group; each group's texts travel once, and all its pairs are compared exactly. Groups above
-BLOCK_WORDS are cut into blocks by a hash, and every two blocks meet in a task of their own.
+SimHash fingerprints of five words, linked by the vantage-point trees of simhash, give the first candidates. A pair of
+0.8 differs in up to 13 of 64 bits, though, where such a tree parts nothing (each half of a split keeps 93 % of the
+points), so pairs beyond its radius are found by min-hashes: BANDS times ROWS of them, of which a pair at the threshold
+shares a band with a chance of 0.99994. Texts of equal shingle sets are one point. Points that meet in a fingerprint
+component or a band, however indirectly, form a group; each group's texts travel once, and all its pairs are compared
+exactly, so nothing is linked by a hash alone. Groups above BLOCK_WORDS are cut into blocks by a hash, and every two
+blocks meet in a task of their own.
 
 Cases: texts shorter than a shingle are one shingle; null texts and those without words link to each other only; a null
 doc_id has the component of its text and is never its name unless all ids are null; an empty table gives an empty result.
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
 from ._chunks import cut_lineage
-from .simhash import components, least_labels
+from .simhash import components, least_labels, near_duplicates
 
 #: The rule is five words and a similarity of NUMERATOR / DENOMINATOR or more.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -115,12 +117,12 @@ def compared(key, table):
     return pa.table([np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])], schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def near_copies(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, component_id (least doc_id reachable over pairs of 5-word Jaccard similarity 0.8 or more)."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("t", F.xxhash64("text"))
-    found = cut_lineage(texts.select(F.col("t").alias("doc_id"), "text").mapInArrow(prints, "t long, fp long, n long, bands array<long>").groupBy("t").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    points = cut_lineage(texts.select("doc_id", "t").groupBy("t").agg(F.min("doc_id").alias("least")).join(found.select("t", "fp", "n"), "t").groupBy("fp").agg(F.min("least").alias("least"), F.min("t").alias("t"), F.first("n").alias("n")))
-    keys = found.select("fp", F.explode("bands").alias("key"))
+def text_groups(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(t, root): texts (t = xxhash64(text), text) of one root are linked by pairs of 5-word Jaccard similarity 0.8 or more."""
+    found = cut_lineage(texts.mapInArrow(_named(prints), "t long, fp long, n long, bands array<long>").groupBy("t").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    points = cut_lineage(found.groupBy("fp").agg(F.min("t").alias("t"), F.first("n").alias("n")))
+    near = near_duplicates(texts.select(F.col("t").alias("doc_id"), "text"), SHINGLE).select(F.col("doc_id").alias("t"), F.xxhash64(F.lit("simhash"), "component_id").alias("key")).distinct()
+    keys = found.select("fp", F.explode("bands").alias("key")).unionByName(found.where("n > 0").select("t", "fp").join(near, "t").select("fp", "key"))
     met = keys.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("_top")).where("b <> _top").select("key", "b")
     groups = components(keys.join(met, "key").where("fp <> b").select(F.col("fp").alias("a"), "b"))
     # a component names only the nodes above its least one
@@ -136,8 +138,43 @@ def near_copies(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     chosen = texts.select("t", "text").join(members.select("t").distinct(), "t").groupBy("t").agg(F.first("text").alias("text"))
     rows = sent.join(chosen, "t").select(F.col("node").alias("fp"), "root", "meeting", "text", F.pmod(F.xxhash64("root", "meeting"), F.lit(n_tasks)).alias("task"))
     roots = components(rows.groupBy("task").applyInArrow(compared, "a long, b long"))
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    place = named.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")
-    ids = texts.select("doc_id", "t").join(found.select(F.col("t").alias("_t"), "fp"), F.col("t") == F.col("_t"))
-    return ids.join(place, ids.fp == F.col("_fp")).select("doc_id", "component_id")
+    return found.select("t", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("t", F.coalesce("root", "fp").alias("root"))
+
+
+def _named(of):
+    """prints over rows (t, text), whose first column it calls doc_id."""
+
+    def run(batches):
+        yield from of(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "text"]) for b in batches)
+
+    return run
+
+
+def hashed(docs: DataFrame) -> DataFrame:
+    """docs with t, the hash that stands for its text."""
+    return docs.withColumn("t", F.xxhash64(F.col("text").cast("string")))
+
+
+def near_copies(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """doc_id, component_id (least doc_id reachable over pairs of 5-word Jaccard similarity 0.8 or more)."""
+    texts = hashed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    rows = texts.select("doc_id", "t").join(text_groups(texts.select("t", "text"), block_words), "t")
+    return rows.join(rows.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def first_of_copies(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """One row of each group of near copies, as it is: the least doc_id (null last), then the least hashes of text and row.
+
+    Rows are told apart by all their columns, so different texts under one id, or under none, are judged by their texts
+    alone. Only narrow rows are grouped, a group's partial minima before the shuffle; texts meet the rows that stay.
+    """
+    columns, texts = docs.columns, hashed(docs)
+    found = cut_lineage(text_groups(texts.select("t", F.col("text").cast("string").alias("text")), block_words))
+    whole = texts.withColumn("_h", F.xxhash64(*[F.col(c) for c in columns]))
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "t", "_h")
+    kept = whole.select("doc_id", "t", "_h").join(found, "t").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.t").alias("t"), F.col("k._h").alias("_h"))
+    # a row of equal hash, text and all columns, that occurs more than once stays once
+    many = whole.groupBy("t", "_h").agg(F.count("*").alias("_n")).where("_n > 1").select("t", "_h").join(kept, ["t", "_h"], "left_semi")
+    one = whole.join(kept, ["t", "_h"], "left_semi")
+    once = one.join(many, ["t", "_h"], "left_anti").select(*columns)
+    return once.unionByName(one.join(many, ["t", "_h"], "left_semi").select(*columns).dropDuplicates())

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 import corpus_pipeline as P
 from talkarchive.llm import near_copies
 
-from . import test_pipeline
 from .data import documents, frame
 from .test_text_dedup import words
 
@@ -62,8 +61,20 @@ def test_stage_drops_planted_copies_and_keeps_clean_documents(spark, tmp_path):
     assert copies > 300 and kept == set(range(150))
 
 
-def test_each_stage_equals_brute_force_by_the_rule(spark, tmp_path, monkeypatch):
-    """tests/llm/test_pipeline.py with the rule of 0.8 in place of fingerprints within two bits."""
-    monkeypatch.setattr(test_pipeline, "fingerprint", lambda t: t)
-    monkeypatch.setattr(test_pipeline, "brute_components", lambda texts: brute(list(texts.items())))
-    test_pipeline.test_each_stage_equals_brute_force(spark, tmp_path)
+def test_stage_keeps_different_texts_of_one_id(spark, tmp_path):
+    a, b, c = ("".join(f"{p}{i} " for i in range(60)) for p in "abc")
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (None, b, "en", "s", 1), (None, c, "en", "s", 1), (None, c, "fr", "s", 1), (3, None, "en", "s", 0), (4, "", "en", None, 0)]
+    out = P.drop_near_duplicates(spark, frame(spark, rows, extra=False), str(tmp_path)).collect()
+    assert sorted((r.doc_id or 0, (r.text or "")[:3]) for r in out) == [(0, "c0 "), (1, "a0 "), (1, "b0 "), (3, "")]
+    assert P.drop_near_duplicates(spark, frame(spark, [], extra=False), str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("empty", ["documents", "benchmark", "labels"])
+def test_pipeline_on_empty_tables_and_odd_ids(spark, tmp_path, empty):
+    text = lambda p: "".join(f"{p}word{i} " for i in range(40))
+    rows = {"documents": [(1, text("a"), "en", "s", 1), (1, text("b"), "en", "s", 1), (None, text("c"), None, None, 1), (None, None, None, None, None)], "benchmark": [(1, text("b"))], "labels": [(1, 1, 0), (None, None, None)]}
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([] if name == empty else rows[name], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = P.run(spark, str(tmp_path)).collect()
+    assert len(out) == (0 if empty == "documents" else 3)

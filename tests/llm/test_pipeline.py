@@ -4,7 +4,8 @@ import corpus_pipeline as P
 
 from .data import documents, frame
 from .test_decontamination import brute, words as alnum
-from .test_text_dedup import brute_components, brute_windows, fingerprint, words
+from .test_near_copies import brute as brute_copies
+from .test_text_dedup import brute_windows, words
 
 
 def test_each_stage_equals_brute_force(spark, tmp_path):
@@ -24,7 +25,7 @@ def test_each_stage_equals_brute_force(spark, tmp_path):
         assert len(seen[k]) == docs.count()
     # language ID: only texts with a letter stay
     assert set(seen[0]) == {r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")}
-    comp = brute_components({d: fingerprint(r.text) for d, r in seen[0].items()})
+    comp = brute_copies([(d, r.text) for d, r in seen[0].items()])
     assert set(seen[1]) == set(comp.values()) and len(seen[1]) < len(seen[0])
     want = brute_windows([(d, r.text) for d, r in seen[1].items()], 20)
     assert set(seen[2]) == set(seen[1]) and any(w[1] for w in want.values())

@@ -1,12 +1,13 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
 import xxhash
 from pyspark.sql import functions as F
 
-from talkarchive.llm import simhash, substring_dedup
-from talkarchive.llm._chunks import placed
+from talkarchive.llm import lm_scoring, simhash, substring_dedup, suffix_dedup
+from talkarchive.llm._chunks import chunked, placed
 
 from .data import documents, frame
 
@@ -51,6 +52,49 @@ def test_substring_dedup_cases(spark):
     assert substring_dedup.remove_repeated_windows(frame(spark, [])).count() == 0
 
 
+def in_place(rows):
+    """(id, text) in the operator's order: null ids last, rows of one id by the hash of their text."""
+    signed = lambda t: (xxhash.xxh64_intdigest((t or "").encode(), 42) + 2**63) % 2**64 if t is not None else 42 + 2**63
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, signed(r[1]), r[1] or ""))
+
+
+def test_hot_and_missing_ids_are_split(spark):
+    rng = random.Random(8)
+    passages = [" ".join(f"p{k}x{rng.randrange(99)}" for _ in range(30)) for k in range(6)]
+    texts = [f"{' '.join(f'u{rng.randrange(10**6)}' for _ in range(40))} {rng.choice(passages)} end{i}" for i in range(240)]
+    rows = [((None, 7, i)[i % 3], t) for i, t in enumerate(texts)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    parts, _ = chunked(df, 4000)
+    sizes = {r.chunk: r.n for r in parts.groupBy("chunk").agg(F.sum(F.length("text")).alias("n")).collect()}
+    assert len(sizes) > 20 and max(sizes.values()) < 16000
+    seen, want = set(), []
+    for doc, t in in_place(rows):
+        ws, gone = words(t), set()
+        for i in range(len(ws) - 19):
+            gone |= set(range(i, i + 20)) if tuple(ws[i : i + 20]) in seen else set()
+            seen.add(tuple(ws[i : i + 20]))
+        want.append((doc is None, doc or 0, len(ws), len(gone), " ".join(w for i, w in enumerate(ws) if i not in gone)))
+    got = [(r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.remove_repeated_windows(df, chunk_bytes=4000).collect()]
+    assert sorted(got) == sorted(want) and sum(w[3] for w in want) > 3000
+    # bytes: rows of one id, or of none, never remove bytes of each other
+    old, cut = {}, []
+    for doc, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            k = b[i : i + 50]
+            old[k] = min(old.get(k, 2**63), 2**63 - 1 if doc is None else doc)
+    for doc, t in rows:
+        b, gone = (t or "").encode(), set()
+        for i in range(len(b) - 49):
+            gone |= set(range(i, i + 50)) if old[b[i : i + 50]] < (2**63 - 1 if doc is None else doc) else set()
+        cut.append((doc is None, doc or 0, len(b), len(gone)))
+    got = [(r.doc_id is None, r.doc_id or 0, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeated_bytes(df, chunk_bytes=4000).collect()]
+    assert sorted(got) == sorted(cut) and sum(c[3] for c in cut) > 3000
+    target = spark.createDataFrame([(7,), (3,)], "doc_id long")
+    few, one = (sorted((r.doc_id or -1, r.n_tokens, round(r.score or 0, 9)) for r in lm_scoring.cross_entropy_difference(df, target, n).collect()) for n in (4000, 1 << 24))
+    assert few == one
+
+
 def fingerprint(t):
     ws = words(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     if not ws:
@@ -126,7 +170,7 @@ def test_chunks_follow_ids_and_weigh_texts(spark):
     out = sorted(add(docs, "doc_id").select("doc_id", "chunk", "text").collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     chunks = [r.chunk for r in out]
     assert size == sum(len(t or "") for _, t in rows) and chunks == sorted(chunks)
-    assert out[-1].chunk > out[-2].chunk and out[0].doc_id == -5
+    assert out[-1].chunk >= out[-2].chunk and out[0].doc_id == -5
     sizes = Counter()
     for r in out:
         sizes[r.chunk] += len(r.text or "") + 16
