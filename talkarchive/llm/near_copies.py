@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
 from ._chunks import cut_lineage
-from .simhash import components, least_labels, near_duplicates
+from .simhash import components, least_labels, vantage_links
 
 #: The rule is five words and a similarity of NUMERATOR / DENOMINATOR or more.
 SHINGLE, NUMERATOR, DENOMINATOR = 5, 4, 5
@@ -53,22 +53,24 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = SHINGLE):
 
 
 def prints(batches):
-    """(t, fp, n, bands): the hash of the shingle set, its size, and the band keys; none for texts without words."""
+    """(t, fp, n, sim, bands): the hash of the shingle set, its size, its SimHash, and the band keys, none without words."""
     for ids, data, off in B.slices(batches, 2 << 20):
         h, bounds = shingles(data, off)
         n = np.diff(bounds)
         full = np.flatnonzero(n)
-        fp, keys = np.zeros(len(n), np.uint64), np.empty((len(full), BANDS), np.uint64)
+        fp, sim, keys = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.empty((len(full), BANDS), np.uint64)
         if len(full):
             at = bounds[full]
             fp[full] = B.mix(np.add.reduceat(B.mix(h), at) ^ n[full].astype(np.uint64))
+            ones = np.add.reduceat(np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), at, axis=0, dtype=np.int64)
+            sim[full] = np.packbits(2 * ones > n[full, None], axis=1).view(">u8")[:, 0]
             for b in range(BANDS):
                 key = np.full(len(full), b, np.uint64)
                 for x, y in _FACTORS[b * ROWS : (b + 1) * ROWS]:
                     key = B.mix(key ^ np.minimum.reduceat((h ^ x) * y, at))
                 keys[:, b] = key
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((n > 0) * BANDS)]), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([B.one_array(ids), pa.array(fp.view(np.int64)), pa.array(n, pa.int64()), lists], ["t", "fp", "n", "bands"])
+        yield pa.RecordBatch.from_arrays([B.one_array(ids), pa.array(fp.view(np.int64)), pa.array(n, pa.int64()), pa.array(sim.view(np.int64)), lists], ["t", "fp", "n", "sim", "bands"])
 
 
 def alike(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,12 +121,16 @@ def compared(key, table):
 
 def text_groups(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(t, root): texts (t = xxhash64(text), text) of one root are linked by pairs of 5-word Jaccard similarity 0.8 or more."""
-    found = cut_lineage(texts.mapInArrow(_named(prints), "t long, fp long, n long, bands array<long>").groupBy("t").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    points = cut_lineage(found.groupBy("fp").agg(F.min("t").alias("t"), F.first("n").alias("n")))
-    near = near_duplicates(texts.select(F.col("t").alias("doc_id"), "text"), SHINGLE).select(F.col("doc_id").alias("t"), F.xxhash64(F.lit("simhash"), "component_id").alias("key")).distinct()
-    keys = found.select("fp", F.explode("bands").alias("key")).unionByName(found.where("n > 0").select("t", "fp").join(near, "t").select("fp", "key"))
+    found = texts.mapInArrow(_named(prints), "t long, fp long, n long, sim long, bands array<long>").groupBy("t").agg(*[F.first(c).alias(c) for c in ("fp", "n", "sim", "bands")])
+    found = cut_lineage(found)
+    points = found.groupBy("fp").agg(F.min("t").alias("t"), F.first("n").alias("n"))
+    # one SimHash is one node: its texts share a key, and links name it by its least point
+    nodes = cut_lineage(found.where("n > 0").groupBy("sim").agg(F.min("fp").alias("least")))
+    end = lambda c: nodes.select(F.col("sim").alias(c), F.col("least").alias(f"{c}_fp"))
+    close = vantage_links(nodes.select(F.col("sim").alias("fp"))).join(end("a"), "a").join(end("b"), "b").select(F.col("a_fp").alias("a"), F.col("b_fp").alias("b"))
+    keys = found.where("n > 0").select("fp", F.explode(F.concat("bands", F.array(F.xxhash64(F.lit("simhash"), "sim")))).alias("key"))
     met = keys.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("_top")).where("b <> _top").select("key", "b")
-    groups = components(keys.join(met, "key").where("fp <> b").select(F.col("fp").alias("a"), "b"))
+    groups = components(keys.join(met, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").unionByName(close))
     # a component names only the nodes above its least one
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct()
     members = members.join(points.select(F.col("fp").alias("node"), "t", "n"), "node")

@@ -207,17 +207,22 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def vantage_links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(a, b): links of different fingerprints (fp, each once) within the radius, each shard's as stars to the least of a
+    group, found through one vantage-point tree."""
+    n = points.count()
+    sample = [r.fp for r in points.sample(min(1.0, SAMPLE / max(1, n)), 11).select("fp").limit(2 * SAMPLE).collect()]
+    depth = max(0, math.ceil(math.log2(max(1, n) / shard) * 1.3))
+    tree = grow(np.array(sorted(sample), np.int64).view(np.uint64), depth, radius, random.Random(5))
+    return points.select("fp").mapInArrow(dealt(tree, radius), "shard int, fp long").groupBy("shard").applyInArrow(linked(radius), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = cut_lineage(rows.mapInArrow(fingerprints(shingle), "doc_id long, fp long"))
     points = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    n = points.count()
-    sample = [r.fp for r in points.sample(min(1.0, SAMPLE / max(1, n)), 11).select("fp").limit(2 * SAMPLE).collect()]
-    depth = max(0, math.ceil(math.log2(max(1, n) / shard) * 1.3))
-    tree = grow(np.array(sorted(sample), np.int64).view(np.uint64), depth, radius, random.Random(5))
-    edges = points.select("fp").mapInArrow(dealt(tree, radius), "shard int, fp long").groupBy("shard").applyInArrow(linked(radius), "a long, b long")
-    roots = components(edges)
+    roots = components(vantage_links(points, radius, shard))
     named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     place = named.join(names, "root").select(F.col("fp").alias("_fp"), "component_id")

@@ -175,8 +175,8 @@ def test_chunks_follow_ids_and_weigh_texts(spark):
     for r in out:
         sizes[r.chunk] += len(r.text or "") + 16
     assert max(sizes.values()) < 150_000 and len(sizes) >= 20
-    again = add(docs.select(F.col("doc_id").alias("_id")), "_id").select("_id", "chunk")
-    assert {(r._id, r.chunk) for r in again.collect()} == {(r.doc_id, r.chunk) for r in out}
+    again = add(docs.select(F.col("doc_id").alias("_id")), "_id", texts=False).select("_id", "chunk")
+    assert {(r._id, r.chunk) for r in again.collect()} >= {(r.doc_id, r.chunk) for r in out}
 
 
 def test_chunks_of_no_rows(spark):
