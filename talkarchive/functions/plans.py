@@ -25,6 +25,12 @@ def frame_times(duration: Column, interval: float, most: int) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.round(k * duration / n, 6))
 
 
+def every_interval(duration: Column, interval: float) -> Column:
+    """0, interval, 2 intervals, .. below the duration; none for a duration of 0."""
+    n = F.ceil(duration / interval).cast("int")
+    return F.when(duration > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda k: F.round(k * F.lit(float(interval)), 6))).otherwise(F.array().cast("array<double>"))
+
+
 def namespace(model: Column) -> Column:
     """The chunk namespace of a model: a readable part of at most 31 characters and 8 digits of the name's SHA-256."""
     slug = F.substring(F.regexp_replace(F.lower(model), "[^a-z0-9]+", "-"), 1, 31)

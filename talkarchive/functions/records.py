@@ -30,14 +30,35 @@ def clean_tags(tags: Column) -> Column:
     return _if_any(F.filter(kept, lambda t, i: F.array_position(keys, F.lower(t)) == i + 1))
 
 
+def tag_filter(text: str | None) -> list[str]:
+    """The tags of a comma list, trimmed, each once whatever its case, as first spelled; no text: none."""
+    out: dict[str, str] = {}
+    for t in (text or "").split(","):
+        if t.strip():
+            out.setdefault(t.strip().lower(), t.strip())
+    return list(out.values())
+
+
+def has_all_tags(tags: Column, wanted: list[str]) -> Column:
+    """Does a recording have every tag, whatever its case? Without wanted tags all do; null tags are none."""
+    have = F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t))
+    return F.size(F.array_except(F.array(*[F.lit(t.lower()) for t in wanted]), have)) == 0 if wanted else F.lit(True)
+
+
+def has_any_tag(tags: Column, wanted: list[str]) -> Column:
+    """Does a recording have one of the tags, whatever its case? Without wanted tags all do."""
+    have = F.array_compact(F.transform(F.coalesce(tags, F.array().cast("array<string>")), lambda t: F.lower(t)))
+    return F.arrays_overlap(have, F.array(*[F.lit(t.lower()) for t in wanted])) if wanted else F.lit(True)
+
+
 def summary_of(answer: Column) -> Column:
     """The summary struct in a model's answer: the outermost braces as JSON; bad JSON: its first 500 characters."""
     plain = without_reasoning(answer)
     body = F.regexp_extract(plain, r"(?s)(\{.*\})", 1)
-    parsed = F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "executive_summary string, key_points array<string>, action_items array<string>, decisions array<string>")
+    parsed = F.from_json(F.when(F.try_parse_json(body).isNotNull(), body), "executive_summary string, key_points array<string>, action_items array<string>, decisions array<string>, topics array<struct<timestamp: string, topic: string, summary: string, speakers: array<string>>>")
     none = F.array().cast("array<string>")
     lists = [F.coalesce(parsed[k], none).alias(k) for k in ("key_points", "action_items", "decisions")]
-    return F.struct(F.coalesce(parsed["executive_summary"], F.when(parsed.isNull(), F.substring(plain, 1, 500)), F.lit("")).alias("executive_summary"), *lists)
+    return F.struct(F.coalesce(parsed["executive_summary"], F.when(parsed.isNull(), F.substring(plain, 1, 500)), F.lit("")).alias("executive_summary"), *lists, F.coalesce(parsed["topics"], F.array().cast("array<struct<timestamp: string, topic: string, summary: string, speakers: array<string>>>")).alias("topics"))
 
 
 def vision_answer(answer: Column) -> Column:
@@ -70,6 +91,12 @@ def clean_list(c: Column) -> Column:
     return F.to_json(_if_any(F.array_compact(c)))
 
 
+def clean_map(c: Column) -> Column:
+    """A map of strings as JSON text with its keys in order and without null values; null if nothing is left."""
+    kept = F.array_sort(F.map_entries(F.map_filter(c, lambda k, v: v.isNotNull())))
+    return F.when(F.size(kept) > 0, F.to_json(F.map_from_entries(kept)))
+
+
 def audit_event(path: Column, method: Column) -> Column:
     out = F.when(path.startswith("/api/auth/"), F.concat(F.lit("auth."), F.element_at(F.split(path, "/"), -1)))
     for prefix, event in AUDIT_EVENTS.items():

@@ -16,6 +16,63 @@ def display_job(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def display_status(recordings: DataFrame, jobs: DataFrame) -> DataFrame:
+    """recordings (video_id, has_file) with job_id and status: that of display_job; no job: uploaded; no file: failed if
+    there is a job, else missing."""
+    rows = recordings.join(display_job(jobs).select("video_id", "job_id", F.col("status").alias("_s")), "video_id", "left")
+    status = F.when(~F.col("has_file"), F.when(F.col("job_id").isNotNull(), "failed").otherwise("missing")).otherwise(F.coalesce("_s", F.lit("uploaded")))
+    return rows.withColumn("status", status).drop("_s")
+
+
+def completed(videos: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Recordings with a completed job."""
+    return videos.join(jobs.where("status = 'completed'").select("video_id"), "video_id", "left_semi")
+
+
+def never_enqueued(jobs: DataFrame) -> DataFrame:
+    """Queued jobs that no task was made for."""
+    return jobs.where("status = 'queued' and task_id is null")
+
+
+def cancelled(jobs: DataFrame, job_id=None, batch_id=None) -> DataFrame:
+    """The active jobs of one job id or of one batch, as cancelled; jobs that are over are refused: they don't come."""
+    mine = F.col("job_id") == job_id if job_id is not None else F.col("batch_id") == batch_id
+    return jobs.where(mine & F.col("status").isin(*ACTIVE)).withColumn("status", F.lit("cancelled"))
+
+
+def step_durations(events: DataFrame) -> DataFrame:
+    """Seconds between the first and the last event (job_id, step, ts) of each step."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.groupBy("job_id", "step").agg(((F.max(micros) - F.min(micros)) / 1000000).alias("seconds"))
+
+
+def within(events: DataFrame, days: int = 90, now: Column | None = None) -> DataFrame:
+    """Events (ts) of the last days, before now or before the newest event."""
+    if now is not None:
+        return events.where(F.col("ts") >= now - F.expr(f"INTERVAL {days} DAYS"))
+    newest = events.agg(F.max("ts").alias("_newest"))  # one row
+    return events.join(F.broadcast(newest), F.col("ts") >= F.col("_newest") - F.expr(f"INTERVAL {days} DAYS")).drop("_newest")
+
+
+def counted_page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """One page and, in each of its rows, the number of all rows."""
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    return page(rows, number, size, *order).join(F.broadcast(total), F.lit(True))
+
+
+def recording_list(recordings: DataFrame, needle: str | None, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of recordings (video_id, original_filename, title, created_at) whose file name or title has the needle,
+    whatever its case, newest first, with the total."""
+    has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit((needle or "").lower()))
+    return counted_page(recordings.where(has("original_filename") | has("title")), number, size, F.col("created_at").desc(), F.col("video_id").desc())
+
+
+def batch_list(batches: DataFrame, status: str | None = None, number: int = 1, size: int = 20) -> DataFrame:
+    """A page of batches (batch_id, status, created_at), of one status if given, newest first, with the total."""
+    rows = batches if status is None else batches.where(F.col("status") == status)
+    return counted_page(rows, number, size, F.col("created_at").desc(), F.col("batch_id"))
+
+
 def batch_status(jobs: DataFrame) -> DataFrame:
     count = lambda c: F.count_if(c)
     s = F.col("status")

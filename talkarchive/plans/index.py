@@ -38,13 +38,13 @@ def s4_without_recordings(spark, d):
     return left["chunks"].select(F.lit("chunks").alias("kind"), "id").unionByName(left["turns"].select(F.lit("turns").alias("kind"), "id"))
 
 
-@query("""WITH r AS (SELECT conv_id, 'Title: talk ' || conv_id || chr(10) || 'Part ' || (conv_id % 3 + 1) || ' of 3 (00:00:00 - 00:01:00)' AS head, string_agg('[00:00:' || lpad((turn * 10)::VARCHAR, 2, '0') || '] ' || role || ': ' || text, chr(10) ORDER BY turn) FILTER (turn < 4) AS spoken FROM conversations GROUP BY 1)
+@query("""WITH r AS (SELECT conv_id, 'Title: talk ' || conv_id || chr(10) || 'Part ' || (conv_id % 3 + 1) || ' of 3 (00:00:00 - 00:01:00)' AS head, string_agg('[' || lpad((turn * 10 // 3600)::VARCHAR, 2, '0') || ':' || lpad((turn * 10 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 10 % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS spoken FROM conversations GROUP BY 1)
 SELECT conv_id AS video_id, head || chr(10) || chr(10) || 'Transcript:' || chr(10) || spoken || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'Slides:' || chr(10) || '- 00:00:10 Plan' ELSE '' END AS prompt, 20 AS frames, 2666 AS chars FROM r WHERE spoken IS NOT NULL""")
 def f28_prompt(spark, d):
     from ..functions import text as T
 
     line = F.concat(F.lit("["), T.clock(F.col("start")), F.lit("] "), "speaker", F.lit(": "), "text")
-    rows = X.turns(spark, d).where("seg_idx < 4").groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("l")))).alias("l"))
+    rows = X.turns(spark, d).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", line.alias("l")))).alias("l"))
     spoken = F.array_join(F.transform("l", lambda x: x["l"]), "\n")
     slides = F.when(F.col("video_id") % 2 == 0, F.array(P.slide_line(F.lit(10.0), F.lit("Plan"), F.lit(""), F.array().cast("array<string>"))))
     head = P.prompt(F.concat(F.lit("talk "), "video_id"), F.col("video_id") % 3 + 1, F.lit(3), F.lit(0.0), F.lit(60.0), spoken, F.array_join(slides, "\n"), F.lit(None).cast("string"), F.lit(None).cast("string"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import plans as P, text as T
-from ..operators import duplicates as D, folds, intervals as I, jobs as J, search as S
+from ..functions import plans as P, records as K, text as T
+from ..operators import calibration as C, duplicates as D, folds, intervals as I, jobs as J, search as S
 from ..sources import tables as X
 from ..streaming import live
 from .registry import ORACLE_SQL, QUERIES, query
@@ -17,6 +17,7 @@ def _tokens(kind, text):
     return f"list_filter(regexp_extract_all(lower({text}), '[a-z0-9]{{3,}}'), lambda w: w NOT IN ({_STOP[kind]}))"
 
 
+_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _SEG = "seg AS (SELECT doc_id AS video_id, i - 1 AS seg_idx, ls[i] AS text, (i - 1) * 4.0::DOUBLE AS \"start\", (i - 1) * 4.0::DOUBLE + 4 AS \"end\" FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i))"
 _JOBS = "j AS (SELECT o_orderkey AS job_id, o_custkey AS video_id, o_orderpriority AS batch_id, CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'queued' ELSE 'processing' END AS status, o_orderdate AS created_at FROM orders)"
 _TURNS = "tn AS (SELECT conv_id AS video_id, turn AS seg_idx, role AS speaker, text, turn * 10.0::DOUBLE AS \"start\", turn * 10.0::DOUBLE + 10 AS \"end\" FROM conversations)"
@@ -47,14 +48,12 @@ def f9_reasoning(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE lower(source) = 'src0' AND lower(lang) = 'en'")
 def p2_all_tags(spark, d):
-    tags = F.transform(F.array("source", "lang"), F.lower)
-    return X.table(spark, d, "documents").where(F.size(F.array_except(F.array(F.lit("src0"), F.lit("en")), tags)) == 0).select("doc_id")
+    return X.table(spark, d, "documents").where(K.has_all_tags(F.array("source", "lang"), K.tag_filter(" SRC0, en,, EN "))).select("doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE lower(source) IN ('src1', 'fr') OR lower(lang) IN ('src1', 'fr')")
 def p3_any_tag(spark, d):
-    tags = F.transform(F.array("source", "lang"), F.lower)
-    return X.table(spark, d, "documents").where(F.arrays_overlap(F.array(F.lit("src1"), F.lit("fr")), tags)).select("doc_id")
+    return X.table(spark, d, "documents").where(K.has_any_tag(F.array("source", "lang"), ["Src1", "FR"])).select("doc_id")
 
 
 @query(f"WITH {_SEG} SELECT video_id, count(*) FILTER (regexp_matches(text, '\\p{{L}}') AND (len(regexp_extract_all(lower(text), '[a-z0-9]{{2,}}')) >= 3 OR length(text) >= 18)) AS n FROM (SELECT video_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM seg) GROUP BY video_id")
@@ -62,9 +61,10 @@ def p13_meaningful(spark, d):
     return X.segments(spark, d).groupBy("video_id").agg(F.count_if(T.meaningful("text", F.lit("transcript"))).alias("n"))
 
 
-@query(f"WITH {_JOBS} SELECT job_id, 'cancelled' AS status FROM j WHERE batch_id = '1-URGENT' AND status IN ('queued', 'processing')")
+@query(f"WITH {_JOBS} SELECT job_id, 'cancelled' AS status, count(*) OVER () AS n FROM j WHERE batch_id = '1-URGENT' AND status IN ('queued', 'processing')")
 def p14_cancel(spark, d):
-    return X.jobs(spark, d).where((F.col("batch_id") == "1-URGENT") & F.col("status").isin(*J.ACTIVE)).select("job_id", F.lit("cancelled").alias("status"))
+    rows = J.cancelled(X.jobs(spark, d), batch_id="1-URGENT").select("job_id", "status")
+    return rows.join(F.broadcast(rows.agg(F.count("*").alias("n"))), F.lit(True))  # one row
 
 
 @query(f"WITH {_JOBS} SELECT job_id, video_id FROM j WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 50")
@@ -91,9 +91,10 @@ def a1_talk_time(spark, d):
     return I.talk_time(I.label_speakers(X.turns(spark, d).drop("speaker"), _speaker_turns(spark, d)))
 
 
-@query(f"WITH {_SEG} SELECT video_id, seg_idx FROM (SELECT video_id, seg_idx, row_number() OVER (PARTITION BY video_id ORDER BY seg_idx) AS r FROM seg WHERE \"start\" <= 10 AND 10 <= \"end\") WHERE r = 1 UNION ALL SELECT doc_id, NULL FROM documents WHERE doc_id NOT IN (SELECT video_id FROM seg WHERE \"start\" <= 10 AND 10 <= \"end\")")
+@query(f"""WITH {_SEG}, p AS (SELECT doc_id, n_chars / 40.0::DOUBLE AS tm, coalesce(lang, '') AS needle FROM documents), t AS (SELECT doc_id, min(seg_idx) AS k FROM p JOIN seg ON video_id = doc_id AND "start" <= tm AND tm <= "end" GROUP BY 1),
+w AS (SELECT doc_id, min(seg_idx) AS k FROM p JOIN seg ON video_id = doc_id AND needle <> '' AND contains(text, needle) GROUP BY 1) SELECT doc_id AS video_id, coalesce(t.k, w.k) AS seg_idx FROM p LEFT JOIN t USING (doc_id) LEFT JOIN w USING (doc_id)""")
 def j3_segment_at(spark, d):
-    points = X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.lit(10.0).alias("at"), F.lit("\u0000").alias("needle"))
+    points = X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), (F.col("n_chars") / 40.0).alias("at"), F.coalesce("lang", F.lit("")).alias("needle"))
     return I.segment_at(points, X.segments(spark, d)).select("video_id", F.col("seg_idx").cast("long").alias("seg_idx"))
 
 
@@ -105,7 +106,7 @@ def j4_windows(spark, d):
 
 @query(f"WITH {_JOBS} SELECT c_custkey AS video_id FROM customer WHERE c_custkey % 10 <> 0 AND EXISTS (SELECT 1 FROM j WHERE video_id = c_custkey AND status = 'completed')")
 def j5_completed(spark, d):
-    return X.videos(spark, d).join(X.jobs(spark, d).where("status = 'completed'"), "video_id", "left_semi")
+    return J.completed(X.videos(spark, d), X.jobs(spark, d))
 
 
 @query(f"WITH {_JOBS} SELECT job_id, video_id, 'cancelled' AS status FROM j WHERE status IN ('queued', 'processing') AND video_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
@@ -128,7 +129,6 @@ def j11_vector_top_k(spark, d):
     return S.nearest_vectors(rows.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), rows).select("query_id", "chunk_id", "rank")
 
 
-_STRIP = "regexp_replace({}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
 _TITLE = "coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')"
 _PIECES = f"""pc AS (SELECT video_id, place, piece_idx::BIGINT AS piece_idx, {_STRIP.format('text')} AS text, tm, bonus, 'talk ' || video_id AS title FROM (
  SELECT conv_id AS video_id, 'segment' AS place, turn AS piece_idx, text, turn * 10.0::DOUBLE AS tm, 0.4::DOUBLE AS bonus FROM conversations UNION ALL SELECT doc_id, 'executive', 0, text, NULL, 0.2 FROM documents
@@ -189,33 +189,60 @@ def j14_duplicate_candidates(spark, d):
     return out.select("a", "b", *[F.round(c, 6).alias(c) for c in ("containment", "phrase", "jaccard", "inside")])
 
 
-@query(f"WITH {_JOBS} SELECT video_id, job_id, status FROM j QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN status IN ('pending', 'queued', 'processing') THEN 0 WHEN status = 'completed' THEN 1 ELSE 2 END, created_at DESC, job_id DESC) = 1")
+@query(f"""WITH {_JOBS}, b AS (SELECT video_id, job_id, status FROM j QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY CASE WHEN status IN ('pending', 'queued', 'processing') THEN 0 WHEN status = 'completed' THEN 1 ELSE 2 END, created_at DESC, job_id DESC) = 1)
+SELECT c_custkey AS video_id, job_id, CASE WHEN c_custkey % 4 = 0 THEN CASE WHEN job_id IS NULL THEN 'missing' ELSE 'failed' END ELSE coalesce(status, 'uploaded') END AS status FROM customer LEFT JOIN b ON video_id = c_custkey""")
 def w1_display_job(spark, d):
-    return J.display_job(X.jobs(spark, d)).select("video_id", "job_id", "status")
+    recordings = X.table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"), (F.col("c_custkey") % 4 != 0).alias("has_file"))
+    return J.display_status(recordings, X.jobs(spark, d)).select("video_id", "job_id", "status")
 
 
-@query(f"WITH {_TURNS} SELECT video_id, seg_idx, concat_ws(' [...] ', lag(text) OVER w, text, lead(text) OVER w) AS context FROM tn WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)")
+@query(f"WITH {_TURNS}, c AS (SELECT *, concat_ws(' [...] ', lag(text) OVER w, lead(text) OVER w) AS a FROM tn WINDOW w AS (PARTITION BY video_id ORDER BY seg_idx)) SELECT video_id, seg_idx, first_value(a) OVER (PARTITION BY video_id, \"start\", text ORDER BY seg_idx) AS context FROM c")
 def w2_context(spark, d):
     return I.with_context(X.turns(spark, d)).select("video_id", "seg_idx", "context")
 
 
-@query("""WITH p AS (SELECT page_id % 50 AS video_id, page_id AS "timestamp", coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages)
-SELECT * FROM (SELECT *, lag(title) OVER (PARTITION BY video_id ORDER BY "timestamp") AS b FROM p) WHERE title = '' OR b IS NULL OR title <> b""".replace("SELECT * FROM (SELECT *", 'SELECT video_id, "timestamp", title FROM (SELECT *'))
+@query("""WITH f AS (SELECT page_id % 50 AS video_id, page_id AS tm, CASE WHEN page_id % 3 <> 0 THEN coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '') ELSE '' END AS t, url AS ocr FROM pages WHERE page_id % 11 <> 0 AND page_id % 7 <> 3),
+p AS (SELECT video_id, tm, ocr, CASE WHEN t <> '' THEN t ELSE substr(ocr, 1, 50) END AS title FROM f), q AS (SELECT *, lag(title) OVER (PARTITION BY video_id ORDER BY tm) AS b FROM p)
+SELECT video_id, tm AS "timestamp", title, ocr AS content FROM q WHERE title = '' OR b IS NULL OR title <> b""")
 def w3_slide_titles(spark, d):
-    rows = X.table(spark, d, "pages").select((F.col("page_id") % 50).alias("video_id"), F.col("page_id").alias("timestamp"), F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit("")).alias("title"))
-    return I.changed_titles(rows)
+    p = F.col("page_id")
+    title = F.when(p % 3 != 0, F.coalesce(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(""))).otherwise("")
+    frames = X.table(spark, d, "pages").select((p % 50).alias("video_id"), p.alias("frame_id"), p.alias("timestamp"), (p % 11 != 0).alias("is_slide"), (p % 7 == 3).alias("low_relevance"), title.alias("slide_title"), F.col("url").alias("ocr_text"))
+    return I.slides_of(frames).select("video_id", "timestamp", "title", "content")
+
+
+_LINE = "'[' || lpad((seg_idx * 4 // 3600)::VARCHAR, 2, '0') || ':' || lpad((seg_idx * 4 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((seg_idx * 4 % 60)::VARCHAR, 2, '0') || '] Unknown: ' || " + _STRIP.format("text")
 
 
-@query(f"WITH {_SEG}, u AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text) AS n FROM seg), c AS (SELECT *, min(CASE WHEN n > 1000 THEN seg_idx END) OVER (PARTITION BY video_id) AS z FROM u) SELECT video_id, count(*) AS lines, sum(length(text))::BIGINT AS chars FROM c WHERE z IS NULL OR seg_idx < z GROUP BY video_id")
+@query(f"""WITH {_SEG}, g AS (SELECT video_id, seg_idx, {_LINE} AS line FROM seg), u AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY video_id ORDER BY seg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(line) AS n FROM g),
+c AS (SELECT *, min(CASE WHEN n > 1000 THEN seg_idx END) OVER (PARTITION BY video_id) AS z FROM u) SELECT video_id, sha256(concat_ws(chr(10), string_agg(line, chr(10) ORDER BY seg_idx) FILTER (z IS NULL OR seg_idx < z), CASE WHEN max(z) IS NOT NULL THEN '... [transcript truncated for length]' END)) AS transcript_sha FROM c GROUP BY video_id""")
 def w5_prompt_budget(spark, d):
-    return I.keep_until(X.segments(spark, d), 1000, ["video_id"], "seg_idx", "text").groupBy("video_id").agg(F.count("*").alias("lines"), F.sum(F.length("text")).cast("long").alias("chars"))
+    lines = X.segments(spark, d).withColumn("speaker", F.lit(None).cast("string"))
+    return I.transcript_text(lines, 1000).select("video_id", F.sha2("transcript", 256).alias("transcript_sha"))
+
+
+_W6 = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations), h AS (SELECT conv_id, turn, role, {_STRIP.format('text')} AS text FROM l WHERE k <= 8), b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM h WHERE text <> ''),
+q AS (SELECT DISTINCT conv_id, 'And then ' || conv_id || '?' AS question FROM conversations)"""
+
+
+def _chat(spark, d):
+    """Conversations with a reasoning block before each turn, and a question to each."""
+    rows = X.table(spark, d, "conversations")
+    turns = rows.select("conv_id", "turn", "role", F.concat(F.lit("<think>why\n\n</think> "), "text").alias("text"))
+    asked = F.concat(F.lit("And then "), "conv_id", F.lit("?"))
+    return I.chat_history(turns), rows.select("conv_id", asked.alias("question"), F.lit("ctx").alias("context")).distinct()
 
 
-@query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE trim(text) <> '') SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS query FROM r WHERE k <= 4 AND role = 'user' GROUP BY conv_id")
+@query(_W6 + " SELECT q.conv_id, concat_ws(chr(10), s, question) AS query FROM q LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS s FROM b WHERE back <= 4 AND role = 'user' GROUP BY 1) t USING (conv_id)")
 def w6_retrieval_query(spark, d):
-    rows = X.table(spark, d, "conversations").where(F.trim("text") != "")
-    last = rows.withColumn("k", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").desc()))).where("k <= 4 and role = 'user'")
-    return last.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda t: t["text"]), "\n").alias("query"))
+    return I.retrieval_queries(*_chat(spark, d))
+
+
+@query(_W6 + """ SELECT q.conv_id, sha256(concat_ws(chr(10), s, 'user=Answer my next question using only the supplied context.' || chr(10) || chr(10) || 'Context:' || chr(10) || 'ctx' || chr(10) || chr(10) || 'Question: ' || question)) AS messages_sha
+FROM q LEFT JOIN (SELECT conv_id, string_agg(role || '=' || text, chr(10) ORDER BY turn) AS s FROM b WHERE back <= 6 GROUP BY 1) t USING (conv_id)""")
+def w6_chat_messages(spark, d):
+    out = I.chat_messages(*_chat(spark, d))
+    return out.select("conv_id", F.sha2(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("="), m["content"])), "\n"), 256).alias("messages_sha"))
 
 
 @query(f"WITH {_SEG}, n AS (SELECT video_id, seg_idx, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM seg) SELECT video_id, seg_idx FROM n WHERE norm <> '' QUALIFY row_number() OVER (PARTITION BY video_id, norm ORDER BY seg_idx) = 1")
@@ -249,16 +276,15 @@ def a5_progress(spark, d):
     return J.overall_progress(steps)
 
 
-@query("SELECT user_id, event_type, round(avg(value), 6) AS mean, max(value) AS most, round(list_avg(list_sort(list(value), 'DESC')[1:2]), 6) AS top2_mean FROM events WHERE value IS NOT NULL GROUP BY ALL")
+@query("SELECT user_id, event_type, round(avg(value), 6) AS mean, round(max(value), 6) AS most, round(list_avg(list_sort(list(value), 'DESC')[1:2]), 6) AS top2_mean FROM events WHERE value IS NOT NULL GROUP BY ALL")
 def a7_series(spark, d):
-    rows = X.table(spark, d, "events").where("value is not null")
-    top = rows.withColumn("r", F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy(F.col("value").desc())))
-    return top.groupBy("user_id", "event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"), F.round(F.avg(F.when(F.col("r") <= 2, F.col("value"))), 6).alias("top2_mean"))
+    out = C.series(X.table(spark, d, "events").where("value is not null"), "user_id", "event_type", value="value")
+    return out.select("user_id", "event_type", F.round("mean", 6).alias("mean"), F.round("max", 6).alias("most"), F.round("top2_mean", 6).alias("top2_mean"))
 
 
 @query("SELECT user_id AS job_id, event_type AS step, date_diff('microsecond', min(ts), max(ts)) / 1000000 AS seconds FROM events GROUP BY ALL")
 def a16_step_durations(spark, d):
-    return X.table(spark, d, "events").groupBy(F.col("user_id").alias("job_id"), F.col("event_type").alias("step")).agg(((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp"))) / 1000000).alias("seconds"))
+    return J.step_durations(X.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("step"), "ts"))
 
 
 @query("SELECT user_id AS job_id, event_type AS step, max({'t': ts, 'p': value}).p AS progress FROM events GROUP BY ALL")
@@ -280,9 +306,7 @@ def st4_liveness(spark, d):
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
 def st5_retention(spark, d):
-    events = X.table(spark, d, "events")
-    newest = events.agg(F.max("ts").alias("newest"))
-    return events.join(F.broadcast(newest), F.col("ts") >= F.col("newest") - F.expr("INTERVAL 7 DAYS")).select("event_id")
+    return J.within(X.table(spark, d, "events"), 7).select("event_id")
 
 
 @query()
@@ -300,8 +324,7 @@ def h4_chunking(spark, d):
 
 @query(f"WITH {_JOBS} SELECT job_id FROM j WHERE status = 'queued' AND job_id % 3 = 0")
 def j10_never_enqueued(spark, d):
-    jobs = X.jobs(spark, d).withColumn("task_id", F.when(F.col("job_id") % 3 != 0, F.col("job_id").cast("string")))
-    return jobs.where("status = 'queued' and task_id is null").select("job_id")
+    return J.never_enqueued(X.jobs(spark, d).withColumn("task_id", F.when(F.col("job_id") % 3 != 0, F.col("job_id").cast("string")))).select("job_id")
 
 
 _FAILED = "f AS (SELECT job_id, video_id, created_at, CASE WHEN status = 'completed' AND job_id % 2 = 0 THEN 'failed' ELSE status END AS status FROM j WHERE status = 'completed' OR job_id % 5 = 0)"
@@ -320,15 +343,22 @@ def p15_resume_plan(spark, d):
     return J.next_step(X.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").cast("int").alias("step"), (F.col("l_quantity") * 4).alias("progress")))
 
 
-@query("SELECT c_custkey AS video_id FROM customer WHERE contains(lower(c_name), '12') ORDER BY c_custkey DESC LIMIT 20")
+@query("SELECT c_custkey AS video_id, count(*) OVER () AS total FROM customer WHERE contains(lower(c_mktsegment), 'build') OR contains(lower(c_name), 'build') ORDER BY c_custkey DESC LIMIT 20")
 def p8_recording_list(spark, d):
-    rows = X.table(spark, d, "customer").where(F.contains(F.lower("c_name"), F.lit("12")))
-    return J.page(rows, 1, 20, F.col("c_custkey").desc()).select(F.col("c_custkey").alias("video_id"))
+    rows = X.table(spark, d, "customer").select(F.col("c_custkey").alias("video_id"), F.col("c_name").alias("original_filename"), F.col("c_mktsegment").alias("title"), F.col("c_custkey").alias("created_at"))
+    return J.recording_list(rows, "BUILD").select("video_id", "total")
+
+
+@query(f"WITH {_JOBS}, b AS (SELECT batch_id, max(created_at) AS created_at, CASE WHEN count(*) FILTER (status <> 'completed') > 0 THEN 'processing' ELSE 'completed' END AS status FROM j GROUP BY 1) SELECT batch_id, count(*) OVER () AS total FROM b WHERE status = 'processing' ORDER BY created_at DESC, batch_id LIMIT 3")
+def p9_batch_list(spark, d):
+    jobs = X.jobs(spark, d)
+    batches = J.batch_status(jobs).select("batch_id", "status").join(jobs.groupBy("batch_id").agg(F.max("created_at").alias("created_at")), "batch_id")
+    return J.batch_list(batches, "processing", 1, 3).select("batch_id", "total")
 
 
 @query(f"WITH {_SEG} SELECT video_id, seg_idx FROM seg WHERE \"start\" >= 8 AND \"end\" <= 20")
 def p7_section(spark, d):
-    return X.segments(spark, d).where("start >= 8 and end <= 20").select("video_id", F.col("seg_idx").cast("long").alias("seg_idx"))
+    return I.section(X.segments(spark, d), 8, 20).select("video_id", F.col("seg_idx").cast("long").alias("seg_idx"))
 
 
 @query("""WITH c AS (SELECT vec_id AS id, label, vec_id % 5 AS t, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM c WHERE id % 100 = 0),
@@ -363,6 +393,16 @@ def f30_frame_times(spark, d):
     return X.table(spark, d, "documents").select("doc_id", F.explode(P.frame_times(F.col("n_chars").cast("double"), 500.0, 12)).alias("at"))
 
 
+@query("SELECT doc_id, unnest(list_transform(range(0, ceil(n_chars / 500.0::DOUBLE)::BIGINT), lambda k: k * 500.0::DOUBLE)) AS at FROM documents WHERE n_chars > 0")
+def f30_every_interval(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", F.explode(P.every_interval(F.col("n_chars").cast("double"), 500.0)).alias("at"))
+
+
+@query("WITH c AS (SELECT doc_id, (n_chars * 7)::BIGINT AS s FROM documents) SELECT doc_id, CASE WHEN s >= 3600 THEN lpad((s // 3600)::VARCHAR, greatest(2, length((s // 3600)::VARCHAR))::INT, '0') || ':' ELSE '' END || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0') AS clock FROM c")
+def f8_short_clocks(spark, d):
+    return X.table(spark, d, "documents").select("doc_id", T.short_clock((F.col("n_chars") * 7).cast("double")).alias("clock"))
+
+
 @query(f"SELECT doc_id, 'transcript|' || array_to_string(list_sort(list_distinct({_tokens('s', 'text')})), ' ') AS signature FROM documents WHERE len(list_distinct({_tokens('s', 'text')})) >= 4")
 def f17_signature(spark, d):
     rows = X.table(spark, d, "documents").select("doc_id", T.search_tokens("text").alias("t")).where("size(t) >= 4")

@@ -47,14 +47,12 @@ def p16_dispatch(spark, d):
     return V.dispatch_list(X.jobs(spark, d), "2-HIGH").select("job_id", "created_at")
 
 
-@query("""WITH w AS (SELECT conv_id, string_agg('Speaker ' || k || '=' || role, ', ' ORDER BY k) AS s FROM (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY role) AS k FROM (SELECT DISTINCT conv_id, role FROM conversations)) GROUP BY 1),
-n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1), p AS (SELECT page_id % 100 AS v, string_agg(string_split(url, '/')[-1], ', ' ORDER BY page_id) AS f FROM pages GROUP BY 1)
-SELECT conv_id AS video_id, CASE WHEN conv_id % 2 = 0 THEN 'talk ' || conv_id ELSE conv_id || '.mp4' END AS title, s AS speakers, n AS segments, coalesce(f, '') AS slides FROM w JOIN n USING (conv_id) LEFT JOIN p ON v = conv_id""")
+@query("""WITH t AS (SELECT conv_id AS v, string_agg(turn * 10 || '-' || turn * 10 + 10 || ' ' || role || ': ' || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY 1), p AS (SELECT page_id % 100 AS v, string_agg(page_id || ' ' || string_split(url, '/')[-1], ', ' ORDER BY page_id) AS f FROM pages GROUP BY 1)
+SELECT v AS video_id, CASE WHEN v % 2 = 0 THEN 'talk ' || v ELSE v || '.mp4' END AS title, 'Ann, Speaker 2' AS speakers, sha256(said) AS transcript_sha, coalesce(f, '') AS slides, CASE WHEN v % 3 <> 0 THEN 'About ' || v END AS executive_summary, CASE WHEN v % 3 <> 0 THEN CASE WHEN v % 2 = 0 THEN 1 ELSE 0 END END AS n_items FROM t LEFT JOIN p USING (v)""")
 def p10_summary_view(spark, d):
-    ids = X.turns(spark, d).select("video_id").distinct()
-    recordings = ids.select("video_id", F.when(F.col("video_id") % 2 == 0, F.concat(F.lit("talk "), "video_id")).alias("title"), F.concat("video_id", F.lit(".mp4")).alias("filename"))
-    slides = X.table(spark, d, "pages").select((F.col("page_id") % 100).alias("video_id"), F.col("page_id").alias("timestamp"), F.col("url").alias("path"))
-    return V.summary_view(recordings, X.turns(spark, d), slides)
+    line = lambda t: F.concat(t["start"].cast("int").cast("string"), F.lit("-"), t["end"].cast("int").cast("string"), F.lit(" "), t["speaker"], F.lit(": "), t["text"])
+    slide = lambda s: F.concat(s["timestamp"].cast("int").cast("string"), F.lit(" "), s["image"])
+    return _view(spark, d).select("video_id", "title", F.array_join("speakers", ", ").alias("speakers"), F.sha2(F.array_join(F.transform("transcript", line), "\n"), 256).alias("transcript_sha"), F.array_join(F.transform("slides", slide), ", ").alias("slides"), F.col("summary.executive_summary").alias("executive_summary"), F.when(F.col("summary").isNotNull(), F.size("summary.action_items")).alias("n_items"))
 
 
 @query("""SELECT a.doc_id AS video_id, 'probable_duplicate' AS classification, CASE WHEN a.doc_id % 4 = 0 THEN NULL ELSE (a.doc_id % 100) / 100.0::DOUBLE END AS score, a.doc_id % 3 = 0 AS suppressed, a.doc_id // 2 AS duplicate_of, coalesce(b.source, 'stored') AS duplicate_title
@@ -101,10 +99,36 @@ def s7_admit_uploads(spark, d):
     return V.admit_uploads(files).select("page_id", "reason", "stored_name", "batch_error")
 
 
-@query("""SELECT conv_id AS video_id, '# talk ' || conv_id || chr(10) || chr(10) || '## Transcript' || chr(10) || string_agg('[00:' || lpad((turn * 10 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 10 % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""")
+def _view(spark, d):
+    """Conversations as recordings with two speakers, a summary in two of three, and pages as slides of theirs."""
+    v, none = F.col("video_id"), F.lit(None).cast("string")
+    ids = X.turns(spark, d).select("video_id").distinct()
+    topic = F.when(v % 4 == 1, F.array(F.struct(F.lit("00:10").alias("timestamp"), F.lit("Plan").alias("topic"), F.concat(F.lit("of "), "video_id").alias("summary"), F.array().cast("array<string>").alias("speakers"))))
+    summary = F.struct(F.concat(F.lit("About "), "video_id").alias("executive_summary"), F.array(F.lit("first"), F.lit("second")).alias("key_points"), F.when(v % 2 == 0, F.array(F.lit("do it"))).alias("action_items"), F.when(v % 5 == 0, F.array(F.lit("yes"))).alias("decisions"), topic.alias("topics"))
+    recordings = ids.select("video_id", F.when(v % 2 == 0, F.concat(F.lit("talk "), "video_id")).alias("title"), F.concat("video_id", F.lit(".mp4")).alias("filename"), (v * 10.0).alias("duration"), F.array(F.struct(F.lit("Ann").alias("name")), F.struct(none.alias("name"))).alias("speakers"), F.when(v % 3 != 0, summary).alias("summary"))
+    slides = X.table(spark, d, "pages").select((F.col("page_id") % 100).alias("video_id"), F.col("page_id").cast("double").alias("timestamp"), F.col("url").alias("path"), none.alias("ocr_text"), none.alias("description"))
+    return V.full_view(recordings, X.turns(spark, d), slides)
+
+
+_HMS = "lpad(({0} // 3600)::VARCHAR, 2, '0') || ':' || lpad(({0} % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad(({0} % 60)::VARCHAR, 2, '0')"
+_NL = "chr(10)"
+
+
+@query(f"""WITH t AS (SELECT conv_id, string_agg('**[' || CASE WHEN turn < 360 THEN substr({_HMS.format('(turn * 10)')}, 4) ELSE {_HMS.format('(turn * 10)')} END || '] ' || role || ':** ' || text, chr(10) ORDER BY turn) AS said FROM conversations GROUP BY 1)
+SELECT conv_id AS video_id, sha256('# ' || CASE WHEN conv_id % 2 = 0 THEN 'talk ' || conv_id ELSE conv_id || '.mp4' END || chr(10) || chr(10) || '**Duration:** ' || {_HMS.format('(conv_id * 10)')} || chr(10) || '**Speakers:** Ann, Speaker 2' || chr(10) || chr(10)
+ || CASE WHEN conv_id % 3 <> 0 THEN '## Executive Summary' || chr(10) || chr(10) || 'About ' || conv_id || chr(10) || chr(10) || '## Key Points' || chr(10) || chr(10) || '- first' || chr(10) || '- second' || chr(10)
+ || CASE WHEN conv_id % 2 = 0 THEN chr(10) || '## Action Items' || chr(10) || chr(10) || '- [ ] do it' || chr(10) ELSE '' END || CASE WHEN conv_id % 5 = 0 THEN chr(10) || '## Decisions' || chr(10) || chr(10) || '- yes' || chr(10) ELSE '' END
+ || CASE WHEN conv_id % 4 = 1 THEN chr(10) || '## Topic Breakdown' || chr(10) || chr(10) || '### Plan (00:10)' || chr(10) || chr(10) || 'of ' || conv_id || chr(10) || chr(10) ELSE '' END ELSE '' END || '## Full Transcript' || chr(10) || chr(10) || said || chr(10)) AS markdown_sha FROM t""")
 def s5_export_markdown(spark, d):
-    recordings = X.turns(spark, d).select("video_id").distinct().withColumn("title", F.concat(F.lit("talk "), "video_id"))
-    return V.export_markdown(recordings, X.turns(spark, d))
+    return V.export_markdown(_view(spark, d)).select("video_id", F.sha2("markdown", 256).alias("markdown_sha"))
+
+
+@query("""SELECT conv_id AS video_id, CASE WHEN conv_id % 2 = 0 THEN 'talk ' || conv_id ELSE conv_id || '.mp4' END AS title, count(*) AS n, CASE WHEN conv_id % 3 <> 0 THEN 'About ' || conv_id END AS about FROM conversations GROUP BY conv_id""")
+def s5_export_json(spark, d):
+    """What can be read back from the JSON form."""
+    out = V.export_json(_view(spark, d))
+    back = F.from_json("json", "title string, summary struct<executive_summary: string>, transcript array<struct<text: string>>")
+    return out.select("video_id", back.alias("j")).select("video_id", "j.title", F.size("j.transcript").cast("long").alias("n"), F.col("j.summary.executive_summary").alias("about"))
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'auth.' || event_type WHEN 1 THEN 'settings.write' WHEN 2 THEN 'videos.write' WHEN 3 THEN 'action_items.write' ELSE 'api.post' END AS event FROM events""")
@@ -113,12 +137,12 @@ def f26_audit_event(spark, d):
     return X.table(spark, d, "events").select("event_id", R.audit_event(F.concat(prefix, "event_type"), F.lit("POST")).alias("event"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE substr('not json {' || source, 1, 500) END AS executive_summary, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_points FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(source, 'none') ELSE substr('not json {' || coalesce(source, 'none'), 1, 500) END AS executive_summary, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_points, CASE WHEN doc_id % 2 = 0 THEN coalesce(lang, 'none') END AS topic FROM documents")
 def f10_summary_json(spark, d):
-    good = F.concat(F.lit('<think>{"x": 1}</think>Here: {"executive_summary": "'), "source", F.lit('", "key_points": ["a", "'), "lang", F.lit('"]} done'))
-    rows = X.table(spark, d, "documents").where("source is not null and lang is not null")
-    s = R.summary_of(F.when(F.col("doc_id") % 2 == 0, good).otherwise(F.concat(F.lit("not json {"), "source")))
-    return rows.select("doc_id", s.alias("s")).select("doc_id", "s.executive_summary", F.size("s.key_points").alias("n_points"))
+    source, lang = F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none"))
+    good = F.concat(F.lit('<think>{"x": 1}</think>Here: {"executive_summary": "'), source, F.lit('", "key_points": ["a", "'), lang, F.lit('"], "topics": [{"timestamp": "00:10", "topic": "'), lang, F.lit('", "summary": "s", "speakers": []}]} done'))
+    s = R.summary_of(F.when(F.col("doc_id") % 2 == 0, good).otherwise(F.concat(F.lit("not json {"), source)))
+    return X.table(spark, d, "documents").select("doc_id", s.alias("s")).select("doc_id", "s.executive_summary", F.size("s.key_points").alias("n_points"), F.get("s.topics", F.lit(0))["topic"].alias("topic"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang WHEN 3 THEN 'just ' || lang ELSE '' END AS description, CASE doc_id % 4 WHEN 0 THEN source || chr(10) || lang WHEN 1 THEN source WHEN 2 THEN lang ELSE '' END AS ocr_text, doc_id % 4 = 0 AS is_slide, CASE doc_id % 4 WHEN 1 THEN lang END AS slide_title,
@@ -131,17 +155,17 @@ def f11_vision_answer(spark, d):
     return rows.select("doc_id", "v.description", "v.ocr_text", "v.is_slide", "v.slide_title", F.array_join("v.key_points", ",").alias("points"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN n_chars::DOUBLE END AS number, nullif(trim(lang), '') AS word, '[\"' || source || '\"]' AS list FROM documents WHERE source IS NOT NULL")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN n_chars::DOUBLE END AS number, nullif(trim(lang), '') AS word, CASE WHEN source IS NOT NULL THEN '["' || source || '"]' END AS list, CASE WHEN coalesce(source, lang) IS NOT NULL THEN '{' || concat_ws(',', '"a":"' || source || '"', '"b":"' || lang || '"') || '}' END AS map FROM documents""")
 def f21_metadata(spark, d):
     number = F.when(F.col("doc_id") % 3 == 0, float("nan")).otherwise(F.col("n_chars").cast("double"))
-    rows = X.table(spark, d, "documents").where("source is not null")
-    return rows.select("doc_id", R.clean_number(number).alias("number"), R.clean_text(F.concat(F.lit(" "), "lang", F.lit("\t"))).alias("word"), R.clean_list(F.array(F.lit(None), "source")).alias("list"))
+    made = F.create_map(F.lit("b"), F.col("lang"), F.lit("c"), F.lit(None).cast("string"), F.lit("a"), F.col("source"))
+    return X.table(spark, d, "documents").select("doc_id", R.clean_number(number).alias("number"), R.clean_text(F.concat(F.lit(" "), "lang", F.lit("\t"))).alias("word"), R.clean_list(F.array(F.lit(None), "source")).alias("list"), R.clean_map(made).alias("map"))
 
 
 @query("""WITH a AS (SELECT conv_id AS v, 'transcript' AS type, 0 AS n, turn AS place, text AS t FROM conversations UNION ALL SELECT conv_id, 'summary', 1, 0, text FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id, 'summary', 2, 0, 'Point ' || conv_id FROM conversations WHERE turn = 1
-UNION ALL SELECT conv_id, 'summary', 2, 1, 'POINT ' || conv_id FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id, 'slide', 3, turn, role || ': ' || text FROM conversations),
+UNION ALL SELECT conv_id, 'summary', 2, 1, 'POINT ' || conv_id FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id, 'topic', 3, 0, 'Topic: ' || conv_id FROM conversations WHERE turn = 1 UNION ALL SELECT conv_id, 'slide', 4, turn, role || ': ' || text FROM conversations),
 f AS (SELECT v, type, n, place, trim(regexp_replace(t, '\\s+', ' ', 'g')) AS text FROM a) SELECT v AS video_id, type, place, text FROM f WHERE text <> '' QUALIFY row_number() OVER (PARTITION BY v, lower(text) ORDER BY n, place) = 1""")
 def u1_chunk_sources(spark, d):
     turns = X.turns(spark, d).withColumnRenamed("seg_idx", "place")
-    summaries = turns.where("place = 1").select("video_id", F.col("text").alias("executive_summary"), F.array(F.concat(F.lit("Point "), "video_id"), F.concat(F.lit("POINT "), "video_id")).alias("key_points"))
+    summaries = turns.where("place = 1").select("video_id", F.col("text").alias("executive_summary"), F.array(F.concat(F.lit("Point "), "video_id"), F.concat(F.lit("POINT "), "video_id")).alias("key_points"), F.array(F.struct(F.lit("Topic").alias("topic"), F.col("video_id").cast("string").alias("summary"))).alias("topics"))
     return V.chunk_sources(turns, summaries, turns.select("video_id", "place", F.col("speaker").alias("title"), F.col("text").alias("content")))
