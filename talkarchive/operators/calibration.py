@@ -36,20 +36,32 @@ def separation(scores: DataFrame, aggregation: str) -> DataFrame:
     return each.groupBy("key", "prompt").agg(F.round(yes - 0.6 * no, 9).alias("metric"))
 
 
-def primary_prompts(scores: DataFrame) -> DataFrame:
-    """The prompt of each key that separates best, by the mean; ties and keys without examples: the first prompt."""
-    w = Window.partitionBy("key").orderBy(F.col("metric").desc_nulls_last(), "prompt")
-    return separation(scores, "mean").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+def primary_prompts(scores: DataFrame, variants: DataFrame | None = None) -> DataFrame:
+    """(key, prompt, metric): the prompt of each key that separates best, by the mean.
 
+    variants: key, prompt, place, is_default. Of equal ones the first variant wins; a key without examples has its default
+    prompt and no metric. Without variants, places are the order of the prompts' spelling and the first is the default.
+    """
+    made = _with_variants(separation(scores, "mean"), variants)
+    w = Window.partitionBy("key").orderBy(F.col("metric").desc_nulls_last(), F.when(F.col("metric").isNull(), ~F.col("is_default")), "place")
+    return made.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("key", "prompt", "metric")
+
+
+def _with_variants(made: DataFrame, variants: DataFrame | None) -> DataFrame:
+    if variants is None:
+        w = Window.partitionBy("key").orderBy("prompt")
+        return made.withColumn("place", F.row_number().over(w)).withColumn("is_default", F.col("place") == 1)
+    return variants.select("key", "prompt", "place", "is_default").join(made, ["key", "prompt"], "left")
 
-def supporting_prompts(scores: DataFrame, n: int = 2) -> DataFrame:
-    """Up to n prompts a key that separate by the mean of their two greatest scores; else the key's first prompt."""
-    made = separation(scores, "top2_mean")
+
+def supporting_prompts(scores: DataFrame, n: int = 2, variants: DataFrame | None = None) -> DataFrame:
+    """(key, prompt, metric): up to n prompts a key that separate by the mean of their two greatest scores; else the key's
+    default prompt. Of equal ones the greater prompt comes first. variants as in primary_prompts."""
+    made = _with_variants(separation(scores, "top2_mean"), variants)
     w = Window.partitionBy("key").orderBy(F.col("metric").desc_nulls_last(), F.col("prompt").desc())
-    none = ~F.coalesce(F.bool_or(F.col("metric") > 0).over(Window.partitionBy("key")), F.lit(False))
-    first = F.min("prompt").over(Window.partitionBy("key")) == F.col("prompt")
-    ranked = made.withColumn("_r", F.row_number().over(w)).withColumn("_none", none).withColumn("_first", first)
-    return ranked.where((F.col("_none") & F.col("_first")) | (~F.col("_none") & (F.col("metric") > 0) & (F.col("_r") <= n))).select("key", "prompt", "metric")
+    some = F.coalesce(F.bool_or(F.col("metric") > 0).over(Window.partitionBy("key")), F.lit(False))
+    ranked = made.withColumn("_r", F.row_number().over(w)).withColumn("_some", some)
+    return ranked.where(F.when(F.col("_some"), (F.col("metric") > 0) & (F.col("_r") <= n)).otherwise(F.col("is_default"))).select("key", "prompt", "metric")
 
 
 def grid_metrics(support: DataFrame, primary: DataFrame) -> DataFrame:
@@ -146,10 +158,20 @@ def supporting_context(scores: DataFrame, primary: DataFrame, rules: DataFrame,
 
 
 def manifest_fixtures(manifest: DataFrame, folder: str) -> DataFrame:
-    """Fixtures of a manifest row (fixtures: array of structs): path under the folder, name, sorted supporting keys, flag."""
-    rows = manifest.select(F.explode("fixtures").alias("f"))
-    path = F.coalesce("f.media_path", "f.audio_path", "f.video_path")
+    """Fixtures of a manifest row (fixtures: array of structs): path under the folder, name, sorted supporting keys, flag.
+
+    A manifest without fixtures, a fixture without a path, and a manifest none of whose fixtures is flagged for calibration
+    raise ValueError.
+    """
+    rows = manifest.select(F.explode_outer("fixtures").alias("f"))
+    some = lambda c: F.nullif(F.col(f"f.{c}"), F.lit(""))
+    path = F.coalesce(some("media_path"), some("audio_path"), some("video_path"))
     full = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(folder.rstrip("/") + "/"), path))
     stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
     keys = F.array_sort(F.filter(F.transform(F.coalesce("f.expected_supporting_keys", F.array().cast("array<string>")), lambda k: F.trim(k)), lambda k: k != ""))
-    return rows.select(F.coalesce("f.label", stem).alias("label"), full.alias("path"), F.col("f.expected_primary_key").alias("expected_primary_key"), keys.alias("expected_supporting_keys"), F.coalesce("f.use_for_calibration", F.lit(True)).alias("use_for_calibration"))
+    flag = F.coalesce("f.use_for_calibration", F.lit(True))
+    seen = rows.agg(F.count("f").alias("n"), F.count_if(F.col("f").isNotNull() & path.isNull()).alias("bare"), F.count_if(F.col("f").isNotNull() & flag).alias("flagged")).first()
+    for wrong, why in ((seen.n == 0, "the manifest has no fixtures"), (seen.bare > 0, "a fixture has no media path"), (seen.flagged == 0, "no fixture is flagged for calibration")):
+        if wrong:
+            raise ValueError(why)
+    return rows.where("f is not null").select(F.coalesce(some("label"), stem).alias("label"), full.alias("path"), F.trim(some("expected_primary_key")).alias("expected_primary_key"), keys.alias("expected_supporting_keys"), flag.alias("use_for_calibration"))

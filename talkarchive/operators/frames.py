@@ -53,6 +53,7 @@ def television_hint(frames: DataFrame, least: int = 3, share: float = 0.35) -> D
     seen = seen.withColumn("_r", F.row_number().over(first))
     times = F.array_sort(F.collect_list(F.when(F.col("hit") & (F.col("_r") <= 3), F.struct("_r", T.clock(F.col("timestamp")).alias("t")))))
     by = seen.groupBy("video_id").agg(F.count_if("hit").alias("hits"), F.count("*").alias("total"), times.alias("times"))
+    # Fixed value: the sentence that the prompt takes.
     hint = F.format_string(
         "Visuals show a TV/television playing content in %d/%d sampled non-slide frames (~%d%%). Audio is likely dominated by the TV during those segments. Example timestamps: %s.",
         "hits", "total", F.bround(F.col("hits") * 100 / F.col("total"), 0).cast("int"), F.array_join(F.transform("times", lambda x: x["t"]), ", "),
@@ -83,34 +84,25 @@ def keyframes(frames: DataFrame, change: float = 12.0, stable: float = 6.0, apar
     new enough; otherwise the candidate is dropped or moves on. Frames without a signature are passed over.
     """
 
-    def bits(s):
-        g = s.reshape(HEIGHT, WIDTH)
-        return g[:, 1:] > g[:, :-1]
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, base, seen, candidate = [], None, None, None
-        for t, raw in pdf.sort_values("timestamp", kind="stable")[["timestamp", "signature"]].itertuples(index=False):
-            if most > 0 and len(kept) >= most and base is not None:
+        pdf = pdf.sort_values("timestamp", kind="stable")
+        pictures = np.stack(pdf.signature.to_numpy()).astype(np.float64)
+        grey = pictures.reshape(-1, HEIGHT, WIDTH)
+        bright = (grey[:, :, 1:] > grey[:, :, :-1]).reshape(len(pictures), -1)
+        close = np.abs(np.diff(pictures, axis=0)).mean(1) <= stable  # of neighbouring pictures
+        kept, seen, at = [0], 0, 1
+        away = np.abs(pictures - pictures[0]).mean(1) >= change  # from the last kept picture
+        while len(kept) != most:
+            found = np.flatnonzero(away[at:-1])
+            if not len(found):
                 break
-            s = np.asarray(raw, np.float64)
-            if base is None:
-                base, seen = s, bits(s)
-                kept.append((t, "initial"))
-                continue
-            moved = np.abs(s - base).mean() >= change
-            if candidate is None:
-                candidate = (s, t) if moved else None
-            elif np.abs(s - candidate[0]).mean() <= stable:
-                if (bits(s) != seen).sum() >= apart:
-                    kept.append((candidate[1], "change"))
-                    base, seen = candidate[0], bits(s)
-                candidate = None
-            else:
-                candidate = (s, t) if moved else None
-        made = pd.DataFrame(kept, columns=["timestamp", "reason"])
-        made.insert(0, "video_id", pdf.video_id.iloc[0])
-        made.insert(1, "scene_idx", range(len(made)))
-        return made
+            i = at + int(found[0])  # a candidate, judged by the picture after it
+            at = i + 2 if close[i] else i + 1
+            if close[i] and (bright[i + 1] != bright[seen]).sum() >= apart:
+                kept.append(i)
+                seen, away = i + 1, np.abs(pictures - pictures[i]).mean(1) >= change
+        out = pd.DataFrame({"video_id": pdf.video_id.iloc[0], "scene_idx": range(len(kept)), "timestamp": pdf.timestamp.to_numpy()[kept]})
+        return out.assign(reason=["initial"] + ["change"] * (len(kept) - 1))
 
     rows = frames.where("video_id is not null and signature is not null").select("video_id", "timestamp", "signature")
     return rows.groupBy("video_id").applyInPandas(fold, "video_id long, scene_idx long, timestamp double, reason string")

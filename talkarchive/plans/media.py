@@ -176,3 +176,23 @@ def f25_supporting_context(spark, d):
     rows = rows.select("label", F.concat(F.lit("s"), "i").alias("key"), F.round(1 / (1 + F.exp(-F.col("v").cast("double") * 8)), 9).alias("score"))
     rules = spark.createDataFrame([("s1", 0.5, 0.9), ("s2", 0.7, 0.1)], "key string, absolute double, ratio double")
     return C.supporting_context(rows, _context(spark, d), rules)
+
+
+@query(_A10 + _A11 + """ SELECT 'primary' AS part, key, prompt FROM pc UNION ALL SELECT 'supporting', key, prompt FROM sc""")
+def a13_profile_prompts(spark, d):
+    """The prompts of the calibration profile; its rules are h6_grid_winner's."""
+    found = C.profile(C.primary_prompts(_primary(spark, d)), C.supporting_prompts(_support(spark, d)), C.grid_winner(_grid(spark, d)))
+    rows = [("primary", k, p) for k, p in found["primary_prompts"].items()] + [("supporting", k, p) for k, ps in found["supporting_prompts"].items() for p in ps]
+    return spark.createDataFrame(rows, "part string, key string, prompt string")
+
+
+@query("SELECT coalesce(source, 'none') || '-' || doc_id AS label, '/media/' || coalesce(source, 'none') || '-' || doc_id || '.wav' AS path, lang AS expected_primary_key, CASE WHEN doc_id % 2 = 0 THEN 'music,speech' ELSE '' END AS keys, doc_id % 3 <> 0 AS use_for_calibration FROM documents")
+def s6_manifest(spark, d):
+    """A manifest with a fixture for every document."""
+    v = F.col("doc_id")
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("-"), "doc_id")
+    keys = F.when(v % 2 == 0, F.array(F.lit(" speech "), F.lit("music"), F.lit("")))
+    none = F.lit(None).cast("string")
+    f = F.struct(none.alias("label"), F.when(v % 5 > 0, F.concat(name, F.lit(".wav"))).alias("media_path"), F.concat(F.lit("/media/"), name, F.lit(".wav")).alias("audio_path"), none.alias("video_path"), F.col("lang").alias("expected_primary_key"), keys.alias("expected_supporting_keys"), F.when(v % 3 == 0, False).alias("use_for_calibration"))
+    made = C.manifest_fixtures(X.table(spark, d, "documents").select(F.array(f).alias("fixtures")), "/media/")
+    return made.select("label", "path", "expected_primary_key", F.array_join("expected_supporting_keys", ",").alias("keys"), "use_for_calibration")

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import text as T
 from ..operators import duplicates as D, folds, ranking as R, search as S
 from ..sources import tables as X
+from ..streaming import live
 from . import queries as H
 from .queries import _J12, _tokens
 from .registry import query
@@ -168,3 +169,11 @@ SELECT user_id AS job_id, event_type AS step, event_id, sent FROM r""")
 def st3_throttle(spark, d):
     rows = X.table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("step"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000).alias("at"), F.col("value").alias("progress"))
     return folds.throttle(rows, 3600, 10)
+
+
+@query()
+def st6_new_chunks(spark, d):
+    """Chunks of all documents as newly arrived recordings, without those that an earlier one suppresses."""
+    lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i * 4.0).alias("start"), t.alias("text"), F.lit(None).cast("string").alias("speaker")))
+    rows = X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), lines.alias("segments"), F.array("source").alias("points"), F.col("source").alias("title"))
+    return live.new_chunks(rows, rows.limit(0))[0]
