@@ -6,7 +6,10 @@ pairs of ranks, their own and the one 8, 16, 32, .. bytes on, and ranked anew, u
 reached. To sort all positions of a corpus in Spark would move many times its size, so positions are dealt first:
 the least hash of the `gram`-byte strings inside a position's `length` bytes names its group, equal strings have equal
 names, and neighbouring positions mostly share one and travel as one stretch of text. Names that one document alone
-has are unique already and go no further. Each group meets in one task, which ranks its positions by doubling.
+has are unique already and go no further. A name of at most `hot` different stretches meets in one task, which ranks
+its positions by doubling. Positions of names beyond that, such as a phrase that a third of all documents hold between
+different neighbours, are rows that Spark ranks: it pairs the rank at a position with the one 8, 16, .. bytes on, sorts
+and merges by pairs, names a pair by its least position, and drops pairs that one document alone has.
 
 Cases: null texts count as empty; texts shorter than `length` lose nothing; null ids count as the largest, and rows of
 equal id, as of null id, never remove bytes of each other; texts of one repeated byte are one stretch; an empty table gives
@@ -18,16 +21,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
-from ._chunks import CHUNK_BYTES, bucket_bits, chunked, in_order
+from ._chunks import CHUNK_BYTES, bucket_bits, chunked, cut_lineage, in_order
 
 LENGTH, GRAM, SEGMENT, PART_BYTES = 50, 24, 1 << 16, 1 << 19
-_NAMES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())])
-_FLAGS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), ("flags", pa.binary())])
+#: Different stretches of a name that one task may rank (about PART_BYTES of text). A chunk states how many it has of a
+#: name from FEW on; below that they count as half of FEW.
+HOT, FEW, PIECE_BYTES = 4096, 8, 1 << 18
+_NAMES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()), ("many", pa.binary())])
+_FLAGS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), ("flags", pa.binary()), ("hot", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("name", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
-_BACK = pa.schema([("chunk", pa.int32()), ("start", pa.binary()), ("size", pa.binary()), ("flags", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int32()), ("start", pa.binary()), ("size", pa.binary()), ("flags", pa.binary()), ("doc", pa.binary()), ("bytes", pa.binary())])
 _OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 _LAST = np.iinfo(np.int64).max
 
@@ -39,11 +46,12 @@ def full_buckets(hashes: np.ndarray, bits: int):
     return list(zip(lead[head].tolist(), head.tolist(), [*head[1:].tolist(), len(lead)]))
 
 
-def flagged(hashes: np.ndarray, bits: int, back: pa.Table) -> np.ndarray:
-    """The flags that the buckets (bucket, flags) answered, in the order of the sorted hashes."""
-    got, out = dict(zip(back["bucket"].to_pylist(), back["flags"].to_pylist())), np.zeros(len(hashes), bool)
+def flagged(hashes: np.ndarray, bits: int, back: pa.Table, column: str) -> np.ndarray:
+    """The flags that the buckets answered, in the order of the sorted hashes; an empty answer sets none."""
+    got, out = dict(zip(back["bucket"].to_pylist(), back[column].to_pylist())), np.zeros(len(hashes), bool)
     for b, i, j in full_buckets(hashes, bits):
-        out[i:j] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i)
+        if got[b]:
+            out[i:j] = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i)
     return out
 
 
@@ -104,45 +112,86 @@ class _Chunk:
         self.ids = B.one_array(self.table["doc_id"]).fill_null(_LAST).to_numpy()
         self.length = length
 
+    def covered(self, which: np.ndarray):
+        """(starts, ends) of the maximal spans of these stretches, inside documents, and a mask of their positions."""
+        n = len(self.data)
+        inside = B.cover_spans(self.start[which], self.start[which] + self.size[which] + self.length - 1, n)
+        edge = np.zeros(n + 1, bool)
+        edge[self.off] = True
+        start = np.flatnonzero(inside & (edge[:n] | ~np.append(False, inside[:-1])))
+        end = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
+        return start, end, B.cover_spans(self.start[which], self.start[which] + self.size[which], n)
+
     def hashes(self, which: np.ndarray) -> np.ndarray:
         return B.hash_spans(B.lanes(self.data), self.start[which], self.start[which] + self.size[which] + self.length - 1)
 
 
+def kinds_of_names(c: _Chunk, inverse: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many different stretches each name of the chunk has; 0 for names that occur FEW times or less."""
+    some = np.flatnonzero((count > FEW)[inverse])
+    h, of = c.hashes(some), inverse[some]
+    order = np.lexsort((h, of))
+    h, of = h[order], of[order]
+    new = np.ones(len(of), bool)
+    new[1:] = (of[1:] != of[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(of[new], minlength=len(count))
+
+
 def send_names(length, gram, bits):
     def run(key, table):
-        names = np.unique(_Chunk(table, length, gram).name)
-        full = full_buckets(names, bits)
-        return pa.table([[b for b, _, _ in full], [key[0].as_py()] * len(full), [B.pack_sorted(names[i:j]) for _, i, j in full]], schema=_NAMES)
+        c = _Chunk(table, length, gram)
+        names, inverse, count = np.unique(c.name, return_inverse=True, return_counts=True)
+        kinds = kinds_of_names(c, inverse, count)
+        full, many = full_buckets(names, bits), []
+        for _, i, j in full:
+            at = np.flatnonzero(kinds[i:j] > FEW)
+            many.append(np.concatenate([at, kinds[i + at]]).astype(np.uint32).tobytes())
+        return pa.table([[b for b, _, _ in full], [key[0].as_py()] * len(full), [B.pack_sorted(names[i:j]) for _, i, j in full], many], schema=_NAMES)
 
     return run
 
 
-def shared_names(key, table):
-    """A flag for each name a chunk sent: does another chunk have it?"""
-    B.tidy()
-    parts = [B.unpack_sorted(x) for x in table["payload"].to_pylist()]
-    names = np.concatenate(parts)
-    order = np.argsort(names, kind="stable")
-    same = names[order][1:] == names[order][:-1]
-    shared = np.zeros(len(names), bool)
-    shared[order[1:]] |= same
-    shared[order[:-1]] |= same
-    flags = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum([len(p) for p in parts])[:-1])]
-    return pa.table([table["chunk"].combine_chunks(), pa.array([key[0].as_py()] * len(flags), pa.int64()), pa.array(flags, pa.binary())], schema=_FLAGS)
+def shared_names(hot):
+    """Two flags for each name a chunk sent: does another chunk have it, and has it too many stretches for a task?"""
+
+    def run(key, table):
+        B.tidy()
+        parts = [B.unpack_sorted(x) for x in table["payload"].to_pylist()]
+        weights = [np.full(len(p), FEW // 2, np.int64) for p in parts]
+        for w, x in zip(weights, table["many"].to_pylist()):
+            at, kinds = np.frombuffer(x, np.uint32).reshape(2, -1)
+            w[at] = kinds
+        names = np.concatenate(parts)
+        order = np.argsort(names, kind="stable")
+        new = np.append(True, names[order][1:] != names[order][:-1])
+        group = np.cumsum(new) - 1
+        shared, heavy = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        shared[order] = (np.bincount(group) > 1)[group]
+        heavy[order] = (np.add.reduceat(np.concatenate(weights)[order], np.flatnonzero(new)) > hot)[group]
+        cuts = np.cumsum([len(p) for p in parts])[:-1]
+        flags = [np.packbits(x).tobytes() for x in np.split(shared, cuts)]
+        over = [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(heavy, cuts)]
+        return pa.table([table["chunk"].combine_chunks(), pa.array([key[0].as_py()] * len(flags), pa.int64()), pa.array(flags, pa.binary()), pa.array(over, pa.binary())], schema=_FLAGS)
+
+    return run
 
 
 def send_stretches(length, gram, bits):
-    """The stretches whose name another document has too, each different one once, with its first document."""
+    """The stretches whose name another document has too, each different one once, with its first document.
+
+    Those of hot names go as the texts they cover, in buckets below 0, with a flag for each position that they hold.
+    """
 
     def run(key, table, back):
         c = _Chunk(table, length, gram)
         names, inverse = np.unique(c.name, return_inverse=True)
-        shared = flagged(names, bits, back)
+        shared, hot = flagged(names, bits, back, "flags"), flagged(names, bits, back, "hot")
         doc = c.ids[c.row]
         low, high = np.full(len(names), _LAST), np.full(len(names), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, doc)
         np.maximum.at(high, inverse, doc)
-        which = np.flatnonzero((shared | (low < high))[inverse])
+        several = shared | (low < high)
+        which = np.flatnonzero((several & ~hot)[inverse])
         which = np.sort(which[np.unique(c.hashes(which), return_index=True)[1]])
         which = which[np.argsort(c.name[which], kind="stable")]
         rows = [[] for _ in _SENT]
@@ -151,11 +200,60 @@ def send_stretches(length, gram, bits):
             text = c.data[B.ranges(c.start[some], c.size[some] + length - 1)]
             for column, value in zip(rows, (b, key[0].as_py(), c.name[some].tobytes(), doc[some].tobytes(), c.start[some].astype(np.uint32).tobytes(), c.size[some].astype(np.uint32).tobytes(), text.tobytes())):
                 column.append(value)
+        heavy = np.flatnonzero((several & hot)[inverse])
+        if len(heavy):
+            start, end, wanted = c.covered(heavy)
+            piece = np.cumsum(end - start) // PIECE_BYTES
+            for k, some in enumerate(np.split(np.arange(len(start)), np.flatnonzero(np.diff(piece)) + 1)):
+                at = B.ranges(start[some], end[some] - start[some])
+                row = np.searchsorted(c.off, start[some], "right") - 1
+                sizes = (end[some] - start[some]).astype(np.uint32)
+                value = (-1 - (key[0].as_py() << 24) - k, key[0].as_py(), np.packbits(wanted[at]).tobytes(), c.ids[row].tobytes(), (start[some] + row * length).tobytes(), sizes.tobytes(), c.data[at].tobytes())
+                for column, x in zip(rows, value):
+                    column.append(x)
         return pa.table(rows, schema=_SENT)
 
     return run
 
 
+def positions(length):
+    """The rows of hot names as positions: (at, doc, rank, wanted), rank being the first 8 bytes.
+
+    at is the chunk and the place in it, with a gap of `length` after each document, so that no pair crosses into the next.
+    """
+    schema = pa.schema([("at", pa.int64()), ("doc", pa.int64()), ("rank", pa.int64()), ("wanted", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            for chunk, wanted, doc, start, size, data in zip(*(batch[k].to_pylist() for k in ("chunk", "flags", "doc", "start", "size", "bytes"))):
+                data, size = np.frombuffer(data, np.uint8), np.frombuffer(size, np.uint32).astype(np.int64)
+                first = np.cumsum(size) - size
+                here = B.ranges(first, size - 7)
+                at = B.ranges(np.frombuffer(start, np.int64), size - 7) + (chunk << 32)
+                flag = np.unpackbits(np.frombuffer(wanted, np.uint8), count=len(data)).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(np.frombuffer(doc, np.int64), size - 7)), pa.array(B.lanes(data)[here].view(np.int64)), pa.array(flag[here])], schema=schema)
+
+    return run
+
+
+def doubled_by_spark(rows: DataFrame, length: int) -> DataFrame:
+    """Of the wanted positions (at, doc, rank, wanted), those (at) whose `length` bytes an earlier document has too.
+
+    A round pairs each rank with the one `step` on, sorts and groups by pairs, and keeps those of several documents under
+    the least position as their new rank. Groups are combined before the shuffle; a hot pair's rows are split by AQE.
+    """
+    span = 8
+    while span < length:
+        step = min(span, length - span)
+        ahead = rows.select((F.col("at") - step).alias("_at"), F.col("rank").alias("after"))
+        own = rows.where("wanted") if span + step == length else rows
+        pairs = own.join(ahead, F.col("at") == F.col("_at")).select("at", "doc", "wanted", F.col("rank").alias("first"), "after")
+        tied = pairs.groupBy("first", "after").agg(F.min("at").alias("rank"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        rows = pairs.join(tied.select(F.col("first").alias("_f"), F.col("after").alias("_a"), "rank", "low"), (F.col("first") == F.col("_f")) & (F.col("after") == F.col("_a"))).select("at", "doc", "wanted", "rank", "low")
+        span += step
+    return rows.where("doc > low").select("at") if length > 8 else rows.where("wanted").join(rows.groupBy(F.col("rank").alias("_r")).agg(F.min("doc").alias("low")), F.col("rank") == F.col("_r")).where("doc > low").select("at")
+
+
 def rank_pairs(first: np.ndarray, second: np.ndarray):
     """Ranks of the pairs in order, from 0; -1 for a pair that is unique."""
     order = np.lexsort((second, first))
@@ -216,10 +314,12 @@ def _older(data, size, doc, name, length) -> np.ndarray:
 
 
 def rank_stretches(length):
-    """Answers a bucket's stretches, whole names at a time in parts of about PART_BYTES."""
+    """Answers a bucket's stretches, whole names at a time in parts of about PART_BYTES; hot names' texts pass through."""
 
     def run(key, table):
         B.tidy()
+        if key[0].as_py() < 0:
+            return pa.table([table[k].combine_chunks() for k in ("chunk", "start", "size", "name", "doc", "bytes")], schema=_BACK)
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         name, doc, size, data = (np.concatenate(get(*x)) for x in (("name", np.uint64), ("doc", np.int64), ("size", np.uint32), ("bytes", np.uint8)))
         size = size.astype(np.int64)
@@ -235,7 +335,8 @@ def rank_stretches(length):
             gone[B.ranges(win[some], size[some])] = _older(data[B.ranges(off[some], full[some])], size[some], doc[some], name[some], length)
         ends = np.cumsum([0, *[int(x.sum()) for x in get("size", np.uint32)]])
         flags = [np.packbits(gone[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-        return pa.table([table["chunk"].combine_chunks(), table["start"].combine_chunks(), table["size"].combine_chunks(), pa.array(flags, pa.binary())], schema=_BACK)
+        none = pa.nulls(len(flags), pa.binary())
+        return pa.table([table["chunk"].combine_chunks(), table["start"].combine_chunks(), table["size"].combine_chunks(), pa.array(flags, pa.binary()), none, none], schema=_BACK)
 
     return run
 
@@ -243,6 +344,9 @@ def rank_stretches(length):
 def apply_flags(length, gram):
     def run(key, table, back):
         c = _Chunk(table, length, gram)
+        place = np.array([x for some in back["gone"].to_pylist() if some for x in some], np.int64)
+        hot = place - (np.searchsorted(c.off[:-1] + np.arange(len(c.off) - 1) * length, place, "right") - 1) * length
+        back = back.filter(pc.is_valid(back["start"]))
         sent = [np.frombuffer(x, np.uint32) for x in back["start"].to_pylist()]
         starts = np.concatenate(sent).astype(np.int64) if sent else np.empty(0, np.int64)
         flags = [np.unpackbits(np.frombuffer(f, np.uint8), count=int(np.frombuffer(s, np.uint32).sum())) for f, s in zip(back["flags"].to_pylist(), back["size"].to_pylist())]
@@ -255,7 +359,7 @@ def apply_flags(length, gram):
         order = np.argsort(sent_h)
         mate = order[np.minimum(np.searchsorted(sent_h[order], h), max(0, len(order) - 1))] if len(order) else np.empty(0, np.int64)
         later = c.ids[c.row[copies]] > c.ids[c.row[own[mate]]] if len(order) else np.empty(0, bool)
-        spans_a, spans_b = [windows, c.start[copies[later]]], [windows + length, c.start[copies[later]] + c.size[copies[later]] + length - 1]
+        spans_a, spans_b = [windows, hot, c.start[copies[later]]], [windows + length, hot + length, c.start[copies[later]] + c.size[copies[later]] + length - 1]
         # further copies in the document that was first, or in another of its id, fare like the one that was sent
         twin = np.flatnonzero(~later & (copies != own[mate])) if len(order) else []
         base = np.cumsum(size) - size
@@ -284,13 +388,22 @@ def apply_flags(length, gram):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, the kept bytes, and the maximal removed spans [start, end); 8 <= gram <= length."""
+def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, the kept bytes, and the maximal removed spans [start, end); 8 <= gram <= length.
+
+    hot: how many different stretches of a name one task may rank.
+    """
     parts, size = chunked(docs, chunk_bytes)
     bits = bucket_bits(size / 4, 1 << 19)
     by_chunk = parts.groupBy("chunk")
     names = by_chunk.applyInArrow(send_names(length, gram, bits), _ddl(_NAMES))
-    shared = names.groupBy("bucket").applyInArrow(shared_names, _ddl(_FLAGS))
+    shared = names.groupBy("bucket").applyInArrow(shared_names(hot), _ddl(_FLAGS))
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(send_stretches(length, gram, bits), _ddl(_SENT))
-    back = sent.groupBy("bucket").applyInArrow(rank_stretches(length), _ddl(_BACK))
-    return parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(apply_flags(length, gram), _OUT)
+    back = cut_lineage(sent.groupBy("bucket").applyInArrow(rank_stretches(length), _ddl(_BACK)))
+    ranked = back.where("bytes is null").select("chunk", "start", "size", "flags", F.lit(None).cast("array<long>").alias("gone"))
+    heavy = back.where("bytes is not null")
+    if not heavy.isEmpty():
+        found = doubled_by_spark(heavy.mapInArrow(positions(length), "at long, doc long, rank long, wanted boolean"), length)
+        gone = found.groupBy(F.shiftright("at", 32).cast("int").alias("chunk")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("gone"))
+        ranked = ranked.unionByName(gone.select("chunk", *[F.lit(None).cast("binary").alias(k) for k in ("start", "size", "flags")], "gone"))
+    return parts.groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInArrow(apply_flags(length, gram), _OUT)
