@@ -25,16 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
-from ._chunks import CHUNK_BYTES, bucket_bits, chunked, cut_lineage, in_order
+from ._chunks import CHUNK_BYTES, bucket_bits, chunked, in_order
 
 LENGTH, GRAM, SEGMENT, PART_BYTES = 50, 24, 1 << 16, 1 << 19
-#: Different stretches of a name that one task may rank (about PART_BYTES of text). A chunk states how many it has of a
-#: name from FEW on; below that they count as half of FEW.
-HOT, FEW, PIECE_BYTES = 4096, 8, 1 << 18
+#: Different stretches of a name that one task may rank, about 5 MB of text. A chunk states how many it has of a name
+#: beyond FEW; else they count as half of FEW.
+HOT, FEW, PIECE_BYTES = 1 << 16, 8, 1 << 18
 _NAMES = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()), ("many", pa.binary())])
 _FLAGS = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), ("flags", pa.binary()), ("hot", pa.binary())])
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("name", pa.binary()), ("doc", pa.binary()), ("start", pa.binary()), ("size", pa.binary()), ("bytes", pa.binary())])
-_BACK = pa.schema([("chunk", pa.int32()), ("start", pa.binary()), ("size", pa.binary()), ("flags", pa.binary()), ("doc", pa.binary()), ("bytes", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int32()), ("start", pa.binary()), ("size", pa.binary()), ("flags", pa.binary())])
 _OUT = "doc_id long, n_bytes long, n_removed long, kept binary, spans array<struct<start:long,end:long>>"
 _LAST = np.iinfo(np.int64).max
 
@@ -113,14 +113,14 @@ class _Chunk:
         self.length = length
 
     def covered(self, which: np.ndarray):
-        """(starts, ends) of the maximal spans of these stretches, inside documents, and a mask of their positions."""
+        """(starts, ends) of the maximal spans of these stretches, inside documents."""
         n = len(self.data)
         inside = B.cover_spans(self.start[which], self.start[which] + self.size[which] + self.length - 1, n)
         edge = np.zeros(n + 1, bool)
         edge[self.off] = True
         start = np.flatnonzero(inside & (edge[:n] | ~np.append(False, inside[:-1])))
         end = np.flatnonzero(inside & (edge[1:] | ~np.append(inside[1:], False))) + 1
-        return start, end, B.cover_spans(self.start[which], self.start[which] + self.size[which], n)
+        return start, end
 
     def hashes(self, which: np.ndarray) -> np.ndarray:
         return B.hash_spans(B.lanes(self.data), self.start[which], self.start[which] + self.size[which] + self.length - 1)
@@ -179,7 +179,8 @@ def shared_names(hot):
 def send_stretches(length, gram, bits):
     """The stretches whose name another document has too, each different one once, with its first document.
 
-    Those of hot names go as the texts they cover, in buckets below 0, with a flag for each position that they hold.
+    Those of hot names go as the texts they cover, in buckets below 0. Their places are in the chunk's text with a gap of
+    `length` after each document, so that no pair of positions crosses into the next.
     """
 
     def run(key, table, back):
@@ -202,13 +203,13 @@ def send_stretches(length, gram, bits):
                 column.append(value)
         heavy = np.flatnonzero((several & hot)[inverse])
         if len(heavy):
-            start, end, wanted = c.covered(heavy)
+            start, end = c.covered(heavy)
             piece = np.cumsum(end - start) // PIECE_BYTES
             for k, some in enumerate(np.split(np.arange(len(start)), np.flatnonzero(np.diff(piece)) + 1)):
                 at = B.ranges(start[some], end[some] - start[some])
                 row = np.searchsorted(c.off, start[some], "right") - 1
                 sizes = (end[some] - start[some]).astype(np.uint32)
-                value = (-1 - (key[0].as_py() << 24) - k, key[0].as_py(), np.packbits(wanted[at]).tobytes(), c.ids[row].tobytes(), (start[some] + row * length).tobytes(), sizes.tobytes(), c.data[at].tobytes())
+                value = (-1 - (key[0].as_py() << 24) - k, key[0].as_py(), b"", c.ids[row].tobytes(), (start[some] + row * length).tobytes(), sizes.tobytes(), c.data[at].tobytes())
                 for column, x in zip(rows, value):
                     column.append(x)
         return pa.table(rows, schema=_SENT)
@@ -216,42 +217,38 @@ def send_stretches(length, gram, bits):
     return run
 
 
-def positions(length):
-    """The rows of hot names as positions: (at, doc, rank, wanted), rank being the first 8 bytes.
+_POSITIONS = pa.schema([("at", pa.int64()), ("doc", pa.int64()), ("rank", pa.int64())])
 
-    at is the chunk and the place in it, with a gap of `length` after each document, so that no pair crosses into the next.
-    """
-    schema = pa.schema([("at", pa.int64()), ("doc", pa.int64()), ("rank", pa.int64()), ("wanted", pa.bool_())])
-
-    def run(batches):
-        for batch in batches:
-            for chunk, wanted, doc, start, size, data in zip(*(batch[k].to_pylist() for k in ("chunk", "flags", "doc", "start", "size", "bytes"))):
-                data, size = np.frombuffer(data, np.uint8), np.frombuffer(size, np.uint32).astype(np.int64)
-                first = np.cumsum(size) - size
-                here = B.ranges(first, size - 7)
-                at = B.ranges(np.frombuffer(start, np.int64), size - 7) + (chunk << 32)
-                flag = np.unpackbits(np.frombuffer(wanted, np.uint8), count=len(data)).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.repeat(np.frombuffer(doc, np.int64), size - 7)), pa.array(B.lanes(data)[here].view(np.int64)), pa.array(flag[here])], schema=schema)
 
-    return run
+def positions(key, table):
+    """The texts of hot names as positions (at, doc, rank): chunk and place, document, and the first 8 bytes."""
+    out = [pa.table([[], [], []], schema=_POSITIONS)]
+    if key[0].as_py() < 0:
+        for chunk, doc, start, size, data in zip(*(table[k].to_pylist() for k in ("chunk", "doc", "start", "size", "bytes"))):
+            data, size = np.frombuffer(data, np.uint8), np.frombuffer(size, np.uint32).astype(np.int64)
+            at = B.ranges(np.frombuffer(start, np.int64), size - 7) + (chunk << 32)
+            rank = B.lanes(data)[B.ranges(np.cumsum(size) - size, size - 7)].view(np.int64)
+            out.append(pa.table([at, np.repeat(np.frombuffer(doc, np.int64), size - 7), rank], schema=_POSITIONS))
+    return pa.concat_tables(out)
 
 
 def doubled_by_spark(rows: DataFrame, length: int) -> DataFrame:
-    """Of the wanted positions (at, doc, rank, wanted), those (at) whose `length` bytes an earlier document has too.
+    """Of the positions (at, doc, rank) those (at) whose `length` bytes, over 8, an earlier document has too.
 
-    A round pairs each rank with the one `step` on, sorts and groups by pairs, and keeps those of several documents under
-    the least position as their new rank. Groups are combined before the shuffle; a hot pair's rows are split by AQE.
+    A round pairs each rank with the one `step` on, sorts and groups by pairs, and keeps the pairs of several documents
+    with their least position as the new rank. Groups are combined before the shuffle, and AQE splits a hot pair's rows
+    in the join. Both uses of the pairs read all their columns, so that they share one exchange.
     """
-    span = 8
+    none, span = F.lit(None).cast("long"), 8
     while span < length:
         step = min(span, length - span)
-        ahead = rows.select((F.col("at") - step).alias("_at"), F.col("rank").alias("after"))
-        own = rows.where("wanted") if span + step == length else rows
-        pairs = own.join(ahead, F.col("at") == F.col("_at")).select("at", "doc", "wanted", F.col("rank").alias("first"), "after")
-        tied = pairs.groupBy("first", "after").agg(F.min("at").alias("rank"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
-        rows = pairs.join(tied.select(F.col("first").alias("_f"), F.col("after").alias("_a"), "rank", "low"), (F.col("first") == F.col("_f")) & (F.col("after") == F.col("_a"))).select("at", "doc", "wanted", "rank", "low")
+        own = F.struct("at", "doc", F.col("rank").alias("first"), none.alias("after"))
+        ahead = F.struct((F.col("at") - step).alias("at"), none.alias("doc"), none.alias("first"), F.col("rank").alias("after"))
+        pairs = rows.select(F.inline(F.array(own, ahead))).groupBy("at").agg(*[F.max(c).alias(c) for c in ("doc", "first", "after")]).where("first is not null and after is not null")
+        tied = pairs.groupBy(F.col("first").alias("_f"), F.col("after").alias("_a")).agg(F.min("at").alias("rank"), F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        rows = pairs.join(tied, (F.col("first") == F.col("_f")) & (F.col("after") == F.col("_a"))).select("at", "doc", "rank", "low")
         span += step
-    return rows.where("doc > low").select("at") if length > 8 else rows.where("wanted").join(rows.groupBy(F.col("rank").alias("_r")).agg(F.min("doc").alias("low")), F.col("rank") == F.col("_r")).where("doc > low").select("at")
+    return rows.where("doc > low").select("at")
 
 
 def rank_pairs(first: np.ndarray, second: np.ndarray):
@@ -314,12 +311,12 @@ def _older(data, size, doc, name, length) -> np.ndarray:
 
 
 def rank_stretches(length):
-    """Answers a bucket's stretches, whole names at a time in parts of about PART_BYTES; hot names' texts pass through."""
+    """Answers a bucket's stretches, whole names at a time in parts of about PART_BYTES; not those of hot names."""
 
     def run(key, table):
         B.tidy()
         if key[0].as_py() < 0:
-            return pa.table([table[k].combine_chunks() for k in ("chunk", "start", "size", "name", "doc", "bytes")], schema=_BACK)
+            return pa.table([[]] * len(_BACK), schema=_BACK)
         get = lambda name, kind: [np.frombuffer(x, kind) for x in table[name].to_pylist()]
         name, doc, size, data = (np.concatenate(get(*x)) for x in (("name", np.uint64), ("doc", np.int64), ("size", np.uint32), ("bytes", np.uint8)))
         size = size.astype(np.int64)
@@ -335,8 +332,7 @@ def rank_stretches(length):
             gone[B.ranges(win[some], size[some])] = _older(data[B.ranges(off[some], full[some])], size[some], doc[some], name[some], length)
         ends = np.cumsum([0, *[int(x.sum()) for x in get("size", np.uint32)]])
         flags = [np.packbits(gone[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-        none = pa.nulls(len(flags), pa.binary())
-        return pa.table([table["chunk"].combine_chunks(), table["start"].combine_chunks(), table["size"].combine_chunks(), pa.array(flags, pa.binary()), none, none], schema=_BACK)
+        return pa.table([table["chunk"].combine_chunks(), table["start"].combine_chunks(), table["size"].combine_chunks(), pa.array(flags, pa.binary())], schema=_BACK)
 
     return run
 
@@ -389,7 +385,7 @@ def apply_flags(length, gram):
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, chunk_bytes: int = CHUNK_BYTES, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, the kept bytes, and the maximal removed spans [start, end); 8 <= gram <= length.
+    """doc_id, n_bytes, n_removed, the kept bytes, and the maximal removed spans [start, end); 8 <= gram <= length, 8 < length.
 
     hot: how many different stretches of a name one task may rank.
     """
@@ -399,11 +395,9 @@ def remove_repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRA
     names = by_chunk.applyInArrow(send_names(length, gram, bits), _ddl(_NAMES))
     shared = names.groupBy("bucket").applyInArrow(shared_names(hot), _ddl(_FLAGS))
     sent = by_chunk.cogroup(shared.groupBy("chunk")).applyInArrow(send_stretches(length, gram, bits), _ddl(_SENT))
-    back = cut_lineage(sent.groupBy("bucket").applyInArrow(rank_stretches(length), _ddl(_BACK)))
-    ranked = back.where("bytes is null").select("chunk", "start", "size", "flags", F.lit(None).cast("array<long>").alias("gone"))
-    heavy = back.where("bytes is not null")
-    if not heavy.isEmpty():
-        found = doubled_by_spark(heavy.mapInArrow(positions(length), "at long, doc long, rank long, wanted boolean"), length)
-        gone = found.groupBy(F.shiftright("at", 32).cast("int").alias("chunk")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("gone"))
-        ranked = ranked.unionByName(gone.select("chunk", *[F.lit(None).cast("binary").alias(k) for k in ("start", "size", "flags")], "gone"))
+    by_bucket = sent.groupBy("bucket")
+    back = by_bucket.applyInArrow(rank_stretches(length), _ddl(_BACK))
+    found = doubled_by_spark(by_bucket.applyInArrow(positions, "at long, doc long, rank long"), length)
+    gone = found.groupBy(F.shiftright("at", 32).cast("int").alias("chunk")).agg(F.collect_list(F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("gone"))
+    ranked = back.unionByName(gone, allowMissingColumns=True)
     return parts.groupBy("chunk").cogroup(ranked.groupBy("chunk")).applyInArrow(apply_flags(length, gram), _OUT)
