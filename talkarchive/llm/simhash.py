@@ -1,7 +1,7 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a Hamming distance by vantage-point trees.
 
 Texts are read once; equal fingerprints are one point from there on. The driver builds the top of one tree from a
-bounded sample of points. A node splits by the distance to its vantage point: points at most m from it go inside,
+sample of points, a fixed number for each shard. A node splits by the distance to its vantage point: points at most m from it go inside,
 others outside, and those outside at most m + radius from it go inside as well, since by the triangle inequality
 nothing farther out has a partner inside. So two points within the radius always share a shard. A task continues the
 same splits in its shard down to small leaves and compares leaf members pair by pair. It returns links to the least
@@ -27,8 +27,9 @@ from ._chunks import cut_lineage
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 SHARD, LEAF = 20_000, 256
-#: Points sampled for the top of the tree.
-SAMPLE = 20_000
+#: Points sampled for the top of the tree, and for each shard that it is to have: 256 bytes a shard of 20,000 points reach
+#: the driver, so that shards keep their size however many points there are.
+SAMPLE, SAMPLE_A_SHARD = 20_000, 32
 
 
 def fingerprints(shingle: int):
@@ -211,7 +212,8 @@ def vantage_links(points: DataFrame, radius: int = RADIUS, shard: int = SHARD) -
     """(a, b): links of different fingerprints (fp, each once) within the radius, each shard's as stars to the least of a
     group, found through one vantage-point tree."""
     n = points.count()
-    sample = [r.fp for r in points.sample(min(1.0, SAMPLE / max(1, n)), 11).select("fp").limit(2 * SAMPLE).collect()]
+    wanted = max(SAMPLE, SAMPLE_A_SHARD * math.ceil(n / shard))
+    sample = [r.fp for r in points.sample(min(1.0, wanted / max(1, n)), 11).select("fp").limit(2 * wanted).collect()]
     depth = max(0, math.ceil(math.log2(max(1, n) / shard) * 1.3))
     tree = grow(np.array(sorted(sample), np.int64).view(np.uint64), depth, radius, random.Random(5))
     return points.select("fp").mapInArrow(dealt(tree, radius), "shard int, fp long").groupBy("shard").applyInArrow(linked(radius), "a long, b long")
