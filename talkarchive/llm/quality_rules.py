@@ -36,46 +36,47 @@ RULES = (
 MIN_WORDS, MAX_REPEAT_PERCENT, NGRAM = 50, 50, 3
 
 
-def _once(df: DataFrame, **made: Column) -> DataFrame:
-    """Adds columns behind a generator, so that the optimizer cannot copy their expressions into each later use."""
-    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))))
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _repeated(words: Column) -> Column:
+    """How many words lie in 3-word windows that the text has twice or more."""
+    at = lambda i, k: F.get(words, i + k)
+    windows = F.transform(F.sequence(F.lit(0), F.size(words) - NGRAM), lambda i: F.xxhash64(*[at(i, k) for k in range(NGRAM)]))
+
+    def covered(ranked: Column) -> Column:
+        # (hash, place) in order: a place repeats if a neighbour has the same hash.
+        same = lambda i, k: F.get(ranked, i)["h"].eqNullSafe(F.get(ranked, i + k)["h"])
+        again = F.filter(F.sequence(F.lit(0), F.size(ranked) - 1), lambda i: same(i, 1) | ((i > 0) & same(i, -1)))
+        places = F.array_sort(F.transform(again, lambda i: F.get(ranked, i)["i"]))
+        # Each repeated place adds the words from the end of the one before, three at most.
+        return F.aggregate(places, F.struct(F.lit(0).alias("n"), F.lit(-NGRAM).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(NGRAM), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
+
+    ranked = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    some = lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), _let(ranked(h), covered)).otherwise(0)
+    return F.when(F.size(words) >= NGRAM, _let(windows, some)).otherwise(0)
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, and the ratios that rules may bound, as a struct."""
+    """doc_id, the base counts, and the ratios that rules may bound, as a struct; all counts come from one projection."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    df = docs.select(F.col("doc_id"), text.alias("text"))
-    trimmed = F.btrim("text", F.lit(SEPARATORS))
-    df = _once(df, words=F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+")), lines=F.filter(F.split("text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    n = F.size("words")
-    at = lambda i, k: F.get("words", i + k)
-    windows = F.when(n >= NGRAM, F.transform(F.sequence(F.lit(0), n - NGRAM), lambda i: F.xxhash64(*[at(i, k) for k in range(NGRAM)]))).otherwise(F.array().cast("array<bigint>"))
-    df = _once(df, hashes=windows)
-    some = F.size(F.array_distinct("hashes")) < F.size("hashes")
-    # (hash, place) in order: a place repeats if a neighbour has the same hash; the places covered are then merged.
-    ranked = F.when(some, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    df = _once(df, ranked=ranked)
-    same = lambda i, k: F.get("ranked", i)["h"].eqNullSafe(F.get("ranked", i + k)["h"])
-    places = F.when(F.col("ranked").isNotNull(), F.array_sort(F.transform(F.filter(F.sequence(F.lit(0), F.size("ranked") - 1), lambda i: same(i, 1) | ((i > 0) & same(i, -1))), lambda i: F.get("ranked", i)["i"])))
-    df = _once(df, places=places)
-    # Each repeated place adds the words from the end of the one before, three at most.
-    fresh = F.aggregate("places", F.struct(F.lit(0).alias("n"), F.lit(-NGRAM).alias("last")), lambda s, p: F.struct((s["n"] + F.least(F.lit(NGRAM), p - s["last"])).alias("n"), p.alias("last")), lambda s: s["n"])
+    trimmed = F.btrim(text, F.lit(SEPARATORS))
+    words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x20\\x09-\\x0D]+"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     stop = sorted({w for x in STOP_WORDS.values() for w in x.split()})
-    stops = F.size(F.filter("words", lambda w: F.lower(w).isin(stop)))
-    counts = {
-        "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate("text", SEPARATORS, "")).cast("long"),
-        "n_symbols": (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-        "n_repeat_words": F.coalesce(fresh, F.lit(0)).cast("long"),
-    }
-    df = _once(df, **counts, n_lines=F.size("lines"), n_stop=stops, n_list=F.size(F.filter("lines", lambda x: x.rlike("^\\s*[-*•]"))), n_exclaim=F.length("text") - F.length(F.translate("text", "!", "")))
+    without = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
+    of_words = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words"), F.size(F.filter(w, lambda x: F.lower(x).isin(stop))).alias("n_stop")))
+    of_lines = _let(lines, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), F.size(x).alias("n_lines"), F.size(F.filter(x, lambda y: y.rlike("^\\s*[-*•]"))).alias("n_list")))
+    chars = F.struct(F.length(F.translate(text, SEPARATORS, "")).cast("long").alias("word_chars"), without(SYMBOLS).cast("long").alias("n_symbols"), without("!").alias("n_exclaim"))
+    df = docs.select("doc_id", of_words.alias("w"), of_lines.alias("l"), chars.alias("c")).select("doc_id", "w.*", "l.*", "c.*")
     share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     ratios = F.struct(
         share("word_chars", "n_words").alias("mean_word_chars"), share("n_symbols", "n_words").alias("symbols_per_word"), share("n_exclaim", "n_words").alias("exclamations_per_word"), share("n_stop", "n_words").alias("stop_word_share"),
         share("n_dup_lines", "n_lines").alias("duplicate_line_share"), share("n_list", "n_lines").alias("list_line_share"),
     )
-    return df.select("doc_id", *counts, ratios.alias("ratios"))
+    return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", ratios.alias("ratios"))
 
 
 def compiled(rules=RULES) -> Column:
