@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import decontamination, language_id, lm_scoring, preference_format, quality_rules, simhash, source_mixing, substring_dedup, suffix_dedup, toxicity
+from . import decontamination, filter_audit, language_id, lm_scoring, preference_format, quality_rules, simhash, source_divergence, source_mixing, substring_dedup, suffix_dedup, toxicity, url_filters
 from .sql import SQL
 
 
@@ -67,9 +67,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix_sources(_table(spark, sf_dir, "documents"), source_mixing.label_quality(_table(spark, sf_dir, "labels")))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = url_filters.fit(url_filters.labelled_urls(spark))
+    return url_filters.judge_urls(_table(spark, sf_dir, "pages"), url_filters.RULES, model).withColumn("score", F.round("score", 3))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_language_id, op6_preference_format, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_source_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op3_toxicity, op4_substring_dedup, op5_language_id, op6_preference_format, op7_quality_rules, op8_suffix_dedup, op9_simhash, op10_source_mixing, op11_url_filters, op12_filter_audit, op13_source_divergence, pipeline)}
 ORACLE_SQL = {k: v for k, v in {**SQL, "pipeline": corpus_pipeline.ORACLE_SQL}.items() if v}

@@ -96,3 +96,57 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 SQL["op7_quality_rules"] = _quality()
+
+
+def _urls() -> str:
+    """Rules, then the same penalised logistic regression, reached by gradient steps on the labelled urls' kernel."""
+    from .url_filters import ALLOWED, BLOCKED, BUCKETS, PENALTY, RULES, SIZES
+
+    table = ", ".join(f"({u!r}, {label})" for label, urls in ((1, BLOCKED), (0, ALLOWED)) for u in urls.split())
+    rules = ", ".join(f"({v!r}, {r!r}, {r.partition('/')[0]!r}, {'/' + r.partition('/')[2]!r})" for v, r in RULES)
+    grams = lambda c, mark: " || ".join(f"CASE WHEN {c} = '' THEN [] ELSE list_transform(range(1, length({c}) + {4 - n}), lambda i: '{mark}' || substr('^' || {c} || '$', i, {n})) END" for n in SIZES)
+    parts = "SELECT *, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path"
+    buckets = f"list_distinct(list_transform({grams('host', 'h')} || {grams('path', 'p')}, lambda g: ('0x' || substr(md5(g), 1, 8))::BIGINT % {BUCKETS}))"
+    pace = 3
+    return rf"""
+WITH RECURSIVE lu(url, y) AS (VALUES {table}), rule(verdict, rule, h, p) AS (VALUES {rules}),
+l AS (SELECT row_number() OVER () AS i, y, {buckets} AS b FROM ({parts} FROM lu)),
+k AS (SELECT x.i, list(len(list_intersect(x.b, z.b)) / sqrt(len(x.b) * len(z.b)) ORDER BY z.i) AS r FROM l x, l z GROUP BY x.i),
+m AS (SELECT list(r ORDER BY i) AS k, (SELECT list(y ORDER BY i) FROM l) AS y, count(*)::DOUBLE AS n FROM k),
+s AS (SELECT 0 AS t, list_transform(y, lambda q: 0::DOUBLE) AS a, 0::DOUBLE AS c FROM m UNION ALL
+  SELECT t + 1, list_transform(range(1, len(a) + 1), lambda i: (1 - {pace} * {PENALTY}::DOUBLE) * a[i] - {pace} * e[i]), c - {pace} * list_sum(e) FROM
+  (SELECT t, a, c, list_transform(range(1, len(a) + 1), lambda i: (1 / (1 + exp(-list_dot_product(m.k[i], a) - c)) - y[i]) / n) AS e FROM s, m WHERE t < 1000)),
+z AS (SELECT a, c FROM s WHERE t = 1000), w AS (SELECT unnest(b) AS k, sum(a[i] / sqrt(len(b))) AS w FROM l, z GROUP BY 1), wl AS (SELECT map(list(k), list(w)) AS w FROM w),
+u AS (SELECT *, {buckets} AS b FROM ({parts} FROM pages)),
+v AS (SELECT page_id, u.host, u.path, 1 / (1 + exp(-z.c - coalesce(list_sum(list_transform(b, lambda q: coalesce(wl.w[q], 0))) / sqrt(len(b)), 0))) AS score,
+  (SELECT max({{'n': length(rule), 'h': length(h), 'v': verdict, 'r': rule}}) FROM rule WHERE (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p)) AS f FROM u, z, wl)
+SELECT page_id, host, path, f.r AS rule, coalesce(f.v, CASE WHEN score > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(score, 3) AS score FROM v"""
+
+
+SQL["op11_url_filters"] = _urls()
+
+SQL["op12_filter_audit"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, [len(ws) < 100, 100 * len(list_distinct(ws)) < 80 * len(ws), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, least IS NOT NULL)] AS f,
+  count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM w GROUP BY ALL),
+x AS (SELECT unnest(range(1, 6)) AS i), o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT part, array_to_string(list_transform(o, lambda i: substr('ABCDE', i, 1)), '') AS filter_order, k.i AS step, o[k.i] AS own, n, good, toxic, f[o[k.i]] AS hit,
+  list_bool_or(list_transform(o[1:k.i - 1], lambda i: f[i])) AS gone, len(list_filter(f, lambda b: b)) AS fails FROM c, o, x k),
+a AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT hit AND NOT coalesce(gone, false)), 0) AS kept, coalesce(sum(n) FILTER (hit AND NOT coalesce(gone, false)), 0) AS removed, coalesce(sum(n) FILTER (hit AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (hit AND fails = 1), 0) AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT coalesce(gone, false)), 0) AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT coalesce(gone, false)), 0) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM a"""
+
+SQL["op13_source_divergence"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d), k AS (SELECT lang, w, count(*) AS total FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(total) AS n FROM k GROUP BY lang), g AS (SELECT DISTINCT lang, source FROM d), c AS (SELECT lang, source, w, count(*) AS c FROM t SEMI JOIN k USING (lang, w) GROUP BY ALL),
+n AS (SELECT lang, source, coalesce(sum(c), 0) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, k.w, coalesce(c, 0) AS c, 1 + (1000000000::HUGEINT * (coalesce(c, 0) + 5)) // (n.n + 5 * v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 5)) // (v.n + 5 * v.v) AS q
+  FROM n JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.w = k.w),
+s AS (SELECT x.lang, x.source, z.source AS item, coalesce(sum(abs(a.p - b.p)), 0)::BIGINT AS value FROM g x JOIN g z ON z.lang = x.lang AND z.source <> x.source
+  LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source LEFT JOIN p b ON b.lang = z.lang AND b.source = z.source AND b.w = a.w GROUP BY ALL),
+u AS (SELECT lang, source, 'pair' AS part, item, value FROM s UNION ALL SELECT lang, source, 'term', w, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INT AS rank FROM u QUALIFY part = 'pair' OR rank <= 50"""
