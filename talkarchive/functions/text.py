@@ -111,15 +111,20 @@ def meaningful(c, kind: Column) -> Column:
     return folded.rlike(r"\p{L}") & enough
 
 
+def bound(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside a lambda an expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def token_counts(c, size: int = 64) -> Column:
     """How many of the text's tokens, repeats included, fall in each of `size` places named by their MD5; null: none."""
     tokens = F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     at = F.transform(tokens, lambda w: F.conv(F.substring(F.md5(w), 1, 7), 16, 10).cast("int") % size)
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(at) - F.size(F.array_remove(at, k)))
+    return bound(at, lambda at: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(at) - F.size(F.array_remove(at, k))))
 
 
 def token_vector(c, size: int = 64) -> Column:
     """The embedding used where no model is given: token counts at unit length, zeros for a text without tokens."""
-    counts = token_counts(c, size)
-    norm = F.sqrt(F.aggregate(counts, F.lit(0).cast("double"), lambda n, x: n + x * x))
-    return F.transform(F.transform(counts, lambda x: x / F.greatest(norm, F.lit(1e-12))), lambda x: x.cast("float"))
+    norm = lambda counts: F.greatest(F.sqrt(F.aggregate(counts, F.lit(0).cast("double"), lambda n, x: n + x * x)), F.lit(1e-12))
+    unit = lambda counts: bound(norm(counts), lambda n: F.transform(counts, lambda x: (x / n).cast("float")))
+    return bound(token_counts(c, size), unit)

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.plans import frame_times
 from .intervals import BUCKET
 
 #: Words of chat and calendar windows, and of television in frames.
@@ -19,7 +20,8 @@ def relevance(frames: DataFrame, segments: DataFrame, reach: float = 45.0, least
     """frames(video_id, frame_id, timestamp, ocr_text): the share of their words said within `reach` seconds.
 
     Words meet in an equi join on recording, time bucket and word, so no frame meets a whole recording. Frames without
-    words and words said nowhere near score 0; frames of low score with a noise word are of low relevance.
+    words and words said nowhere near score 0; frames of low score with a noise word are of low relevance. Frames of a
+    recording without segments are left as they are: no score, and not of low relevance.
     """
     words = T.plain_tokens(F.coalesce("ocr_text", F.lit("")))
     f = frames.withColumn("_words", words).withColumn("_from", F.greatest(F.lit(0.0), F.col("timestamp") - reach)).withColumn("_to", F.col("timestamp") + reach)
@@ -30,8 +32,10 @@ def relevance(frames: DataFrame, segments: DataFrame, reach: float = 45.0, least
     found = hit.select("video_id", "frame_id", "w").distinct().groupBy("video_id", "frame_id").agg(F.count("*").alias("_n"))
     score = F.when(F.size("_words") > 0, F.coalesce("_n", F.lit(0)) / F.size("_words")).otherwise(0.0)
     noisy = F.arrays_overlap("_words", F.array(*[F.lit(w) for w in NOISE_WORDS]))
-    out = f.join(found, ["video_id", "frame_id"], "left").withColumn("relevance_score", F.round(score, 4))
-    return out.withColumn("low_relevance", (score < least) & noisy).drop("_words", "_from", "_to", "_n")
+    heard = segments.select("video_id").distinct().withColumn("_heard", F.lit(True))
+    out = f.join(found, ["video_id", "frame_id"], "left").join(heard, "video_id", "left")
+    out = out.withColumn("relevance_score", F.when(F.col("_heard"), F.round(score, 4)))
+    return out.withColumn("low_relevance", F.coalesce("_heard", F.lit(False)) & (score < least) & noisy).drop("_words", "_from", "_to", "_n", "_heard")
 
 
 def prompt_lines(frames: DataFrame, budget: int = 8000, most: int = 60) -> DataFrame:
@@ -106,3 +110,15 @@ def keyframes(frames: DataFrame, change: float = 12.0, stable: float = 6.0, apar
 
     rows = frames.where("video_id is not null and signature is not null").select("video_id", "timestamp", "signature")
     return rows.groupBy("video_id").applyInPandas(fold, "video_id long, scene_idx long, timestamp double, reason string")
+
+
+def keyframes_or_intervals(frames: DataFrame, durations: DataFrame, interval: float = 5.0, most: int = 0, **rules) -> DataFrame:
+    """keyframes, but evenly spaced frames for recordings (video_id, duration) with no keyframe, or with one only and longer
+    than the interval: at most `most` of them, or as many as intervals begin in the duration."""
+    found = keyframes(frames, most=most, **rules)
+    n = found.groupBy("video_id").agg(F.count("*").alias("_n"))
+    count = F.coalesce("_n", F.lit(0))
+    poor = durations.join(n, "video_id", "left").where((count == 0) | ((count <= 1) & (F.col("duration") > interval))).select("video_id", "duration")
+    even = poor.select("video_id", F.posexplode(frame_times(F.col("duration").cast("double"), interval, most or 2**31 - 1)).alias("scene_idx", "timestamp"))
+    out = found.join(poor, "video_id", "left_anti")
+    return out.unionByName(even.select("video_id", F.col("scene_idx").cast("long").alias("scene_idx"), "timestamp", F.lit("interval").alias("reason")))

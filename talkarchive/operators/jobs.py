@@ -40,6 +40,13 @@ def cancelled(jobs: DataFrame, job_id=None, batch_id=None) -> DataFrame:
     return jobs.where(mine & F.col("status").isin(*ACTIVE)).withColumn("status", F.lit("cancelled"))
 
 
+def cancelled_batch(batches: DataFrame, jobs: DataFrame, batch_id) -> DataFrame:
+    """The batch as cancelled, with the number of its jobs that were; a batch that is not known gives no row."""
+    mine = batches.where(F.col("batch_id") == batch_id).withColumn("status", F.lit("cancelled"))
+    n = cancelled(jobs, batch_id=batch_id).groupBy("batch_id").agg(F.count("*").alias("cancelled_jobs"))
+    return mine.join(n, "batch_id", "left").withColumn("cancelled_jobs", F.coalesce("cancelled_jobs", F.lit(0)))
+
+
 def step_durations(events: DataFrame) -> DataFrame:
     """Seconds between the first and the last event (job_id, step, ts) of each step."""
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -127,11 +134,15 @@ def first_of_text(items: DataFrame) -> DataFrame:
 
 
 def to_retry(jobs: DataFrame) -> DataFrame:
-    """The newest failed job of each recording that has no active job, queued once more."""
+    """The newest failed job of each recording that has no active job, queued once more: one retry more, and nothing left
+    of the last run in its step, error and time columns."""
     w = Window.partitionBy("video_id").orderBy(F.col("created_at").desc(), F.col("job_id").desc())
     newest = jobs.where("status = 'failed'").withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
     active = jobs.where(F.col("status").isin(*ACTIVE)).select("video_id")
-    return newest.join(active, "video_id", "left_anti").withColumn("status", F.lit("queued"))
+    out = newest.join(active, "video_id", "left_anti").withColumn("status", F.lit("queued"))
+    count = F.coalesce("retry_count", F.lit(0)) + 1 if "retry_count" in jobs.columns else F.lit(1)
+    cleared = {c: F.lit(None).cast(jobs.schema[c].dataType) for c in ("current_step", "error_message", "error_step", "started_at", "completed_at") if c in jobs.columns}
+    return out.withColumns({**cleared, "retry_count": count})
 
 
 def next_step(steps: DataFrame, count: int = 8) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..functions.plans import match_weight
 from . import ranking as R
 
 #: Queries a block, blocks a pass over the texts, and bytes of query text a block: what is sent to every task at once.
@@ -234,6 +235,16 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
 
 
+def similar_recordings(queries: DataFrame, chunks: DataFrame, n: int = 5) -> DataFrame:
+    """(query_id, video_id, score, rank): recordings like those of the queries (query_id, vector, own_id), by the chunks
+    (chunk_id, vector, video_id, type, section, text) nearest to them: pool(n) a query, those with something to say."""
+    near = nearest_vectors(queries, chunks, pool(n)).drop("rank")
+    known = chunks.select("chunk_id", "video_id", "type", "section", F.coalesce("text", F.lit("")).alias("text"))
+    hits = near.join(known, "chunk_id").where(T.meaningful("text", F.col("type")))
+    hits = hits.withColumn("weighted", F.col("cosine") * match_weight(F.col("type"), F.col("section")))
+    return recording_scores(hits.join(queries.select("query_id", "own_id"), "query_id"), n)
+
+
 def recording_scores(hits: DataFrame, n: int = 5) -> DataFrame:
     """Recordings of each query by their two best weighted chunks: 0.7 best + 0.3 mean; hits: query_id, own_id, video_id, weighted."""
     other = hits.where("video_id <> own_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import prompts as P, text as T
-from ..sources import archive as A, tables as X
+from ..operators.settle import shared_folder
+from ..sources import archive as A, snapshots, tables as X
 from .registry import query
 
 
@@ -38,6 +41,17 @@ def s4_without_recordings(spark, d):
     return left["chunks"].select(F.lit("chunks").alias("kind"), "id").unionByName(left["turns"].select(F.lit("turns").alias("kind"), "id"))
 
 
+@query("SELECT vec_id AS chunk_id, label AS video_id, 'm' || vec_id % 2 AS namespace FROM embeddings WHERE label NOT IN (1, 4) AND NOT (vec_id % 2 = 1 AND label IN (2, 3)) UNION ALL SELECT vec_id + 1000000, label, 'm1' FROM embeddings WHERE label IN (2, 3)")
+def s3_s4_snapshot_index(spark, d):
+    """The index written to the shared folder, recordings replaced in one namespace, others deleted from all, and read back."""
+    path, old = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", _index(spark, d).withColumn("video_id", F.col("video_id").cast("long"))
+    snapshots.commit(path, old)
+    new = old.where("video_id in (2, 3)").withColumn("chunk_id", F.col("chunk_id") + 1000000).withColumn("namespace", F.lit("m1"))
+    snapshots.commit(path, new, new.select("namespace", "video_id").distinct())
+    snapshots.delete(spark, path, old.where("video_id in (1, 4)").select("video_id").distinct())
+    return snapshots.read(spark, path)
+
+
 @query("""WITH r AS (SELECT conv_id, 'Title: talk ' || conv_id || chr(10) || 'Part ' || (conv_id % 3 + 1) || ' of 3 (00:00:00 - 00:01:00)' AS head, string_agg('[' || lpad((turn * 10 // 3600)::VARCHAR, 2, '0') || ':' || lpad((turn * 10 % 3600 // 60)::VARCHAR, 2, '0') || ':' || lpad((turn * 10 % 60)::VARCHAR, 2, '0') || '] ' || role || ': ' || text, chr(10) ORDER BY turn) AS spoken FROM conversations GROUP BY 1)
 SELECT conv_id AS video_id, head || chr(10) || chr(10) || 'Transcript:' || chr(10) || spoken || CASE WHEN conv_id % 2 = 0 THEN chr(10) || chr(10) || 'Slides:' || chr(10) || '- 00:00:10 Plan' ELSE '' END AS prompt, 20 AS frames, 2666 AS chars FROM r WHERE spoken IS NOT NULL""")
 def f28_prompt(spark, d):

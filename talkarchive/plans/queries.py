@@ -67,6 +67,12 @@ def p14_cancel(spark, d):
     return rows.join(F.broadcast(rows.agg(F.count("*").alias("n"))), F.lit(True))  # one row
 
 
+@query(f"WITH {_JOBS} SELECT batch_id, 'cancelled' AS status, count(*) FILTER (status IN ('queued', 'processing')) AS cancelled_jobs FROM j WHERE batch_id = '2-HIGH' GROUP BY batch_id")
+def p14_cancelled_batch(spark, d):
+    jobs = X.jobs(spark, d)
+    return J.cancelled_batch(J.batch_status(jobs), jobs, "2-HIGH").select("batch_id", "status", "cancelled_jobs")
+
+
 @query(f"WITH {_JOBS} SELECT job_id, video_id FROM j WHERE status = 'completed' ORDER BY created_at DESC, job_id LIMIT 50 OFFSET 50")
 def p9_o5_job_page(spark, d):
     return J.page(X.jobs(spark, d).where("status = 'completed'"), 2, 50, F.col("created_at").desc(), F.col("job_id")).select("job_id", "video_id")
@@ -294,7 +300,7 @@ def st1_step_state(spark, d):
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, event_id, n, a AS o, 1 AS c FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN e.a >= r.o + 3600000000 THEN e.a ELSE r.o END, CASE WHEN e.a >= r.o + 3600000000 THEN 1 ELSE r.c + 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1)
-SELECT user_id AS identity, event_id, c <= 2 AS allowed FROM r""")
+SELECT r.user_id AS identity, r.event_id, c <= 2 AS allowed, ((o + 3600000000 - e.a) // 1000000)::INT AS retry_after FROM r JOIN e USING (user_id, n)""")
 def st2_rate_limit(spark, d):
     return folds.rate_limit(X.table(spark, d, "events").select(F.col("user_id").alias("identity"), "event_id", "ts"), 2, 3600)
 
@@ -327,14 +333,16 @@ def j10_never_enqueued(spark, d):
     return J.never_enqueued(X.jobs(spark, d).withColumn("task_id", F.when(F.col("job_id") % 3 != 0, F.col("job_id").cast("string")))).select("job_id")
 
 
-_FAILED = "f AS (SELECT job_id, video_id, created_at, CASE WHEN status = 'completed' AND job_id % 2 = 0 THEN 'failed' ELSE status END AS status FROM j WHERE status = 'completed' OR job_id % 5 = 0)"
+_FAILED = "f AS (SELECT job_id, video_id, created_at, job_id % 4 AS retry_count, CASE WHEN job_id % 5 <> 0 AND status <> 'completed' THEN 'cancelled' WHEN status = 'completed' AND job_id % 2 = 0 THEN 'failed' ELSE status END AS status FROM j)"
 
 
-@query(f"WITH {_JOBS}, {_FAILED} SELECT video_id, job_id, 'queued' AS status FROM f WHERE status = 'failed' AND video_id NOT IN (SELECT video_id FROM f WHERE status IN ('queued', 'processing')) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC, job_id DESC) = 1")
+@query(f"WITH {_JOBS}, {_FAILED} SELECT video_id, job_id, 'queued' AS status, retry_count + 1 AS retry_count, NULL::VARCHAR AS error_message FROM f WHERE status = 'failed' AND video_id NOT IN (SELECT video_id FROM f WHERE status IN ('queued', 'processing')) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY created_at DESC, job_id DESC) = 1")
 def w12_retry(spark, d):
-    jobs = X.jobs(spark, d).where("status = 'completed' or job_id % 5 = 0")
-    jobs = jobs.withColumn("status", F.when((F.col("status") == "completed") & (F.col("job_id") % 2 == 0), "failed").otherwise(F.col("status")))
-    return J.to_retry(jobs).select("video_id", "job_id", "status")
+    """All jobs; of those not completed four fifths are cancelled, of the completed ones half have failed."""
+    jobs, status = X.jobs(spark, d), F.col("status")
+    now = F.when((F.col("job_id") % 5 != 0) & (status != "completed"), "cancelled").when((status == "completed") & (F.col("job_id") % 2 == 0), "failed").otherwise(status)
+    jobs = jobs.withColumn("status", now).withColumn("retry_count", F.col("job_id") % 4).withColumn("error_message", F.lit("out of memory"))
+    return J.to_retry(jobs).select("video_id", "job_id", "status", "retry_count", "error_message")
 
 
 @query("""WITH s AS (SELECT l_orderkey AS job_id, l_linenumber::INT AS step, l_quantity * 4 >= 100 AS done FROM lineitem), a AS (SELECT job_id, k.k AS step FROM (SELECT DISTINCT job_id FROM s), unnest(range(1, 9)) k(k))
@@ -362,17 +370,19 @@ def p7_section(spark, d):
 
 
 @query("""WITH c AS (SELECT vec_id AS id, label, vec_id % 5 AS t, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT * FROM c WHERE id % 100 = 0),
-s AS (SELECT q.id AS query_id, q.label AS own, c.id AS chunk, c.label AS video_id, c.t, round(list_cosine_similarity(q.v, c.v), 9) AS x FROM q, c), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk) <= 30),
-w AS (SELECT query_id, video_id, x * (list_extract([0.98, 0.78, 0.68, 0.45, 0.65], t + 1))::DOUBLE AS y FROM k WHERE video_id <> own), p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY y DESC) <= 2),
+s AS (SELECT q.id AS query_id, q.label AS own, c.id AS chunk, c.label AS video_id, c.t, round(list_cosine_similarity(q.v, c.v), 9) AS x FROM q, c),
+d AS (SELECT doc_id AS chunk, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS f FROM documents), k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY x DESC, chunk) <= 30),
+w AS (SELECT query_id, video_id, x * (list_extract([0.98, 0.78, 0.68, 0.45, 0.65], t + 1))::DOUBLE AS y FROM k LEFT JOIN d USING (chunk) WHERE video_id <> own AND coalesce(regexp_matches(f, '\\p{L}') AND (len(regexp_extract_all(lower(f), '[a-z0-9]{2,}')) >= CASE WHEN t < 3 THEN 3 ELSE 2 END OR length(f) >= CASE WHEN t < 2 THEN 18 ELSE 12 END), false)), p AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY query_id, video_id ORDER BY y DESC) <= 2),
 r AS (SELECT query_id, video_id, round(0.7::DOUBLE * max(y) + 0.3::DOUBLE * avg(y), 6) AS score FROM p GROUP BY ALL)
 SELECT query_id, video_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id))::INT AS "rank" FROM r QUALIFY "rank" <= 5""")
 def a6_recording_scores(spark, d):
     rows = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
-    found = S.nearest_vectors(rows.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id"), rows, 30).drop("rank")
+    """Chunks with the texts of documents; those that say nothing don't count."""
     kind = F.element_at(F.array(*[F.lit(x) for x in ("transcript", "summary", "topic", "slide", "other")]), (F.col("chunk_id") % 5 + 1).cast("int"))
-    hits = found.join(rows.select("chunk_id", F.col("label").alias("video_id")), "chunk_id").withColumn("weighted", F.col("cosine") * P.match_weight(kind, F.lit("")))
-    own = rows.select(F.col("chunk_id").alias("query_id"), F.col("label").alias("own_id"))
-    return S.recording_scores(hits.join(own, "query_id"))
+    texts = X.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    chunks = rows.join(texts, "chunk_id", "left").select("chunk_id", "vector", F.col("label").alias("video_id"), kind.alias("type"), F.lit("").alias("section"), "text")
+    queries = chunks.where("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector", F.col("video_id").alias("own_id"))
+    return S.similar_recordings(queries, chunks)
 
 
 @query("SELECT doc_id, 'video_content--' || substr(regexp_replace(lower(source || '/' || lang), '[^a-z0-9]+', '-', 'g'), 1, 31) || '-' || substr(sha256(source || '/' || lang), 1, 8) AS ns FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window, functions as F
 
 from ..functions import text as T
 from ..operators import duplicates as D, folds, ranking as R, search as S
-from ..sources import tables as X
+from ..operators.settle import shared_folder
+from ..sources import snapshots, tables as X
 from ..streaming import live
 from . import queries as H
 from .queries import _J12, _tokens
@@ -177,3 +180,16 @@ def st6_new_chunks(spark, d):
     lines = F.transform(F.split("text", "\n"), lambda t, i: F.struct((i * 4.0).alias("start"), t.alias("text"), F.lit(None).cast("string").alias("speaker")))
     rows = X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), lines.alias("segments"), F.array("source").alias("points"), F.col("source").alias("title"))
     return live.new_chunks(rows, rows.limit(0))[0]
+
+
+@query()
+def st6_index_in_batches(spark, d):
+    """All documents as recordings in two batches, the last third with the second; every seventh of the first is sent again
+    with its lines turned round. The index as it is read afterwards."""
+    line = lambda t, i: F.struct((i * 4.0).alias("start"), t.alias("text"), F.lit(None).cast("string").alias("speaker"))
+    of = lambda lines: X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.transform(lines, line).alias("segments"), F.array("source").alias("points"), F.col("source").alias("title"))
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    first, again = of(F.split("text", "\n")), of(F.reverse(F.split("text", "\n")))
+    live.index_batch(first.where("video_id % 3 <> 2"), f"{folder}/archive", f"{folder}/index", "m", writer=("batches", 0))
+    live.index_batch(first.where("video_id % 3 = 2").unionByName(again.where("video_id % 3 <> 2 and video_id % 7 = 0")), f"{folder}/archive", f"{folder}/index", "m", writer=("batches", 1))
+    return snapshots.read(spark, f"{folder}/index").select("video_id", "chunk_idx", "text")

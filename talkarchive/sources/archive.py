@@ -1,4 +1,4 @@
-"""Typed records from JSON columns and files, and the chunk index: replace and delete by recording."""
+"""Typed records from JSON columns and files; replace and delete by recording (snapshots.py writes such tables)."""
 
 from __future__ import annotations
 
@@ -29,12 +29,6 @@ def replace_chunks(old: DataFrame, new: DataFrame, namespace: str) -> DataFrame:
     return old.join(ids, ["namespace", "video_id"], "left_anti").unionByName(new.withColumn("namespace", F.lit(namespace)), allowMissingColumns=True)
 
 
-def write_chunks(index: DataFrame, path: str, buckets: int = 256) -> None:
-    """Writes whole partitions (namespace, video_bucket); only those in `index` are replaced."""
-    rows = index.withColumn("video_bucket", F.pmod(F.xxhash64("video_id"), F.lit(buckets)))
-    rows.repartition("namespace", "video_bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("namespace", "video_bucket").parquet(path)
-
-
 def without_recordings(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """Each table without the rows of some recordings, in every namespace; rows of no recording stay."""
     ids = gone.select("video_id").distinct()

@@ -9,7 +9,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from talkarchive.functions import records, text as T
-from talkarchive.operators import calibration, duplicates, folds, frames, ranking, views
+from talkarchive.operators import calibration, duplicates, folds, frames, jobs, ranking, views
 from talkarchive.sources import archive
 
 RECORDING = "video_id long, segments array<string>, points array<string>, title string"
@@ -175,8 +175,7 @@ def test_files_and_index(spark, tmp_path):
     got = {r.video_id: r.segments for r in archive.step_files(spark, f"{tmp_path}/*/transcript.json", "segments " + archive.TRANSCRIPT[len("struct<segments: ") : -1]).collect()}
     assert got["7"][0].text == "hi" and got["8"] is None
     first = spark.createDataFrame([("m", 1, "a"), ("m", 2, "b"), ("n", 1, "c")], "namespace string, video_id long, text string")
-    archive.write_chunks(first, f"{tmp_path}/index", 4)
-    new = archive.replace_chunks(spark.read.parquet(f"{tmp_path}/index").drop("video_bucket"), spark.createDataFrame([(1, "z")], "video_id long, text string"), "m")
+    new = archive.replace_chunks(first, spark.createDataFrame([(1, "z")], "video_id long, text string"), "m")
     assert sorted(tuple(r) for r in new.select("namespace", "video_id", "text").collect()) == [("m", 1, "z"), ("m", 2, "b"), ("n", 1, "c")]
 
 
@@ -204,3 +203,26 @@ def test_token_vectors(spark):
         counts = Counter(int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 64 for w in re.findall("[a-z0-9]+", (r.t or "").lower()))
         norm = sum(n * n for n in counts.values()) ** 0.5 or 1
         assert len(r.v) == 64 and all(abs(x - counts[k] / norm) < 1e-6 for k, x in enumerate(r.v))
+
+
+def test_frames_without_speech_are_left_as_they_are(spark):
+    seen = spark.createDataFrame([(1, 0, 0.0, "slack"), (1, 1, 5.0, "plan slack"), (2, 0, 0.0, "slack"), (3, 0, 0.0, None)], "video_id long, frame_id long, timestamp double, ocr_text string")
+    segs = spark.createDataFrame([(1, 0.0, 4.0, "the plan"), (3, 0.0, 1.0, None)], "video_id long, start double, end double, text string")
+    got = {(r.video_id, r.frame_id): (r.relevance_score, r.low_relevance) for r in frames.relevance(seen, segs).collect()}
+    assert got == {(1, 0): (0.0, True), (1, 1): (0.5, False), (2, 0): (None, False), (3, 0): (0.0, False)}
+
+
+def test_poor_keyframes_give_way_to_intervals(spark):
+    still = [1.0] * 72
+    pictures = spark.createDataFrame([(v, float(t), still) for v in (1, 2) for t in range(3)], "video_id long, timestamp double, signature array<double>")
+    lengths = spark.createDataFrame([(1, 12.0), (2, 4.0), (3, 2.0)], "video_id long, duration double")
+    found = lambda **k: sorted((r.video_id, r.timestamp, r.reason) for r in frames.keyframes_or_intervals(pictures, lengths, **k).collect())
+    assert found() == [(1, 0.0, "interval"), (1, 4.0, "interval"), (1, 8.0, "interval"), (2, 0.0, "initial"), (3, 0.0, "interval")]
+    assert found(most=2) == [(1, 0.0, "interval"), (1, 6.0, "interval"), (2, 0.0, "initial"), (3, 0.0, "interval")]
+
+
+def test_retry_and_cancelled_batch(spark):
+    rows = spark.createDataFrame([(1, 7, "b", "failed", 1, "boom", 2), (2, 7, "b", "failed", 0, "x", 1), (3, 8, "b", "failed", 0, "x", 1), (4, 8, "b", "queued", 0, None, 2)], "job_id long, video_id long, batch_id string, status string, retry_count int, error_message string, created_at long")
+    assert [(r.job_id, r.status, r.retry_count, r.error_message) for r in jobs.to_retry(rows).collect()] == [(1, "queued", 2, None)]
+    batches = spark.createDataFrame([("b", "processing"), ("c", "queued")], "batch_id string, status string")
+    assert [tuple(r) for name in "bcx" for r in jobs.cancelled_batch(batches, rows, name).collect()] == [("b", "cancelled", 1), ("c", "cancelled", 0)]

@@ -30,20 +30,6 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     assert {r.job_id: r.overall for r in live.overall_state(steps).collect()} == {1: 20.0, 2: 5.0}
 
 
-def test_new_recordings_are_compared_and_indexed(spark, tmp_path):
-    kind = "video_id long, segments array<struct<start:double,text:string,speaker:string>>, points array<string>, title string"
-    talk = lambda p: [(4.0 * i, " ".join(f"{p}{i}word{j}" for j in range(9)), "Ann") for i in range(5)]
-    spark.createDataFrame([(1, talk("a"), [], "t"), (2, talk("a"), [], "t")], kind).coalesce(1).write.parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(kind).parquet(f"{tmp_path}/in")
-    start = lambda: live.index_new(stream, f"{tmp_path}/archive", f"{tmp_path}/index", "m", f"{tmp_path}/checkpoint")
-    _run(start())
-    spark.createDataFrame([(3, talk("b"), [], "t"), (4, talk("a"), [], "t")], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    _run(start())
-    chunks = [spark.read.parquet(f"{tmp_path}/index/batch={k}/part=chunks").select("video_id").distinct().collect() for k in (0, 1)]
-    gone = [spark.read.parquet(f"{tmp_path}/index/batch={k}/part=gone").collect() for k in (0, 1)]
-    assert [sorted(r.video_id for r in c) for c in chunks] == [[1], [3]] and [sorted(r.video_id for r in g) for g in gone] == [[2], [4]]
-
-
 def test_folds_equal_plain_rules(spark):
     rng = random.Random(6)
     words, said = [], []
