@@ -56,7 +56,7 @@ SELECT conv_id AS pair_id, CAST(n AS INT) AS prompt_turns, coalesce(array_to_str
     "op10_source_mixing": r"""
 WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id),
 d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-      -ln((('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+      -ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
         / (CASE q WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.5 ELSE 0.75 END) AS key
       FROM documents LEFT JOIN l USING (doc_id)),
 s AS (SELECT source, sum(size)::BIGINT AS sz, [1, 2, 3][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3) + 1] AS w FROM d GROUP BY source),

@@ -152,3 +152,22 @@ def test_mixing_meets_targets(spark):
     light = [r.taken / r.size for r in got if r.source == "a" and r.size and r.doc_id % 2]
     assert np.mean(light) > np.mean(heavy)
     assert source_mixing.mix_sources(frame(spark, [])).count() == 0
+
+
+def test_ranges_of_keys_hold_alike_many_rows(spark):
+    """Whatever the weights: a third of the rows weigh 0.02, others 1 and 7."""
+    rng = random.Random(2)
+    rows = [("s", rng.expovariate(1) / q, q) for q in (0.02, 1.0, 7.0) for _ in range(4000)] + [("one", 1.0, 0.3)]
+    plan = spark.createDataFrame([("s", 12000, 24), ("one", 1, 1)], "source string, n long, ranges long")
+    got = {(r.source, r.range): r["count"] for r in source_mixing._ranges(spark.createDataFrame(rows, "source string, key double, q double"), plan).groupBy("source", "range").count().collect()}
+    assert got.pop(("one", 0)) == 1 and len(got) == 24 and max(got.values()) < 700 and min(got.values()) > 300
+
+
+def test_rows_without_ids_and_copies_are_mixed_to_the_target(spark):
+    rows = [(None, f"text {i} " + "w " * (i % 5), "en", "a" if i % 3 else "b", 1) for i in range(300)] + [(None, "the same words", "en", "a", 1)] * 200 + [(i, "x y", "fr", "c", 1) for i in range(40)]
+    quality = spark.createDataFrame([(i, 0.01) for i in range(20)], "doc_id long, quality double")
+    out = source_mixing.mix_sources(frame(spark, rows), quality, 10).collect()
+    assert len(out) == len(rows)
+    for source in "abc":
+        mine = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) and all(r.taken <= 3 * r.size for r in mine)
