@@ -157,6 +157,28 @@ def supporting_context(scores: DataFrame, primary: DataFrame, rules: DataFrame,
     return rows.where(F.col("score") >= cut).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("label", "key", "score", "rank")
 
 
+#: Which primary keys are heard from a television, and which are speech.
+BROADCAST, SPEECH = ("broadcast_playback",), ("meeting_room_speech", "podcast_voiceover", "software_demo")
+
+
+def audio_context(scores: DataFrame, primary: DataFrame, supporting: DataFrame, names: DataFrame) -> DataFrame:
+    """(label, hints, summary_context, tv_score, speech_score) of each recording that has primary scores (label, key, score).
+
+    names(key, name, summary_name, hint): what keys are called; the primary context goes by its name, supporting ones by
+    their summary names. The first two different hints stay, the primary one before the others.
+    """
+    part = lambda keys, c: F.sum(F.when(F.col("key").isin(*keys), F.col("score")).otherwise(0.0)).alias(c)
+    sums = scores.groupBy("label").agg(part(BROADCAST, "tv_score"), part(SPEECH, "speech_score"))
+    first = primary.join(names, "key", "left").select("label", F.concat(F.lit("Primary audio context: "), "name", F.lit(" ("), "confidence", F.lit(" confidence).")).alias("_first"), F.col("hint").alias("_hint"))
+    more = supporting.join(names, "key", "left").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "summary_name", "hint"))).alias("_more"))
+    out = sums.join(first, "label", "left").join(more, "label", "left")
+    cues = F.concat(F.lit("Supporting audio cues: "), F.array_join(F.transform("_more", lambda m: m["summary_name"]), "; "), F.lit("."))
+    none = F.array().cast("array<string>")
+    hints = F.concat(F.array("_hint"), F.coalesce(F.transform("_more", lambda m: m["hint"]), none))
+    hints = F.slice(F.array_distinct(F.filter(hints, lambda x: x.isNotNull())), 1, 2)
+    return out.select("label", hints.alias("hints"), F.concat_ws(" ", "_first", cues).alias("summary_context"), F.round("tv_score", 9).alias("tv_score"), F.round("speech_score", 9).alias("speech_score"))
+
+
 def manifest_fixtures(manifest: DataFrame, folder: str) -> DataFrame:
     """Fixtures of a manifest row (fixtures: array of structs): path under the folder, name, sorted supporting keys, flag.
 

@@ -41,6 +41,19 @@ def s4_without_recordings(spark, d):
     return left["chunks"].select(F.lit("chunks").alias("kind"), "id").unionByName(left["turns"].select(F.lit("turns").alias("kind"), "id"))
 
 
+@query("SELECT conv_id::VARCHAR AS video_id, CASE WHEN conv_id % 5 <> 0 THEN count(*) END AS n_segments, CASE WHEN conv_id % 5 <> 0 THEN coalesce(sum(length(text)), 0) END::BIGINT AS chars FROM conversations GROUP BY conv_id")
+def s2_step_files(spark, d):
+    """Conversations written as transcript files of their own folders in the shared folder, every fifth one torn, read back."""
+    path = f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+    body = F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("start", "end", "text", "speaker"))).alias("segments")))
+    files = X.turns(spark, d).groupBy("video_id").agg(body.alias("value"))
+    torn = F.when(F.col("video_id") % 5 == 0, F.substring("value", 1, 20)).otherwise(F.col("value"))
+    files.select("video_id", torn.alias("value")).repartition("video_id").write.partitionBy("video_id").text(path)
+    rows = A.step_files(spark, f"{path}/*", "segments " + A.TRANSCRIPT[len("struct<segments: ") : -1])
+    chars = F.aggregate("segments", F.lit(0).cast("long"), lambda n, s: n + F.coalesce(F.length(s["text"]), F.lit(0)))
+    return rows.select("video_id", F.when(F.col("segments").isNotNull(), F.size("segments")).cast("long").alias("n_segments"), chars.alias("chars"))
+
+
 @query("SELECT vec_id AS chunk_id, label AS video_id, 'm' || vec_id % 2 AS namespace FROM embeddings WHERE label NOT IN (1, 4) AND NOT (vec_id % 2 = 1 AND label IN (2, 3)) UNION ALL SELECT vec_id + 1000000, label, 'm1' FROM embeddings WHERE label IN (2, 3)")
 def s3_s4_snapshot_index(spark, d):
     """The index written to the shared folder, recordings replaced in one namespace, others deleted from all, and read back."""

@@ -182,6 +182,21 @@ def f25_supporting_context(spark, d):
     return C.supporting_context(rows, _context(spark, d), rules)
 
 
+@query(_F24 + """, u AS (SELECT vec_id AS label, 's' || i AS key, round(1 / (1 + exp(-embedding[i + 11]::DOUBLE * 8)), 9) AS x FROM embeddings, unnest(range(0, 5)) t(i)), c AS (SELECT u.label, u.key, x, CASE u.key WHEN 's1' THEN greatest(0.5, score * 0.9) WHEN 's2' THEN greatest(0.7, score * 0.1) ELSE greatest(0.2, score * 0.35) END::DOUBLE AS cut FROM u JOIN p USING (label)),
+r AS (SELECT label, key, row_number() OVER (PARTITION BY label ORDER BY x DESC, key) AS k FROM c WHERE x >= cut QUALIFY k <= 2), m AS (SELECT label, string_agg('sum ' || key, '; ' ORDER BY k) AS cues, list('hint ' || key[2:]::INT // 2 ORDER BY k) AS hs FROM r GROUP BY label)
+SELECT s.label, coalesce(array_to_string((SELECT list(h ORDER BY i) FROM (SELECT h, min(i) AS i FROM (SELECT unnest(list_filter([CASE WHEN p.key IS NOT NULL THEN 'hint ' || p.key END] || coalesce(hs, []), lambda h: h IS NOT NULL)) AS h, generate_subscripts(list_filter([CASE WHEN p.key IS NOT NULL THEN 'hint ' || p.key END] || coalesce(hs, []), lambda h: h IS NOT NULL), 1) AS i) GROUP BY h ORDER BY i LIMIT 2)), '|'), '') AS hints,
+concat_ws(' ', 'Primary audio context: name ' || p.key || ' (' || p.confidence || ' confidence).', 'Supporting audio cues: ' || cues || '.') AS summary_context, v[4] AS tv_score, round(v[1] + v[2] + v[3], 9) AS speech_score FROM s LEFT JOIN p USING (label) LEFT JOIN m USING (label)""")
+def f25_audio_context(spark, d):
+    """Hints and sentences of each recording, with names made from keys; two supporting keys share each hint."""
+    named = F.element_at(F.array(*[F.lit(k) for k in _KEYS]), F.col("i") + 1)
+    score = F.round(1 / (1 + F.exp(-F.col("v").cast("double") * 8)), 9).alias("score")
+    scores = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("label"), F.posexplode(F.slice("embedding", 1, 4)).alias("i", "v")).select("label", named.alias("key"), score)
+    names = [(k, f"name {k}", f"sum {k}", f"hint {k}") for k in (*_KEYS, "software_demo_direct_speech")] + [(f"s{i}", "", f"sum s{i}", f"hint {i // 2}") for i in range(5)]
+    names = spark.createDataFrame(names, "key string, name string, summary_name string, hint string")
+    out = C.audio_context(scores, _context(spark, d), f25_supporting_context(spark, d), names)
+    return out.withColumn("hints", F.array_join("hints", "|"))
+
+
 @query(_A10 + _A11 + """ SELECT 'primary' AS part, key, prompt FROM pc UNION ALL SELECT 'supporting', key, prompt FROM sc""")
 def a13_profile_prompts(spark, d):
     """The prompts of the calibration profile; its rules are h6_grid_winner's."""

@@ -128,6 +128,17 @@ def j13_lexical_similar(spark, d):
     return _lexical(spark, d)
 
 
+@query(f"""WITH b AS (SELECT doc_id, source, list_filter([source], lambda x: coalesce(x, '') <> '') || list_transform(string_split(text, chr(10))[1:24], lambda x: coalesce(x, '')) || list_filter([lang], lambda x: coalesce(x, '') <> '') AS p FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, array_to_string(list_filter(p || CASE WHEN len(p) <= 1 THEN ['about ' || source] ELSE [] END, lambda x: coalesce(x, '') <> ''), ' ') AS text FROM b), k AS (SELECT doc_id, list_distinct({_tokens('s', 'text')}) AS t FROM s), l AS (SELECT doc_id, len(t) AS n, unnest(t) AS w FROM k),
+x AS (SELECT a.doc_id AS source_id, b.doc_id AS video_id, round(0.7::DOUBLE * count(*) / a.n + 0.3::DOUBLE * count(*) / b.n, 6) AS lexical FROM l a JOIN l b ON a.w = b.w AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n)
+SELECT source_id, video_id, lexical, (row_number() OVER (PARTITION BY source_id ORDER BY lexical DESC, video_id))::INT AS rank FROM x QUALIFY rank <= 20""")
+def j13_most_similar(spark, d):
+    """The twenty recordings most like each one, for all documents, by title, first lines and key points."""
+    docs = X.table(spark, d, "documents").where("text is not null")
+    rows = docs.select(F.col("doc_id").alias("video_id"), F.col("source").alias("title"), F.split("text", "\n").alias("segments"), F.array("lang").alias("key_points"), F.concat(F.lit("about "), "source").alias("executive_summary"))
+    return R.most_similar(R.similarity_text(rows))
+
+
 _OVERLAP = "CASE WHEN len({a}) > 0 AND len({b}) > 0 THEN 0.65::DOUBLE * len(list_intersect({a}, {b})) / len({a}) + 0.35::DOUBLE * len(list_intersect({a}, {b})) / len({b}) ELSE 0 END"
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: The typed forms of the JSON columns of a recording.
 TRANSCRIPT = "struct<segments: array<struct<start: double, end: double, text: string, speaker: string>>>"
@@ -17,10 +18,15 @@ def typed_recordings(rows: DataFrame) -> DataFrame:
     return rows.withColumns(typed)
 
 
-def step_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """One row a JSON file of a step, `.../<video_id>/<name>.json`; an unreadable file gives nulls, not a failure."""
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
-    return rows.select(F.regexp_extract("_metadata.file_path", r"/([^/]+)/[^/]+$", 1).alias("video_id"), "*")
+def step_files(spark: SparkSession, pattern: str, schema: str, stream: bool = False) -> DataFrame:
+    """One row a JSON file of a step, `.../<video_id>/<name>.json` (or `.../video_id=<video_id>/<name>`); an unreadable file
+    gives nulls, not a failure. As a stream, each file is read once, when it appears; the checkpoint knows which were."""
+    rows = (spark.readStream if stream else spark.read).schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(pattern)
+    return rows.select(F.regexp_extract("_metadata.file_path", r"/(?:video_id=)?([^/]+)/[^/]+$", 1).alias("video_id"), *schema_names(schema))
+
+
+def schema_names(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).names
 
 
 def replace_chunks(old: DataFrame, new: DataFrame, namespace: str) -> DataFrame:

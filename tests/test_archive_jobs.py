@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from talkarchive.functions import records, text as T
+from talkarchive.functions import prompts, records, text as T
 from talkarchive.operators import calibration, duplicates, folds, frames, jobs, ranking, views
 from talkarchive.sources import archive
 
@@ -226,3 +226,40 @@ def test_retry_and_cancelled_batch(spark):
     assert [(r.job_id, r.status, r.retry_count, r.error_message) for r in jobs.to_retry(rows).collect()] == [(1, "queued", 2, None)]
     batches = spark.createDataFrame([("b", "processing"), ("c", "queued")], "batch_id string, status string")
     assert [tuple(r) for name in "bcx" for r in jobs.cancelled_batch(batches, rows, name).collect()] == [("b", "cancelled", 1), ("c", "cancelled", 0)]
+
+
+def test_most_similar_equals_all_pairs(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(("hot1", "hot2", "hot3", f"word{rng.randrange(60)}", f"rare{rng.randrange(400)}")) for _ in range(rng.choice((1, 2, 5, 20, 60))))) for i in range(120)] + [(200, None), (201, "of a")]
+    df = spark.createDataFrame(rows, "video_id long, text string")
+    sets = {i: set(t.split()) for i, t in rows[:120]}
+    want = set()
+    for s, a in sets.items():
+        found = sorted((-round(0.7 * len(a & b) / len(a) + 0.3 * len(a & b) / len(b), 6), v) for v, b in sets.items() if v != s and a & b)
+        want |= {(s, v, -x, k + 1) for k, (x, v) in enumerate(found[:7])}
+    for hot in (1, 9, 1000):
+        got = {tuple(r) for r in ranking.most_similar(df, 7, hot=hot).select("source_id", "video_id", "lexical", "rank").collect()}
+        assert {(s, v, k) for s, v, _, k in got} == {(s, v, k) for s, v, _, k in want} and all(abs(x - y) < 2e-6 for (*_, x, _), (*_, y, _) in zip(sorted(got), sorted(want)))
+    some = spark.createDataFrame([(3,), (200,)], "video_id long")
+    assert {tuple(r)[:2] for r in ranking.most_similar(df, 7, some, 9).collect()} == {w[:2] for w in want if w[0] == 3}
+
+
+def test_similarity_text(spark):
+    kind = "video_id long, title string, segments array<string>, key_points array<string>, executive_summary string"
+    rows = [(1, "T", ["a", None, "b"], ["k", "", None], "long"), (2, "T", None, None, "long"), (3, None, [""], None, "long"), (4, "", None, ["k"], "long"), (5, None, None, None, None), (6, None, [f"s{i}" for i in range(30)], None, "x")]
+    got = {r.video_id: r.text for r in ranking.similarity_text(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: "T a b k", 2: "T long", 3: "long", 4: "k long", 5: "", 6: " ".join(f"s{i}" for i in range(24))}
+
+
+def test_audio_section(spark):
+    P, S = "struct<label:string, confidence:string, score:double, hint:string>", "array<struct<label:string, key:string, hint:string>>"
+    kind = f"n int, summary string, primary {P}, supporting {S}, hints array<string>, seen array<string>"
+    rows = [
+        (0, None, None, None, None, None), (1, " Loud. ", ("Demo", "high", 0.456, "h1"), [("", "music", "h2"), ("Clapping", "c", None), (None, None, None)], ["h1", " h3", "", None, "h2", "h3", "h4", "h5"], ["TV."]),
+        (2, "", (None, None, None, None), [], [], []), (3, None, None, [("x", "y", "z")], ["z"], None),
+    ]
+    got = {r.n: r.s.split("\n")[1:] for r in spark.createDataFrame(rows, kind).select("n", prompts.audio_section(*[F.col(c) for c in ("summary", "primary", "supporting", "hints", "seen")]).alias("s")).collect()}
+    assert got == {
+        0: [], 2: ["- Primary classification: unknown audio context (unspecified confidence)."], 3: ["- Supporting classifier cues: x."],
+        1: ["- Classifier summary: Loud.", "- Primary classification: Demo (high confidence, score 0.46).", "- Supporting classifier cues: music, Clapping, unknown cue.", "- Additional audio hint: h3", "- Additional audio hint: h4", "- Visual corroboration: TV."],
+    }

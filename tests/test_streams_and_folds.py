@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from talkarchive.operators import calibration, folds, frames
+from talkarchive.sources import archive
 from talkarchive.streaming import live
 
 
@@ -30,6 +31,47 @@ def test_stateful_streams_equal_batch(spark, tmp_path):
     assert {r.job_id: r.overall for r in live.overall_state(steps).collect()} == {1: 20.0, 2: 5.0}
 
 
+def test_state_of_sent_messages_ends_and_survives_restarts(spark, tmp_path):
+    kind, state = "job_id long, step string, event_id long, at double, progress double", []
+
+    def send(*rows):
+        spark.createDataFrame(list(rows), kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        query = live.throttle(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), 5.0, 50.0, "10 seconds").writeStream
+        query = query.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").outputMode("append").start()
+        query.processAllAvailable()
+        state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        query.stop()
+
+    (tmp_path / "in").mkdir()
+    send((1, "a", 1, 100.0, 0.0), (1, "a", 2, 101.0, 10.0), (2, "a", 3, 100.0, 0.0))
+    send((1, "a", 4, 102.0, 20.0), (1, "a", 5, 103.0, 51.0))  # restarted: 100.0 was the last one sent
+    send((3, "a", 6, 500.0, 0.0))
+    send((1, "a", 7, 110.0, 1.0), (3, "a", 8, 501.0, 1.0))  # the first is later than the watermark
+    send((1, "a", 9, 502.0, 52.0))
+    got = {r.event_id: r.sent for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {1: True, 2: False, 3: True, 4: False, 5: True, 6: True, 8: False, 9: True}
+    assert state[0] == 2 and state[-1] <= 2
+
+
+def test_step_files_as_a_stream(spark, tmp_path):
+    def put(name, body):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "summary.json").write_text(body)
+
+    def run():
+        query = archive.step_files(spark, f"{tmp_path}/in/*/summary.json", "topic string, points array<string>", stream=True).writeStream
+        query = query.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").start()
+        query.processAllAvailable()
+        query.stop()
+        return sorted((r.video_id, r.topic) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    put("7", '{"topic": "budget",\n "points": []}')
+    put("8", "{broken")
+    assert run() == [("7", "budget"), ("8", None)]
+    put("9", '{"topic": "plan"}')
+    assert run() == [("7", "budget"), ("8", None), ("9", "plan")]
+
+
 def test_folds_equal_plain_rules(spark):
     rng = random.Random(6)
     words, said = [], []
