@@ -7,7 +7,9 @@ occur once in all documents have no count of their own. A document's score is it
 model less that under the background model: the lower, the closer to the target.
 
 Counts grow with the corpus and never meet in one place: a chunk sends its own counts once a pair, a bucket sums them
-and answers each chunk with the sums for the pairs it has.
+and answers each chunk with the sums for the pairs it has. A chunk sends to the buckets that it has keys of only, so the
+rows are never more than its keys, however many buckets there are. The five totals of the word model come first, from
+word counts that Spark sums.
 
 Cases: null and empty texts have 0 tokens and null losses; null and repeated labels: a document is in the target if any
 row says so; null ids are in no target; repeated rows count each; empty target or empty table: losses by smoothing
@@ -22,23 +24,23 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import _bytes as B
 from ._chunks import CHUNK_BYTES, bucket_bits, chunked, in_order
+from .suffix_dedup import full_buckets
 
 WEIGHT, ALPHA = 0.6, 0.1
 _KINDS = ("w", "p")  # words, pairs
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), *[(k + n, pa.binary()) for k in _KINDS for n in ("key", "all", "target")]])
-_BACK = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), *[(k + n, pa.binary()) for k in _KINDS for n in ("known", "all", "target")], ("totals", pa.list_(pa.int64()))])
+_BACK = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), *[(k + n, pa.binary()) for k in _KINDS for n in ("known", "all", "target")]])
 _OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
 
-def _splits(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket of leading bits begins among sorted hashes, and their end."""
-    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def _spans(hashes: np.ndarray, bits: int) -> dict[int, tuple[int, int]]:
+    """Where the sorted hashes of each bucket of leading bits begin and end; buckets without any are left out."""
+    return {b: (i, j) for b, i, j in full_buckets(hashes, bits)}
 
 
 def _ddl(schema):
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.list_(pa.int64()): "array<long>"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
@@ -78,38 +80,63 @@ def send_counts(bits):
         words, word_off, at, pairs = _tokens(table)
         chosen = np.isin(B.one_array(table["doc_id"]).fill_null(-(2**63)).to_numpy(), B.one_array(target["_id"]).to_numpy())
         weight = np.repeat(chosen, np.diff(word_off)).astype(float)
-        rows = {"bucket": list(range(1 << bits)), "chunk": [key[0].as_py()] * (1 << bits)}
-        for kind, keys, wt in (("w", words, weight), ("p", pairs, weight[at])):
-            ranked, total, inside = _counted(keys, wt)
-            cut = _splits(ranked, bits)
-            for name, put, values in (("key", B.pack_sorted, ranked), ("all", pack, total), ("target", pack, inside)):
-                rows[kind + name] = [put(values[a:b]) for a, b in zip(cut, cut[1:])]
+        counted = {kind: _counted(keys, wt) for kind, keys, wt in (("w", words, weight), ("p", pairs, weight[at]))}
+        spans = {kind: _spans(c[0], bits) for kind, c in counted.items()}
+        buckets = sorted({*spans["w"], *spans["p"]})
+        rows = {"bucket": buckets, "chunk": [key[0].as_py()] * len(buckets)}
+        for kind, values in counted.items():
+            for name, put, value in zip(("key", "all", "target"), (B.pack_sorted, pack, pack), values):
+                rows[kind + name] = [put(value[slice(*spans[kind].get(b, (0, 0)))]) for b in buckets]
         return pa.table(rows, schema=_SENT)
 
     return run
 
 
 def sum_counts(key, table):
-    """For each chunk: which of its keys occur twice or more anywhere, and their sums; and this bucket's word totals."""
+    """For each chunk: which of its keys occur twice or more anywhere, and their sums."""
     B.tidy()
     rows = {"chunk": table["chunk"].combine_chunks(), "bucket": pa.array([key[0].as_py()] * table.num_rows, pa.int64())}
-    totals = None
     for kind in _KINDS:
         keys = [B.unpack_sorted(x) for x in table[kind + "key"].to_pylist()]
         ranked, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         total, inside = (np.bincount(inverse, np.concatenate([unpack(x) for x in table[kind + n].to_pylist()]), len(ranked)).astype(np.int64) for n in ("all", "target"))
         known = total > 1
-        if kind == "w":
-            totals = [int(x) for x in (known.sum(), total.sum(), inside.sum(), total[~known].sum(), inside[~known].sum())]
         places = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
         rows[kind + "known"] = pa.array([np.packbits(known[p]).tobytes() for p in places], pa.binary())
         for name, values in (("all", total), ("target", inside)):
             rows[kind + name] = pa.array([pack(values[p[known[p]]]) for p in places], pa.binary())
-    rows["totals"] = pa.array([totals] * table.num_rows, pa.list_(pa.int64()))
     return pa.table(rows, schema=_BACK)
 
 
-def score(bits):
+def count_words(batches):
+    """(h, n, id): each word of a slice, how often, and the id of one text with it; and with h null the words of each text."""
+    for ids, data, off in B.slices(batches, 8 << 20):
+        low = B.LOWER[data]
+        starts, ends, word_off = B.word_bounds(low, off)
+        words = B.hash_spans(B.lanes(low), starts, ends)
+        ranked, first, counts = np.unique(words, return_index=True, return_counts=True)
+        owner = np.searchsorted(word_off, first, "right") - 1
+        ids = B.one_array(ids)
+        none = pa.nulls(len(ids), pa.int64())
+        h = pa.concat_arrays([pa.array(ranked.view(np.int64)), none])
+        n = pa.array(np.concatenate([counts, np.diff(word_off)]), pa.int64())
+        yield pa.RecordBatch.from_arrays([h, n, pa.concat_arrays([ids.take(pa.array(owner)), ids])], ["h", "n", "id"])
+
+
+def totals(docs: DataFrame, target: DataFrame) -> tuple[int, int, int, int, int]:
+    """(words that occur twice or more, all tokens, the target's, those of words that occur once, the target's of them)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count_words, "h long, n long, id long")
+    word = F.col("h").isNotNull()
+    # a word that occurs once has one text, whose id says if it is in the target
+    found = rows.groupBy("h", F.when(~word, F.col("id")).alias("_doc")).agg(F.sum("n").alias("n"), F.max("id").alias("id"))
+    once = word & (F.col("n") == 1)
+    by_id = found.groupBy(F.when(~word | once, F.col("id")).alias("_id")).agg(F.count_if(word & (F.col("n") > 1)).alias("v"), F.sum(F.when(word, F.col("n"))).alias("all"), F.count_if(once).alias("once"), F.sum(F.when(~word, F.col("n"))).alias("tokens"))
+    flagged = by_id.join(target.distinct().withColumn("_in", F.lit(True)), "_id", "left")
+    of = lambda c, where=F.lit(True): F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0)).cast("long")
+    return tuple(flagged.agg(of("v"), of("all"), of("tokens", F.col("_in")), of("once"), of("once", F.col("_in"))).first())
+
+
+def score(bits, totals):
     def run(key, table, back):
         table = in_order(table)
         words, word_off, at, pairs = _tokens(table)
@@ -117,16 +144,16 @@ def score(bits):
         answers = back.to_pylist()
         for kind, keys in (("w", words), ("p", pairs)):
             ranked, inverse = np.unique(keys, return_inverse=True)
-            cut = _splits(ranked, bits)
+            spans = _spans(ranked, bits)
             known, sums = np.zeros(len(ranked), bool), np.zeros((2, len(ranked)), np.int64)
             for r in answers:
-                a, b = cut[r["bucket"]], cut[r["bucket"] + 1]
+                a, b = spans.get(r["bucket"], (0, 0))
                 got = np.unpackbits(np.frombuffer(r[kind + "known"], np.uint8), count=int(b - a)).astype(bool)
                 known[a:b] = got
                 for k, name in enumerate(("target", "all")):
                     sums[k, a:b][got] = unpack(r[kind + name])
             of[kind] = known[inverse], sums[:, inverse]
-        v, n_all, n_target, unknown_all, unknown_target = np.sum([r["totals"] for r in answers], axis=0) if answers else (0,) * 5
+        v, n_all, n_target, unknown_all, unknown_target = totals
         losses = []
         for k, (n, unknown) in enumerate(((n_target, unknown_target), (n_all, unknown_all))):
             known, sums = of["w"]
@@ -146,8 +173,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk_bytes
     """doc_id, n_tokens, loss_target, loss_background, score; target_ids holds the doc_id of target documents."""
     parts, size, add_chunk = chunked(docs, chunk_bytes, with_places=True)
     bits = bucket_bits(size / 6)
-    ids = add_chunk(target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null"), "_id", texts=False)
+    target = target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null")
+    ids = add_chunk(target, "_id", texts=False)
     sent = parts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(send_counts(bits), _ddl(_SENT))
     back = sent.groupBy("bucket").applyInArrow(sum_counts, _ddl(_BACK))
-    out = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score(bits), _OUT)
+    out = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score(bits, totals(docs, target)), _OUT)
     return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
