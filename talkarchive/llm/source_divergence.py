@@ -7,8 +7,8 @@ are visited by group, so one stable sort also brings the occurrences of a group
 the number of occurrences and of documents of a term in a group.
 
 Spark sums the runs by (language, term), keeps the terms in enough documents, and computes shares in whole numbers.
-Distances of all pairs of sources are summed over blocks of terms: a block is a matrix of terms by sources of at most
-CELLS numbers, and gives one number a pair.
+Distances of all pairs of sources are summed over blocks of terms: a block is a matrix of terms by sources of about CELLS
+numbers, more where there are so many sources that their pairs, one number each, would outgrow it.
 
 Cases: null text, lang and source are ''; a group without terms has a row for each other source of its language; a
 language without kept terms has distances 0 and no term rows; ties go to the lesser item in UTF-8; very long texts and
@@ -25,7 +25,9 @@ from . import _bytes as B
 from ._chunks import cut_lineage
 
 LEAST_DOCS, SMOOTH, UNIT, MOST_TERMS = 30, 5, 1_000_000_000, 50
-SLICE_BYTES, CELLS = 1 << 24, 1 << 22
+SLICE_BYTES, CELLS = 1 << 24, 1 << 15
+#: Numbers of a block for each pair of sources that it gives, at least.
+PER_PAIR = 8
 #: Bytes outside `[^\x00-\x40\x5B-\x60\x7B-\x7F]`: all but ASCII letters and non-ASCII.
 NOT_TERM = np.ones(256, bool)
 NOT_TERM[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -161,7 +163,7 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, most_terms: int =
     whole = kept.select("lang", "term", "total").distinct().groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("all_n"))
     sums = kept.groupBy("lang", "source").agg(F.sum("n").alias("own_n"))
     langs = every.groupBy("lang").agg(F.count("*").alias("sources")).join(whole, "lang", "left").select("lang", "sources", F.coalesce("v", F.lit(0)).alias("v"), F.coalesce("all_n", F.lit(0)).alias("all_n"))
-    langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("sources") / cells)).cast("int"))
+    langs = langs.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("sources") / F.greatest(F.lit(cells), PER_PAIR * F.col("sources") * F.col("sources")))).cast("int"))
     groups = every.join(sums, ["lang", "source"], "left").join(langs, "lang").withColumn("own_n", F.coalesce("own_n", F.lit(0)))
     groups = cut_lineage(groups.withColumn("rest", F.when(F.col("v") > 0, share("0", "own_n", "v")).otherwise(0)))
     rows = kept.join(groups, ["lang", "source"]).withColumn("p", share("n", "own_n", "v"))
