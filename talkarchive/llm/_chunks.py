@@ -110,6 +110,12 @@ def shared_folder(spark) -> str:
     return named
 
 
+def remove(spark, path: str) -> None:
+    """Deletes a folder of the shared ones, by Spark's own file system client."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -49,11 +49,15 @@ def codewords(n: int) -> np.ndarray:
 
 
 def _grams(data: np.ndarray, off: np.ndarray):
-    """(trigram numbers, offsets): each text between two blanks; none crosses texts."""
+    """(trigram numbers, flat bytes): each text between two blanks, whose trigrams are as many as its bytes; what would
+    begin after them, and cross into the next text, is number 0, which counts for nothing."""
     n = len(off) - 1
     flat = np.zeros(len(data) + 2 * n, np.uint32)
     flat[np.arange(len(data)) + 2 * np.repeat(np.arange(n), np.diff(off)) + 1] = FOLD[data]
     grams = (flat[:-2] << 12) | (flat[1:-1] << 6) | flat[2:] if len(flat) > 2 else np.empty(0, np.uint32)
+    past = off[1:] + 2 * np.arange(n)
+    past = np.concatenate([past, past + 1])
+    grams[past[past < len(grams)]] = 0
     return grams, flat
 
 
@@ -73,6 +77,7 @@ class Model:
         for k, lang in enumerate(self.langs):
             data, off = B.text_bytes(pa.array([t for g, t in texts if g == lang]))
             share = np.bincount(_grams(data, off)[0], minlength=SIZE)
+            share[0] = 0
             counts[k] = share / max(1, share.sum()) * 1e6  # languages weigh alike
         self.code = codewords(len(self.langs))
         bits = self.code.shape[1]

@@ -4,8 +4,8 @@ SimHash fingerprints of five words, linked by the vantage-point trees of simhash
 0.8 differs in up to 13 of 64 bits, though, where such a tree parts nothing (each half of a split keeps 93 % of the
 points), so pairs beyond its radius are found by min-hashes: BANDS times ROWS of them, of which a pair at the threshold
 shares a band with a chance of 0.99994. Texts of equal shingle sets are one point. Points that meet in a fingerprint
-component or a band, however indirectly, form a group; each group's texts travel once, and all its pairs are compared
-exactly, so nothing is linked by a hash alone. Groups above BLOCK_WORDS are cut into blocks by a hash, and every two
+component or a band, however indirectly, form a group; each group's texts travel once, and all its pairs are compared by
+their sets of shingle hashes. Texts of one 64-bit hash, and shingle sets of one, are taken to be the same. Groups above BLOCK_WORDS are cut into blocks by a hash, and every two
 blocks meet in a task of their own.
 
 Cases: texts shorter than a shingle are one shingle; null texts and those without words link to each other only; a null
@@ -174,13 +174,13 @@ def first_of_copies(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     Rows are told apart by all their columns, so different texts under one id, or under none, are judged by their texts
     alone. Only narrow rows are grouped, a group's partial minima before the shuffle; texts meet the rows that stay.
     """
-    columns, texts = docs.columns, hashed(docs)
+    texts = hashed(docs.select("doc_id", "text", F.struct(*[F.col(c) for c in docs.columns]).alias("_row")))
     found = cut_lineage(text_groups(texts.select("t", F.col("text").cast("string").alias("text")), block_words))
-    whole = texts.withColumn("_h", F.xxhash64(*[F.col(c) for c in columns]))
+    whole = texts.withColumn("_h", F.xxhash64("_row"))
     order = F.struct(F.col("doc_id").isNull().alias("_none"), "doc_id", "t", "_h")
     kept = whole.select("doc_id", "t", "_h").join(found, "t").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.t").alias("t"), F.col("k._h").alias("_h"))
     # a row of equal hash, text and all columns, that occurs more than once stays once
     many = whole.groupBy("t", "_h").agg(F.count("*").alias("_n")).where("_n > 1").select("t", "_h").join(kept, ["t", "_h"], "left_semi")
     one = whole.join(kept, ["t", "_h"], "left_semi")
-    once = one.join(many, ["t", "_h"], "left_anti").select(*columns)
-    return once.unionByName(one.join(many, ["t", "_h"], "left_semi").select(*columns).dropDuplicates())
+    once = one.join(many, ["t", "_h"], "left_anti").select("_row")
+    return once.unionByName(one.join(many, ["t", "_h"], "left_semi").select("_row").dropDuplicates()).select("_row.*")

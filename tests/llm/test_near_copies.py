@@ -78,3 +78,10 @@ def test_pipeline_on_empty_tables_and_odd_ids(spark, tmp_path, empty):
         spark.createDataFrame([] if name == empty else rows[name], kind).write.parquet(f"{tmp_path}/{name}.parquet")
     out = P.run(spark, str(tmp_path)).collect()
     assert len(out) == (0 if empty == "documents" else 3)
+
+
+def test_columns_of_any_name_are_kept(spark):
+    rows = [(i, "same words in all of these texts here", "x", f"h{i % 2}", None, 1) for i in (3, 1, 2)] + [(1, "same words in all of these texts here", "x", "h1", None, 1), (9, None, "t", "u", "v", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, t string, _h string, _row string, root int")
+    out = near_copies.first_of_copies(df)
+    assert out.columns == df.columns and sorted((tuple(r) for r in out.collect()), key=str) == sorted([rows[1], rows[4]], key=str)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -171,3 +172,48 @@ def test_rows_without_ids_and_copies_are_mixed_to_the_target(spark):
     for source in "abc":
         mine = [r for r in out if r.source == source]
         assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(r.size for r in mine) and all(r.taken <= 3 * r.size for r in mine)
+
+
+def test_toxicity_equals_a_plain_statement_of_the_rule(spark):
+    """Terms, z scores, TF-IDF cosines, votes and the calibrated curve with dictionaries, all pairs compared."""
+    rng = random.Random(11)
+    word = lambda tox: rng.choice(["vilething", "vilest", "nasty", "nastier"] if tox and rng.random() < 0.5 else [f"plain{i}" for i in range(30)] + ["of", "the", "é"])
+    rows = [(i, " ".join(word(i % 4 == 0) for _ in range(rng.choice([3, 8, 30]))), int(i % 4 == 0)) for i in range(240)]
+    rows += [(500 + i, t, None) for i, t in enumerate(["", "of the", "vilethings plain1", "NASTY nastiest " * 9, "plain2 plain3"])]
+
+    def terms(t):
+        words = re.findall("[0-9a-zé]+", t.lower())
+        return words and Counter([("w", w) for w in words] + [(n, w.encode()[:n]) for w in words for n in toxicity.PREFIXES if len(w.encode()) > n]) or Counter()
+
+    known = [(i, terms(t), y) for i, t, y in sorted({t: (i, t, y) for i, t, y in rows[::-1] if y is not None}.values())]
+    n1, n = sum(y for *_, y in known), len(known)
+    seen, tox = Counter(t for _, c, _ in known for t in c), Counter(t for _, c, y in known if y for t in c)
+    z = lambda t: (tox[t] / n1 - (seen[t] - tox[t]) / (n - n1)) / math.sqrt(seen[t] / n * (1 - seen[t] / n) * (1 / n1 + 1 / (n - n1)) + 1e-12)
+    df = Counter(t for _, text, _ in rows for t in terms(text))
+    idf = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in seen if abs(z(t)) >= toxicity.LEAST_Z and seen[t] >= toxicity.LEAST_SEEN}
+
+    def vector(c):
+        v = {t: (1 + math.log(k)) * idf[t] for t, k in c.items() if t in idf}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    vectors = {i: vector(c) for i, c, _ in known}
+    label, rate = {i: y for i, _, y in known}, sum(y for *_, y in rows[:240]) / 240
+
+    def vote(v, leave=None):
+        near = sorted((-round(sum(x * w[t] for t, x in v.items() if t in w), 9), i) for i, w in vectors.items() if i != leave)
+        near = [(-c, i) for c, i in near if c < 0][: toxicity.NEIGHBOURS]
+        return (sum(c * c * label[i] for c, i in near) + toxicity.SHRINK * rate) / (sum(c * c for c, _ in near) + toxicity.SHRINK)
+
+    clip = lambda p: min(1 - 1e-4, max(1e-4, p))
+    logit = lambda p: math.log(clip(p) / (1 - clip(p)))
+    data = [(logit(vote(vectors[i], i)), y, (rate / n1 if y else (1 - rate) / (n - n1)) * n) for i, _, y in known]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, y int"), spark.createDataFrame([r[::2] for r in rows], "doc_id long, toxic int"))
+    assert sorted(model.ids.tolist()) == sorted(label) and len(model.terms) == len(idf) > 3
+    # the curve: no gradient is left of the weighted loss and the penalty on leaving slope 1 and shift 0
+    p = [1 / (1 + math.exp(-(model.slope * x + model.shift))) for x, *_ in data]
+    assert abs(sum(w * (q - y) * x for q, (x, y, w) in zip(p, data)) + model.slope - 1) < 1e-3 and abs(sum(w * (q - y) for q, (_, y, w) in zip(p, data)) + model.shift) < 1e-3
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string, y int"), model).collect()}
+    for i, text, _ in rows:
+        want = 1 / (1 + math.exp(-(model.slope * logit(vote(vector(terms(text)))) + model.shift)))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(want >= 0.5), i
