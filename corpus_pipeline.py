@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from talkarchive.llm import decontamination, language_id, near_copies, source_mixing, substring_dedup
-from talkarchive.llm._chunks import shared_folder
+from talkarchive.llm._chunks import remove, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -74,13 +74,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; what the stages hand on lies in the folder of spark.checkpoint.dir."""
-    folder = shared_folder(spark)
+    """The last stage's rows. What the stages hand on lies in the folder of spark.checkpoint.dir, until the next is written;
+    the last one's input stays, since its rows are read when they are asked for."""
+    folder, path = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            path = f"{folder}/pipeline-{uuid.uuid4().hex}/{k}"
+            before, path = path, f"{folder}/{k}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
     return docs
