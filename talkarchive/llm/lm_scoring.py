@@ -8,8 +8,8 @@ model less that under the background model: the lower, the closer to the target.
 
 Counts grow with the corpus and never meet in one place: a chunk sends its own counts once a pair, a bucket sums them
 and answers each chunk with the sums for the pairs it has. A chunk sends to the buckets that it has keys of only, so the
-rows are never more than its keys, however many buckets there are. The five totals of the word model come first, from
-word counts that Spark sums.
+rows are never more than its keys, however many buckets there are. The five totals of the word model are summed over the
+buckets, from the same exchange, and go along with the answers.
 
 Cases: null and empty texts have 0 tokens and null losses; null and repeated labels: a document is in the target if any
 row says so; null ids are in no target; repeated rows count each; empty target or empty table: losses by smoothing
@@ -30,6 +30,7 @@ WEIGHT, ALPHA = 0.6, 0.1
 _KINDS = ("w", "p")  # words, pairs
 _SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), *[(k + n, pa.binary()) for k in _KINDS for n in ("key", "all", "target")]])
 _BACK = pa.schema([("chunk", pa.int32()), ("bucket", pa.int64()), *[(k + n, pa.binary()) for k in _KINDS for n in ("known", "all", "target")]])
+_TOTALS = ("v", "all", "target", "unknown_all", "unknown_target")
 _OUT = "doc_id long, n_tokens long, loss_target double, loss_background double"
 _PAIR = np.uint64(0xA24BAED4963EE407)
 
@@ -92,51 +93,35 @@ def send_counts(bits):
     return run
 
 
+def _summed(table, kind):
+    """(places of each row's keys among all different ones, their counts everywhere, their counts in the target)."""
+    keys = [B.unpack_sorted(x) for x in table[kind + "key"].to_pylist()]
+    ranked, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    total, inside = (np.bincount(inverse, np.concatenate([unpack(x) for x in table[kind + n].to_pylist()]), len(ranked)).astype(np.int64) for n in ("all", "target"))
+    return np.split(inverse, np.cumsum([len(k) for k in keys])[:-1]), total, inside
+
+
+def word_totals(key, table):
+    """Of a bucket's words: how many occur twice or more anywhere, all tokens, the target's, and those of other words."""
+    _, total, inside = _summed(table, "w")
+    once = total < 2
+    return pa.table([[int(x)] for x in ((~once).sum(), total.sum(), inside.sum(), total[once].sum(), inside[once].sum())], names=list(_TOTALS))
+
+
 def sum_counts(key, table):
     """For each chunk: which of its keys occur twice or more anywhere, and their sums."""
     B.tidy()
     rows = {"chunk": table["chunk"].combine_chunks(), "bucket": pa.array([key[0].as_py()] * table.num_rows, pa.int64())}
     for kind in _KINDS:
-        keys = [B.unpack_sorted(x) for x in table[kind + "key"].to_pylist()]
-        ranked, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total, inside = (np.bincount(inverse, np.concatenate([unpack(x) for x in table[kind + n].to_pylist()]), len(ranked)).astype(np.int64) for n in ("all", "target"))
+        places, total, inside = _summed(table, kind)
         known = total > 1
-        places = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
         rows[kind + "known"] = pa.array([np.packbits(known[p]).tobytes() for p in places], pa.binary())
         for name, values in (("all", total), ("target", inside)):
             rows[kind + name] = pa.array([pack(values[p[known[p]]]) for p in places], pa.binary())
     return pa.table(rows, schema=_BACK)
 
 
-def count_words(batches):
-    """(h, n, id): each word of a slice, how often, and the id of one text with it; and with h null the words of each text."""
-    for ids, data, off in B.slices(batches, 8 << 20):
-        low = B.LOWER[data]
-        starts, ends, word_off = B.word_bounds(low, off)
-        words = B.hash_spans(B.lanes(low), starts, ends)
-        ranked, first, counts = np.unique(words, return_index=True, return_counts=True)
-        owner = np.searchsorted(word_off, first, "right") - 1
-        ids = B.one_array(ids)
-        none = pa.nulls(len(ids), pa.int64())
-        h = pa.concat_arrays([pa.array(ranked.view(np.int64)), none])
-        n = pa.array(np.concatenate([counts, np.diff(word_off)]), pa.int64())
-        yield pa.RecordBatch.from_arrays([h, n, pa.concat_arrays([ids.take(pa.array(owner)), ids])], ["h", "n", "id"])
-
-
-def totals(docs: DataFrame, target: DataFrame) -> tuple[int, int, int, int, int]:
-    """(words that occur twice or more, all tokens, the target's, those of words that occur once, the target's of them)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count_words, "h long, n long, id long")
-    word = F.col("h").isNotNull()
-    # a word that occurs once has one text, whose id says if it is in the target
-    found = rows.groupBy("h", F.when(~word, F.col("id")).alias("_doc")).agg(F.sum("n").alias("n"), F.max("id").alias("id"))
-    once = word & (F.col("n") == 1)
-    by_id = found.groupBy(F.when(~word | once, F.col("id")).alias("_id")).agg(F.count_if(word & (F.col("n") > 1)).alias("v"), F.sum(F.when(word, F.col("n"))).alias("all"), F.count_if(once).alias("once"), F.sum(F.when(~word, F.col("n"))).alias("tokens"))
-    flagged = by_id.join(target.distinct().withColumn("_in", F.lit(True)), "_id", "left")
-    of = lambda c, where=F.lit(True): F.coalesce(F.sum(F.when(where, F.col(c))), F.lit(0)).cast("long")
-    return tuple(flagged.agg(of("v"), of("all"), of("tokens", F.col("_in")), of("once"), of("once", F.col("_in"))).first())
-
-
-def score(bits, totals):
+def score(bits):
     def run(key, table, back):
         table = in_order(table)
         words, word_off, at, pairs = _tokens(table)
@@ -153,7 +138,7 @@ def score(bits, totals):
                 for k, name in enumerate(("target", "all")):
                     sums[k, a:b][got] = unpack(r[kind + name])
             of[kind] = known[inverse], sums[:, inverse]
-        v, n_all, n_target, unknown_all, unknown_target = totals
+        v, n_all, n_target, unknown_all, unknown_target = answers[0]["totals"] if answers else (0,) * 5
         losses = []
         for k, (n, unknown) in enumerate(((n_target, unknown_target), (n_all, unknown_all))):
             known, sums = of["w"]
@@ -173,9 +158,9 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, chunk_bytes
     """doc_id, n_tokens, loss_target, loss_background, score; target_ids holds the doc_id of target documents."""
     parts, size, add_chunk = chunked(docs, chunk_bytes, with_places=True)
     bits = bucket_bits(size / 6)
-    target = target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null")
-    ids = add_chunk(target, "_id", texts=False)
+    ids = add_chunk(target_ids.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null"), "_id", texts=False)
     sent = parts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(send_counts(bits), _ddl(_SENT))
-    back = sent.groupBy("bucket").applyInArrow(sum_counts, _ddl(_BACK))
-    out = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score(bits, totals(docs, target)), _OUT)
+    totals = sent.groupBy("bucket").applyInArrow(word_totals, ", ".join(f"{c} long" for c in _TOTALS)).agg(F.array(*[F.sum(c) for c in _TOTALS]).alias("totals"))
+    back = sent.groupBy("bucket").applyInArrow(sum_counts, _ddl(_BACK)).withColumn("totals", totals.scalar())
+    out = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score(bits), _OUT)
     return out.withColumn("score", F.col("loss_target") - F.col("loss_background"))
