@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from talkarchive.functions import prompts, records, text as T
@@ -263,3 +264,26 @@ def test_audio_section(spark):
         0: [], 2: ["- Primary classification: unknown audio context (unspecified confidence)."], 3: ["- Supporting classifier cues: x."],
         1: ["- Classifier summary: Loud.", "- Primary classification: Demo (high confidence, score 0.46).", "- Supporting classifier cues: music, Clapping, unknown cue.", "- Additional audio hint: h3", "- Additional audio hint: h4", "- Visual corroboration: TV."],
     }
+
+
+@pytest.mark.parametrize(("crowd", "rounds"), [(0.0, 2), (3.0, 8), (1e9, 8)])
+def test_leaders_suppress_what_arrival_order_does(spark, crowd, rounds):
+    rng = random.Random(12)
+    rows = _recordings(spark, rng, 30)
+    rows += [(200 + k, ["of the", "and"], [f"note {k} about budget plans"], "t") for k in range(3)]  # equal speech without tokens
+    near = [[f"line{i} token{i}x{j}" for j in range(12)] for i in range(4)]
+    for k in range(30):  # one cluster, a word or two changed in each
+        lines = [list(x) for x in near]
+        for _ in range(rng.choice((1, 1, 2, 14))):
+            rng.choice(lines)[rng.randrange(12)] = f"changed{rng.randrange(40)}"
+        rows.append((300 + k, [" ".join(x) for x in lines], [], "t"))
+    rng.shuffle(rows)
+    text = {i: (" ".join(s for s in (segs or []) if s), " ".join(p for p in (pts or []) if p)) for i, segs, pts, _ in rows}
+    kept = []
+    for i in sorted(text):
+        if all(_score(text[i], text[k]) < 0.85 for k in kept):
+            kept.append(i)
+    prints = duplicates.fingerprints(spark.createDataFrame(rows, RECORDING))
+    got = {r.video_id: r.suppressed for r in duplicates.suppress_by_leaders(prints, crowd=crowd, rounds=rounds).collect()}
+    assert got == {i: i not in kept for i in text} and 10 < len(kept) < len(text) - 20
+    assert not any(r.suppressed for r in duplicates.suppress_by_leaders(prints, "warn").collect())
