@@ -61,7 +61,19 @@ def h9_difference_hash(spark, d):
     return _pictures(spark, d).select("vec_id", R.difference_hash(F.col("signature")).alias("hash"))
 
 
-@query()
+_AWAY = "list_sum(list_transform(range(1, 73), lambda k: abs({}[k] - {}[k]))) / 72"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT label AS v, vec_id::DOUBLE AS tm, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, list_transform(list_concat(embedding, embedding[1:8]), lambda x: floor(x::DOUBLE * 100 + 100)) AS g FROM embeddings),
+f AS (SELECT *, list_transform(range(0, 64), lambda i: g[i // 8 * 9 + i % 8 + 2] > g[i // 8 * 9 + i % 8 + 1]) AS h FROM p),
+r AS (SELECT v, i, i AS base, i AS seen, NULL::BIGINT AS cand, i AS kept FROM f WHERE i = 1 UNION ALL
+  SELECT v, i, CASE WHEN keep THEN cand ELSE base END, CASE WHEN keep THEN i ELSE seen END, CASE WHEN NOT near AND away THEN i END, CASE WHEN keep THEN cand END FROM
+  (SELECT *, near AND len(list_filter(range(1, 65), lambda k: h[k] <> sh[k])) >= 4 AS keep FROM
+  (SELECT c.v, c.i, c.h, s.h AS sh, base, seen, cand, coalesce({_AWAY.format('c.g', 'o.g')} <= 14, false) AS near, {_AWAY.format('c.g', 'b.g')} >= 8 AS away
+   FROM r JOIN f c ON c.v = r.v AND c.i = r.i + 1 JOIN f b ON b.v = r.v AND b.i = base JOIN f s ON s.v = r.v AND s.i = seen LEFT JOIN f o ON o.v = r.v AND o.i = cand))),
+k AS (SELECT r.v, tm, row_number() OVER (PARTITION BY r.v ORDER BY tm) - 1 AS scene_idx, CASE WHEN kept = 1 THEN 'initial' ELSE 'change' END AS reason FROM r JOIN f ON f.v = r.v AND f.i = kept WHERE kept IS NOT NULL),
+d AS (SELECT v, max(tm) AS z, (SELECT count(*) FROM k WHERE k.v = f.v) AS n FROM f GROUP BY v), e AS (SELECT v, z, floor(z / 50)::BIGINT + 1 AS m FROM d WHERE n = 0 OR (n <= 1 AND z > 50))
+SELECT v::BIGINT AS video_id, scene_idx, tm AS timestamp, reason FROM k WHERE v NOT IN (SELECT v FROM e) UNION ALL SELECT v, i, round(i * z / m, 6), 'interval' FROM e, unnest(range(0, m)) t(i)""")
 def h8_keyframes(spark, d):
     """Frames kept of each label's pictures, and even ones where the walk keeps one at most; tests hold the walk against a
     plain statement of its rule."""
@@ -137,7 +149,16 @@ def a12_threshold_grid(spark, d):
     return _grid(spark, d).select("key", "place", "tp", "fp", "fn")
 
 
-@query()
+_H6 = (_A10 + _A11 + _A8 + _A12).replace("WITH ", "WITH RECURSIVE ", 1).rpartition("\nSELECT")[0] + """,
+q AS (SELECT key, place, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END::DOUBLE AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END::DOUBLE AS rc FROM c),
+v AS (SELECT *, CASE WHEN p + rc > 0 THEN round(1.25::DOUBLE * p * rc / (0.25::DOUBLE * p + rc), 12) ELSE 0 END::DOUBLE AS m FROM q),
+r AS (SELECT key, place, place AS won, p, rc, m FROM v WHERE place = 0 UNION ALL
+  SELECT key, place, CASE WHEN b THEN place ELSE won END, CASE WHEN b THEN p ELSE bp END, CASE WHEN b THEN rc ELSE brc END, CASE WHEN b THEN m ELSE bm END FROM
+  (SELECT v.key, v.place, r.won, v.p, v.rc, v.m, r.p AS bp, r.rc AS brc, r.m AS bm, v.m > r.m OR (v.m = r.m AND 2 * v.p + 0.1::DOUBLE * v.rc > r.p + 0.1::DOUBLE * r.rc) AS b FROM r JOIN v ON v.key = r.key AND v.place = r.place + 1))
+SELECT key, aggregation, absolute, ratio FROM r JOIN g ON g.place = r.won WHERE r.place = 125"""
+
+
+@query(_H6)
 def h6_grid_winner(spark, d):
     """The rule of each key; tests hold the walk against cases whose winners depend on the order."""
     return C.grid_winner(_grid(spark, d))

@@ -315,7 +315,8 @@ def st5_retention(spark, d):
     return J.within(X.table(spark, d, "events"), 7).select("event_id")
 
 
-@query()
+@query(f"""WITH w AS (SELECT doc_id, i - 1 AS idx, ws[i] AS w, (i - 1) * 0.4::DOUBLE + floor((i - 1) / 9) * 2.0::DOUBLE AS s FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents), unnest(range(1, len(ws) + 1)) t(i))
+SELECT doc_id AS video_id, idx // 9 AS seg_idx, min(s) AS start, max(s + 0.4::DOUBLE) AS end, {_STRIP.format("string_agg(' ' || w, '' ORDER BY idx)")} AS text FROM w GROUP BY doc_id, idx // 9""")
 def h1_h2_words_to_segments(spark, d):
     """Words of documents at one word in 0.4 s, every ninth after a pause; checked against a plain fold in tests."""
     words = X.table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", " ")).alias("idx", "word"))
@@ -323,7 +324,16 @@ def h1_h2_words_to_segments(spark, d):
     return folds.words_to_segments(words.select("video_id", "idx", F.concat(F.lit(" "), F.col("word")).alias("word"), start.alias("start"), (start + 0.4).alias("end")))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT *, CASE WHEN role <> '' THEN role || ': ' || coalesce(text, '') ELSE coalesce(text, '') END AS piece, coalesce(length(text), 0) AS size FROM conversations),
+c AS (SELECT *, sum(size) OVER w AS tx, sum(length(piece)) OVER w AS wh FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+b AS (SELECT conv_id, count(*) AS n, list(turn * 10.0::DOUBLE ORDER BY turn) AS st, list(nullif(role, '') ORDER BY turn) AS sp, list(piece ORDER BY turn) AS pc, [0] || list(tx::BIGINT ORDER BY turn) AS tx, [0] || list(wh::BIGINT ORDER BY turn) AS wh FROM c GROUP BY conv_id),
+r AS (SELECT conv_id, -1 AS i, 0::BIGINT AS f, 0::BIGINT AS e, true AS whole, 0::DOUBLE AS sec, 0::BIGINT AS nf, 0::BIGINT AS nk, 0::BIGINT AS held FROM b UNION ALL
+  SELECT conv_id, i + 1, f, e, whole, sec, CASE WHEN whole THEN nf ELSE n END, e, wh[e + 1] - wh[nf + 1] FROM
+  (SELECT *, greatest(f, len(list_filter(wh, lambda x: x < wh[e + 1] - 50))) AS nf FROM
+  (SELECT r.conv_id, r.i, r.nf AS f, b.n, b.wh, CASE WHEN r.held = 0 AND r.nk < b.n THEN b.st[least(b.n - 1, len(list_filter(b.tx, lambda x: x <= b.tx[r.nk + 1])) - 1) + 1] ELSE r.sec END AS sec,
+    len(list_filter(b.tx[2:], lambda x: x < greatest(b.tx[r.nk + 1] + 500 - r.held, b.tx[least(r.nk + 1, b.n) + 1]))) + 1 <= b.n AS whole,
+    least(b.n, len(list_filter(b.tx[2:], lambda x: x < greatest(b.tx[r.nk + 1] + 500 - r.held, b.tx[least(r.nk + 1, b.n) + 1]))) + 1) AS e FROM r JOIN b USING (conv_id) WHERE r.whole AND r.nf < b.n)))
+SELECT conv_id AS video_id, i AS chunk_idx, sec AS start, CASE WHEN whole THEN sp[e] END AS speaker, array_to_string(pc[f + 1:e], ' ') AS text FROM r JOIN b USING (conv_id) WHERE i >= 0""")
 def h4_chunking(spark, d):
     return folds.chunk_transcript(X.turns(spark, d))
 

@@ -168,7 +168,11 @@ def o6_similarity_source(spark, d):
     return R.similarity_source(chunks, 4, 1000)
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, i AS k, list_filter(regexp_split_to_array(ls[i], '\s+'), lambda w: w <> '') AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) t(i)),
+p AS (SELECT doc_id, k, coalesce((lag(w) OVER (PARTITION BY doc_id ORDER BY k))[-3:], []) || w AS ws FROM l),
+r AS (SELECT doc_id, k, ws AS rest, ws AS before FROM p WHERE k = 1 UNION ALL
+  SELECT doc_id, k, rest, CASE WHEN len(rest) > 0 THEN rest ELSE before END FROM (SELECT p.doc_id, p.k, before, ws[coalesce(list_max(list_filter(range(1, least(12, len(before), len(ws)) + 1), lambda n: before[-n:] = ws[1:n])), 0) + 1:] AS rest FROM r JOIN p ON p.doc_id = r.doc_id AND p.k = r.k + 1))
+SELECT doc_id AS video_id, k - 1 AS piece_idx, array_to_string(rest, ' ') AS text FROM r""")
 def h3_repeated_heads(spark, d):
     """Lines of documents, each after the last three words of the line before, without those again."""
     lines = X.segments(spark, d).withColumn("words", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
