@@ -158,7 +158,7 @@ def supporting_context(scores: DataFrame, primary: DataFrame, rules: DataFrame,
 
 
 #: Which primary keys are heard from a television, and which are speech.
-BROADCAST, SPEECH = ("broadcast_playback",), ("meeting_room_speech", "podcast_voiceover", "software_demo")
+BROADCAST_KEYS, SPEECH_KEYS = ("broadcast_playback",), ("meeting_room_speech", "podcast_voiceover", "software_demo")
 
 
 def audio_context(scores: DataFrame, primary: DataFrame, supporting: DataFrame, names: DataFrame) -> DataFrame:
@@ -168,7 +168,7 @@ def audio_context(scores: DataFrame, primary: DataFrame, supporting: DataFrame,
     their summary names. The first two different hints stay, the primary one before the others.
     """
     part = lambda keys, c: F.sum(F.when(F.col("key").isin(*keys), F.col("score")).otherwise(0.0)).alias(c)
-    sums = scores.groupBy("label").agg(part(BROADCAST, "tv_score"), part(SPEECH, "speech_score"))
+    sums = scores.groupBy("label").agg(part(BROADCAST_KEYS, "tv_score"), part(SPEECH_KEYS, "speech_score"))
     first = primary.join(names, "key", "left").select("label", F.concat(F.lit("Primary audio context: "), "name", F.lit(" ("), "confidence", F.lit(" confidence).")).alias("_first"), F.col("hint").alias("_hint"))
     more = supporting.join(names, "key", "left").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("rank", "summary_name", "hint"))).alias("_more"))
     out = sums.join(first, "label", "left").join(more, "label", "left")
