@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import _bytes as B
 
 PER_LANGUAGE, MARGIN, SMOOTH = 1000, 0.1, 0.5
+#: Bytes of text that the driver counts at once while it fits.
+FIT_BYTES = 128 << 10
 SIZE = 1 << 18
 #: Bytes in 64 classes: 0 for ASCII that is no letter, 1-26 for letters, 27-63 for the others.
 FOLD = np.zeros(256, np.uint32)
@@ -75,8 +77,11 @@ class Model:
         self.langs = sorted({lang for lang, _ in texts})
         counts = np.zeros((len(self.langs), SIZE))
         for k, lang in enumerate(self.langs):
-            data, off = B.text_bytes(pa.array([t for g, t in texts if g == lang]))
-            share = np.bincount(_grams(data, off)[0], minlength=SIZE)
+            known = [t for g, t in texts if g == lang]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(len(known))), pa.array(known, pa.string())], ["doc_id", "text"])
+            share = np.zeros(SIZE, np.int64)
+            for _, data, off in B.slices([batch], FIT_BYTES):
+                share += np.bincount(_grams(data, off)[0], minlength=SIZE)
             share[0] = 0
             counts[k] = share / max(1, share.sum()) * 1e6  # languages weigh alike
         self.code = codewords(len(self.langs))
@@ -118,7 +123,9 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     for lang, n in sorted(counts.items()):
         limit = int(min(1.0, per_language / n) * 2**63) * 2 - 2**63 - 1 if n > per_language else 2**63 - 1
         chosen = chosen | ((F.col("lang") == lang) & (F.col("h") <= limit))
-    return Model(sorted((r.lang, r.text) for r in rows.where(chosen).select("lang", "text").collect()))
+    model = Model(sorted((r.lang, r.text) for r in rows.where(chosen).select("lang", "text").collect()))
+    B.tidy()  # the driver's Python lives as long as the session
+    return model
 
 
 def identify(docs: DataFrame, model: Model, margin: float = MARGIN, carry: str | None = None) -> DataFrame:

@@ -133,7 +133,7 @@ def text_groups(texts: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     groups = components(keys.join(met, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").unionByName(close))
     # a component names only the nodes above its least one
     members = groups.unionByName(groups.select(F.col("root").alias("node"), "root")).distinct()
-    members = members.join(points.select(F.col("fp").alias("node"), "t", "n"), "node")
+    members = cut_lineage(members.join(points.select(F.col("fp").alias("node"), "t", "n"), "node"))
     blocks = members.groupBy("root").agg(F.ceil(F.sum("n") / block_words).cast("int").alias("blocks"), F.sum("n").alias("words"))
     tasks = F.greatest(F.lit(1), F.ceil(F.sum(F.col("words") * F.col("blocks")) / block_words)).cast("int")
     n_tasks = int(blocks.agg(tasks.alias("n")).first().n or 1)
