@@ -145,3 +145,21 @@ def test_manifests_are_checked_and_defaults_chosen(spark):
     variants = spark.createDataFrame([("k", "b", 0, False), ("k", "a", 1, True), ("z", "a", 0, False), ("z", "b", 1, True)], "key string, prompt string, place int, is_default boolean")
     assert {r.key: r.prompt for r in calibration.primary_prompts(scores, variants).collect()} == {"k": "b", "z": "b"}
     assert {(r.key, r.prompt) for r in calibration.supporting_prompts(scores, variants=variants).collect()} == {("k", "b"), ("k", "a"), ("z", "b")}
+
+
+def test_words_of_recordings_meet_without_a_shuffle(spark):
+    rng = random.Random(8)
+    rows = [(9, None), (10, []), (11, [(None, 1.0, 2.0), (" a", None, None), (" b ", 2.0, 60.0), ("c", 3.0, 3.5)]), (None, [(" d", 0.0, 1.0)])]
+    for v in range(8):
+        t, words = 0.0, []
+        for i in range(300):
+            t += rng.choice((0.3, 0.4, 0.5) if v % 2 else (-0.4, 0.0, 0.3, 0.5, 2.0))
+            words.append((f" w{i} " if i % 7 == 0 else f" w{i}", round(t, 2), round(t + rng.choice((0.2, 0.3) if v % 2 else (0.0, 0.2, 3.0)), 2)))
+        rows.append((v, words))
+    recordings = spark.createDataFrame(rows, "video_id long, words array<struct<word string, start double, end double>>")
+    flat = recordings.selectExpr("video_id", "posexplode(words) AS (idx, w)").selectExpr("video_id", "CAST(idx AS long) AS idx", "w.*")
+    got = folds.recordings_to_segments(recordings)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    made = {tuple(r) for r in got.collect()}
+    assert made == {tuple(r) for r in folds.words_to_segments(flat).collect()} and {r[0] for r in made} == {*range(8), 11}
+    assert {r for r in made if r[0] == 11} == {(11, 0, 1.0, 2.0, ""), (11, 1, 2.0, 60.0, "b")}
