@@ -4,13 +4,15 @@ import hashlib
 import random
 import re
 from collections import Counter
+from decimal import ROUND_HALF_UP, Decimal
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from talkarchive.functions import prompts, records, text as T
-from talkarchive.operators import calibration, duplicates, folds, frames, jobs, ranking, views
+from talkarchive.operators import blocks, calibration, duplicates, folds, frames, jobs, ranking, views
 from talkarchive.sources import archive
 
 RECORDING = "video_id long, segments array<string>, points array<string>, title string"
@@ -287,3 +289,45 @@ def test_leaders_suppress_what_arrival_order_does(spark, crowd, rounds):
     got = {r.video_id: r.suppressed for r in duplicates.suppress_by_leaders(prints, crowd=crowd, rounds=rounds, few=0).collect()}
     assert got == {i: i not in kept for i in text} and 10 < len(kept) < len(text) - 20
     assert not any(r.suppressed for r in duplicates.suppress_by_leaders(prints, "warn").collect())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lexical_scores_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "DENSE", 512)
+    rng = random.Random(11)
+    rows = [(i, " ".join(f"word{int(rng.random() ** 3 * 300)}" for _ in range(rng.choice((1, 8, 64, 200))))) for i in range(150)] + [(None, "word1"), (200, None), (201, "of a")]
+    df = spark.createDataFrame(rows, "video_id long, text string").repartition(3)
+    sets = {i: set(t.split()) for i, t in rows[:150]}
+    half_up = lambda x: float(Decimal(repr(x)).quantize(Decimal("1e-6"), ROUND_HALF_UP))
+    score = lambda a, b: half_up(0.7 * len(a & b) / len(a) + 0.3 * len(a & b) / len(b))
+    want = {(s, v, score(a, b)) for s, a in sets.items() for v, b in sets.items() if s != v and a & b}
+    got = ranking.lexical_similar(df, df.where("video_id % 10 = 0"))
+    assert "Exchange hash" not in _plan(got) and "SortMergeJoin" not in _plan(got)
+    assert {tuple(r) for r in got.collect()} == {w for w in want if w[0] % 10 == 0}
+    assert {tuple(r) for r in ranking.lexical_similar(df).collect()} == want
+
+
+def test_packed_blocks_hold_all_sets(spark):
+    rows = [(i, list(range(i % 40))) for i in range(300)]
+    sets = spark.createDataFrame(rows, "video_id long, t array<long>")
+    for most in (1, 30, 10_000):
+        tables = [blocks._read(bytes(r.block)) for r in blocks.packed(sets, most=most).collect()]
+        assert sorted((i, t) for x in tables for i, t in zip(x["video_id"].to_pylist(), x["t"].to_pylist())) == rows
+        assert all(len(x) == 1 or sum(len(t) + 1 for t in x["t"].to_pylist()) <= most for x in tables)
+
+
+def test_similar_by_tokens_equals_similar(spark):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"word{int(rng.random() ** 2 * 40)}" for _ in range(n))
+    rows = [(i, text(rng.choice((1, 6, 30))) if i % 9 else None, rng.choice(("src one", "src two", "", None)), rng.choice(("english", "of", None))) for i in range(90)]
+    rows += [(100 + i, *rows[1][1:]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "video_id long, spoken string, points string, title string").repartition(3).cache()
+    lexical = ranking.lexical_similar(docs.withColumnRenamed("spoken", "text"), docs.where("video_id % 4 = 1"))
+    semantic = lexical.where("video_id % 3 = 0").select("source_id", "video_id", F.round(F.col("lexical") * 0.8, 6).alias("semantic"))
+    want = {tuple(r) for r in ranking.similar(semantic, lexical, docs).collect()}
+    got = ranking.similar_by_tokens(docs, docs.where("video_id % 4 = 1"), lambda ids, x: np.where(ids % 3 == 0, blocks.rounded(x * 0.8), 0.0))
+    assert "SortMergeJoin" not in _plan(got)
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 100
