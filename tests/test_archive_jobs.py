@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talkarchive.functions import prompts, records, text as T
-from talkarchive.operators import blocks, calibration, duplicates, folds, frames, jobs, ranking, views
+from talkarchive.functions import prompts, records, sequence, text as T
+from talkarchive.operators import alike, blocks, calibration, duplicates, folds, frames, jobs, ranking, views
 from talkarchive.sources import archive
 
 RECORDING = "video_id long, segments array<string>, points array<string>, title string"
@@ -331,3 +331,42 @@ def test_similar_by_tokens_equals_similar(spark):
     got = ranking.similar_by_tokens(docs, docs.where("video_id % 4 = 1"), lambda ids, x: np.where(ids % 3 == 0, blocks.rounded(x * 0.8), 0.0))
     assert "SortMergeJoin" not in _plan(got)
     assert {tuple(r) for r in got.collect()} == want and len(want) > 100
+
+
+def test_matches_are_difflibs():
+    rng = random.Random(13)
+    for _ in range(400):
+        letters = rng.choice(("ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz     eeeett", "日本語テキストabc", "x"))
+        a = "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 5, 40, 199, 200, 400))))
+        b = list(a) if rng.random() < 0.6 else [rng.choice(letters) for _ in range(rng.choice((0, 1, 40, 200, 300)))]
+        for _ in range(rng.randrange(12) if b else 0):
+            p = rng.randrange(len(b) + 1)
+            b[p : p + rng.randrange(4)] = [rng.choice(letters + "QZ") for _ in range(rng.randrange(4))]
+        b = "".join(b)
+        want, least = sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks()), rng.randrange(300)
+        assert sequence.matches(a, b) == want and sequence.matches(a, b, least) == (want if want >= least else -1)
+
+
+def test_cheap_terms_without_joins_of_sets(spark, monkeypatch):
+    monkeypatch.setattr(alike, "CELLS", 64)
+    monkeypatch.setattr(blocks, "BLOCK", 100)
+    rng = random.Random(14)
+    text = lambda: " ".join(f"tok{rng.randrange(24)}" for _ in range(rng.randrange(1, 26)))
+    rows = [(i, text() if i % 5 else "", text()) for i in range(60)]  # what is said need not be part of the text
+    f = duplicates.features(spark.createDataFrame(rows, "video_id long, spoken string, text string").withColumn("points", F.lit("")).repartition(3))
+    found = duplicates.cheap_terms(f, 0.75)
+    assert "SortMergeJoin" not in _plan(found)
+    want = {}
+    for a, sa, x in rows:
+        for b, sb, y in rows:
+            u, v, s, t = (set(z.split()) for z in (x, y, sa, sb))
+            if a < b and u & v and not (sa and sa == sb):
+                m, n = (set(zip(z.split(), z.split()[1:])) for z in (x, y))
+                c, p, j = len(u & v) / min(len(u), len(v)), len(m & n) / len(m | n) if m | n else 0.0, len(u & v) / len(u | v)
+                inside = len(s & t) / min(len(s), len(t)) if s and t else None
+                la, lb = len(sa or x), len(sb or y)
+                r = 2 * min(la, lb) / (la + lb)
+                if 0.4 * c + 0.2 * p + 0.1 * j + 0.3 * r >= 0.75 - 1e-9 or (inside is not None and 0.55 * inside + 0.45 * r >= 0.75 - 1e-9):
+                    want[a, b] = (c, p, j, inside)
+    got = {(r.a, r.b): tuple(r)[2:] for r in found.collect()}
+    assert got.keys() == want.keys() and len(want) > 20 and all(got[k] == pytest.approx(want[k]) for k in want)
